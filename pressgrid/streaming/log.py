@@ -1,0 +1,51 @@
+"""Batch log: the table a stream writes, one folder per micro-batch.
+
+A batch overwrites its own folder, so a repeated batch after a failure leaves
+the same rows; readers of batch N see only the folders before N.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+
+FIRST = -1
+
+
+class BatchLog:
+    def __init__(self, spark: SparkSession, path: str, seed: DataFrame):
+        """``seed`` is the table before the first batch; an empty one fixes the schema."""
+        self.path = path
+        seed.write.mode("overwrite").parquet(f"{path}/batch={FIRST}")
+        self.columns = seed.columns
+        self.schema = T.StructType([*seed.schema.fields, T.StructField("batch", T.IntegerType())])
+
+    def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        return self.all(spark).where(F.col("batch") < batch_id)
+
+    def all(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(self.schema).parquet(self.path)
+
+    def write(self, rows: DataFrame, batch_id: int) -> None:
+        rows.select(*self.columns).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+
+def table_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet table as a stream of its files."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
+
+
+def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Run the stream over everything that is there now, then stop."""
+    running = (
+        stream.writeStream.outputMode(mode)
+        .foreachBatch(each)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
