@@ -39,6 +39,7 @@ from pressgrid.session import cut_lineage
 BLOCK_ROWS = 16384
 QUERY_SLICE = 512
 DIGITS = 6
+EARLIER, EXISTING = 0, 1  # the two questions a query vector asks
 GROUP = ["h1", "h2"]
 ORDER_TYPE = "struct<in_batch:int,at:bigint,article_id:bigint,story_id:bigint>"
 PAIR_KEY = ["q_class", "q_block", "c_class", "c_block"]
@@ -152,7 +153,7 @@ def _spread(rows: DataFrame, mine: str, other: str, my_blocks: dict, other_block
 
 
 BEST_SCHEMA = (
-    "h1 long, h2 long, kind string, sim double, in_batch int, at long, article_id long, story_id long"
+    "h1 long, h2 long, kind int, sim double, in_batch int, at long, article_id long, story_id long"
 )
 
 
@@ -163,7 +164,7 @@ def _block_best(threshold: float):
 
     def best(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         """Best earlier and best already-clustered candidate of each query of one block pair."""
-        empty = pd.DataFrame({c.split()[0]: [] for c in BEST_SCHEMA.split(", ")})
+        empty = pd.DataFrame({c.split()[0]: np.empty(0, np.int64) for c in BEST_SCHEMA.split(", ")})
         if queries.empty or candidates.empty:
             return empty
         candidates = candidates.sort_values(["in_batch", "at", "article_id"], ignore_index=True)
@@ -189,7 +190,7 @@ def _block_best(threshold: float):
             sims = np.round(q_unit[rows] @ c_unit[:width].T, DIGITS)
             known = sims[:, :existing].copy()
             sims[np.arange(width)[None, :] >= bound[rows][:, None]] = -2.0
-            for kind, grid in (("earlier", sims), ("existing", known)):
+            for kind, grid in ((EARLIER, sims), (EXISTING, known)):
                 if grid.shape[1] == 0:
                     continue
                 at = grid.argmax(axis=1)  # the first maximum: the lowest order
@@ -234,7 +235,7 @@ def _group_parents(groups: DataFrame, threshold: float, block_rows: int) -> Data
     # Highest similarity, then lowest order: the order enters negated.
     ranked = F.struct("sim", (-F.col("in_batch")).alias("b"), (-F.col("at")).alias("t"), (-F.col("article_id")).alias("i"), "story_id")
     merged = best.groupBy(*GROUP).agg(
-        F.max(F.when(F.col("kind") == "earlier", ranked)).alias("e"), F.max(F.when(F.col("kind") == "existing", ranked)).alias("x")
+        F.max(F.when(F.col("kind") == EARLIER, ranked)).alias("e"), F.max(F.when(F.col("kind") == EXISTING, ranked)).alias("x")
     )
 
     def plain(name: str) -> Column:

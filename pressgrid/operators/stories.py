@@ -541,7 +541,7 @@ def source_totals(distribution: DataFrame) -> DataFrame:
     )
     share = F.when(F.col("grand_total") > 0, F.try_divide(F.col("e.n"), F.col("grand_total")) * 100).otherwise(F.lit(0.0))
     return sums.select("story_id", "grand_total", F.posexplode(entries).alias("at", "e")).select(
-        "story_id", (F.col("at") + 1).alias("place"), F.col("e.category").alias("category"), F.col("e.n").alias("n"), share.alias("share_pct")
+        "story_id", "grand_total", (F.col("at") + 1).alias("place"), F.col("e.category").alias("category"), F.col("e.n").alias("n"), share.alias("share_pct")
     )
 
 

@@ -48,10 +48,8 @@ def _string_list(v: Column) -> Column:
 
 
 def _number(v: Column) -> Column:
-    """Numeric value; numeric strings count, as the answers' schema is lenient there."""
-    return F.when(_kind(v).isin(*NUMERIC), F.try_variant_get(v, "$", "double")).when(
-        _kind(v) == "STRING", F.try_variant_get(v, "$", "string").try_cast("double")
-    )
+    """Numeric value; numeric strings and booleans count, as the answers' schema is lenient there."""
+    return F.when(_kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when(_kind(v).isin(*NUMERIC, "STRING"), F.try_variant_get(v, "$", "string").try_cast("double"))
 
 
 def _in_range(v: Column, low: float) -> Column:

@@ -158,6 +158,7 @@ def with_views(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in ordered)
     body = sql.strip()
-    if body[:5].upper() == "WITH ":
-        return f"WITH {ctes},\n{body[5:]}"
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(opening):
+            return f"{opening}{ctes},\n{body[len(opening):]}"
     return f"WITH {ctes}\n{body}"

@@ -223,7 +223,7 @@ def _assign_vectors(t: Tables) -> DataFrame:
 @query("story_rollup")
 def _rollup(t: Tables) -> DataFrame:
     articles = embedded(t)
-    assigned = clustering.assign_stories(articles.where("article_id % 4 <> 0 or story_id is not null"), as_of(), lookback_days=31)
+    assigned = clustering.assign_stories(articles, as_of(), lookback_days=31)
     # New stories get negative ids here, so that they cannot meet existing ones.
     ids = assigned.selectExpr("article_id", "if(is_new_story, -story_id - 1, story_id) as assigned_id")
     merged = articles.drop("embedding").join(ids, "article_id", "left").selectExpr(
@@ -256,7 +256,7 @@ def _validate_enrichment(t: Tables) -> DataFrame:
               when 0 then 'I cannot answer'
               when 1 then '[1, 2]'
               else concat('{"framing_score":', case when doc_id % 14 = 2 then '1.5' when doc_id % 14 = 3 then '"high"' when doc_id % 14 = 13 then '"0.25"'
-                     else ((doc_id * 37) % 201 - 100) / 100 end,
+                     else cast(((doc_id * 37) % 201 - 100) / 100 as string) end,
                 ',"framing_label":"', if(doc_id % 14 = 4, 'angry', 'neutral'),
                 '","framing_confidence":', if(doc_id % 14 = 5, '-0.1', '0.5'),
                 ',"headline_sentiment":0,"body_sentiment":', if(doc_id % 14 = 6, 'null', '-1'),

@@ -32,11 +32,15 @@ class BatchLog:
 
 
 def table_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """A Parquet table as a stream of its files."""
+    """A Parquet table, one file or a folder of files, as a stream of its files.
+
+    The last letter of the path is written as a pattern: the file source takes
+    a plain path for a folder and would refuse a single file.
+    """
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
