@@ -2,48 +2,58 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pressgrid import constants as C
-from pressgrid.functions import text
 
 
-def token_code(token: Column, dim: int) -> Column:
-    """2 * bucket + sign bit of a token's MD5: bucket from bytes 0-3 (little endian), sign from bit 0 of byte 4."""
-    digest = F.md5(token.cast("binary"))
-    reversed_hex = F.concat(*[F.substring(digest, p, 2) for p in (7, 5, 3, 1)])
-    bucket = F.conv(reversed_hex, 16, 10).cast("long") % dim
-    sign_bit = F.conv(F.substring(digest, 10, 1), 16, 10).cast("int") % 2
-    return (bucket * 2 + sign_bit).cast("int")
+class _TokenCodes(dict):
+    """token -> 2 * bucket + sign bit, hashed once per Arrow batch.
+
+    The bucket comes from MD5 bytes 0-3 (little endian), the sign from bit 0 of byte 4.
+    """
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        digest = hashlib.md5(token.encode("utf-8")).digest()
+        code = int.from_bytes(digest[:4], "little") % self.dim * 2 + (digest[4] & 1)
+        self[token] = code
+        return code
 
 
-def _densify(dim: int):
+def hash_encoder(dim: int = C.EMBED_DIM):
+    """Pandas UDF text -> unit-length array<float> of signed token counts per bucket.
+
+    Hashing in the JVM costs several microseconds per token, because the lambda
+    over the token array is interpreted; here a batch hashes each distinct
+    token once and fills its whole matrix with one numpy call.
+    """
+
     @F.pandas_udf("array<float>")
-    def dense(codes: pd.Series) -> pd.Series:
-        """Signed bucket counts of each row, scaled to unit length (zeros stay zeros)."""
-        sizes = np.fromiter((len(c) for c in codes), dtype=np.int64, count=len(codes))
-        flat = np.concatenate([np.asarray(c, dtype=np.int64) for c in codes]) if sizes.sum() else np.empty(0, np.int64)
-        rows = np.repeat(np.arange(len(codes)), sizes)
-        signs = np.where(flat % 2 == 1, 1.0, -1.0)
-        grid = np.bincount(rows * dim + flat // 2, weights=signs, minlength=len(codes) * dim).reshape(len(codes), dim)
+    def encode(texts: pd.Series) -> pd.Series:
+        known = _TokenCodes(dim)
+        codes = [[known[t] for t in (text or "").lower().split()] for text in texts]
+        sizes = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes))
+        flat = np.fromiter((c for row in codes for c in row), dtype=np.int64, count=int(sizes.sum()))
+        cells = np.repeat(np.arange(len(codes)), sizes) * dim + flat // 2
+        grid = np.bincount(cells, weights=flat % 2 * 2.0 - 1.0, minlength=len(codes) * dim).reshape(len(codes), dim)
         norms = np.sqrt((grid * grid).sum(axis=1, keepdims=True))
         unit = np.divide(grid, norms, out=np.zeros_like(grid), where=norms > 0).astype(np.float32)
         return pd.Series(list(unit))
 
-    return dense
+    return encode
 
 
 def hash_embedding(df: DataFrame, text_col: str, dim: int = C.EMBED_DIM, out: str = "embedding") -> DataFrame:
-    """Add the unit-length hash embedding of a text column.
-
-    Tokens are hashed in the JVM; one Arrow batch at a time turns the bucket
-    codes of whole rows into vectors.  No shuffle: rows never leave their task.
-    """
-    tokens = text.words(F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    codes = F.transform(tokens, lambda t: token_code(t, dim))
-    return df.withColumn(out, _densify(dim)(codes))
+    """Add the hash embedding of a text column.  No shuffle: rows never leave their task."""
+    return embed_with(df, text_col, hash_encoder(dim), out)
 
 
 def embed_with(df: DataFrame, text_col: str, encoder, out: str = "embedding") -> DataFrame:

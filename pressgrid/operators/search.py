@@ -86,39 +86,46 @@ def search_ranked(
         .limit(limit)
         .drop("published_at")
     )
-    return (
+    rows = (
         articles.select("article_id", "outlet_id", "headline", "url", "published_at", "full_text")
         .join(F.broadcast(hits), "article_id")  # one page of rows
         .join(outlets.select("outlet_id", F.col("slug").alias("outlet_slug")), "outlet_id")
-        .select(
-            "article_id", "outlet_slug", "headline", "url", "published_at", "rank",
-            snippet(F.coalesce("full_text", "headline"), query_terms(query)).alias("snippet"),
-            total.alias("total"),
-        )
+    )
+    return (
+        with_snippet(rows, F.coalesce("full_text", "headline"), query_terms(query))
+        .select("article_id", "outlet_slug", "headline", "url", "published_at", "rank", "snippet", total.alias("total"))
         .withColumn("has_more", F.lit(offset + limit) < F.col("total"))
     )
 
 
-def snippet(body: Column, terms: list[str]) -> Column:
-    """Up to 30 words around the first hit, hits in <b></b>; the start when there is no hit."""
-    words = text.words(body)
-    wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+def with_snippet(df: DataFrame, body: Column, terms: list[str]) -> DataFrame:
+    """Add up to 30 words around the first hit, hits in <b></b>; the start when there is no hit."""
+    if not terms:
+        return df.withColumn("snippet", F.array_join(F.slice(text.words(body), 1, SNIPPET_WORDS), " "))
+    wanted = F.array(*[F.lit(t) for t in terms])
+    # A word whose root is t holds t, or t without its final y: most words fail this at once.
+    roots = "|".join(re.escape(t[:-1] if t.endswith("y") else t) for t in terms)
 
     def is_hit(word: Column) -> Column:
         parts = text.raw_terms(word)
-        return F.exists(parts, lambda p: ~text.is_stop_word(p) & F.array_contains(wanted, text.stem(p)))
+        exact = F.exists(parts, lambda p: ~text.is_stop_word(p) & F.array_contains(wanted, text.stem(p)))
+        return F.when(F.lower(word).rlike(roots), exact).otherwise(False)
 
-    # One pass marks the hits; a hit is then found by its flag.
-    marked = F.transform(words, lambda w: F.struct(w.alias("w"), is_hit(w).alias("hit")))
-    first = F.array_position(F.transform(marked, lambda m: m["hit"]), True)
+    first = F.array_position("_hits", True)
     start = F.greatest(first - SNIPPET_LEAD, F.lit(1)).cast("int")
-    window = F.slice(marked, start, SNIPPET_WORDS)
-    shown = F.transform(window, lambda m: F.when(m["hit"], F.concat(F.lit("<b>"), m["w"], F.lit("</b>"))).otherwise(m["w"]))
-    return F.array_join(shown, " ")
+    shown = F.zip_with(
+        F.slice("_words", start, SNIPPET_WORDS), F.slice("_hits", start, SNIPPET_WORDS),
+        lambda w, hit: F.when(hit, F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w),
+    )
+    return (
+        df.withColumn("_words", text.words(body))
+        .withColumn("_hits", F.transform("_words", is_hit))
+        .withColumn("snippet", F.array_join(shown, " "))
+        .drop("_words", "_hits")
+    )
 
 
 def search_snippet(articles: DataFrame, query: str) -> DataFrame:
     """Snippet of every article for a query."""
-    return articles.select(
-        "article_id", snippet(F.coalesce("full_text", "headline"), query_terms(query)).alias("snippet")
-    )
+    rows = articles.select("article_id", F.coalesce("full_text", "headline").alias("_body"))
+    return with_snippet(rows, F.col("_body"), query_terms(query)).drop("_body")

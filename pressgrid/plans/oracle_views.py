@@ -62,7 +62,7 @@ VIEWS = {
                  'quote': CASE WHEN doc_id % 7 = 0 THEN '' ELSE '“' || substr(text, 31, 20) || '”' END,
                  'stance': 'neutral'}] AS quoted_sources,
                [substr(text, 1, 80), 'fabricated ' || doc_id,
-                CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE upper(substr(text, 5, 30)) END] AS evidence_snippets,
+                CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE translate(substr(text, 5, 30), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END] AS evidence_snippets,
                TIMESTAMP '2024-01-01' + CAST((doc_id * 7919) % 43200 + doc_id % 240 AS INTEGER) * INTERVAL 1 MINUTE AS analyzed_at
         FROM labels JOIN (SELECT doc_id, text, lang FROM documents) USING (doc_id)""",
     "n_runs": """

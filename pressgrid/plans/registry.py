@@ -17,7 +17,6 @@ from pressgrid.session import cut_lineage, prepare
 from pressgrid.sources import feeds, images, pages, upserts
 from pressgrid.streaming import jobs
 
-QUERY = "the women wanted something"
 SEARCH = "onthe then anst"
 TEMPLATE = "Outlet: {outlet_slug}\nHeadline: {headline}\nBody:\n{body}"
 
@@ -33,15 +32,24 @@ def query(name: str):
     return register
 
 
-def runner(build: Build) -> Callable[[SparkSession, str], DataFrame]:
+# Queries that work through whole texts, or parse, row by row.
+HEAVY = frozenset(
+    """feed_entries feed_image_url feed_health article_main_text article_main_text_articles page_image_url image_url_clean
+    hash_embedding nearest_predecessor nearest_predecessor_lookback assign_stories assign_stories_lookback story_rollup
+    fts_tokens search_match search_total search_ranked search_snippet grounding_normalize grounding_per_article
+    grounding_rate validate_enrichment embed_text enrich_requests stream_cluster""".split()
+)
+
+
+def runner(name: str, build: Build) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return report(build(Tables(prepare(spark), sf_dir)))
+        return report(build(Tables(prepare(spark), sf_dir, spread=name in HEAVY)))
 
     return run
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: runner(build) for name, build in QUERIES.items()}
+    return {name: runner(name, build) for name, build in QUERIES.items()}
 
 
 def add(name: str, build: Build) -> None:
@@ -103,7 +111,7 @@ def _latest_wins(t: Tables) -> DataFrame:
     return upserts.latest_wins_upsert(rows.where("event_id % 2 = 1"), rows.where("event_id % 2 = 0"), "user_id", "event_id")
 
 
-add("article_main_text", lambda t: pages.article_main_text(t.given("pages")))
+add("article_main_text", lambda t: pages.article_main_text(t.text_table("pages")))
 add("article_main_text_articles", lambda t: pages.article_main_text(t.web_pages).select("page_id", "main_text"))
 
 

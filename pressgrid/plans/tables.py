@@ -10,6 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pressgrid.session import fill_cores
+
 AS_OF = "2024-01-31 00:00:00"
 EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
 
@@ -21,13 +23,18 @@ def as_of():
 class Tables:
     """Lazy DataFrames over one data folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, spread: bool = False):
+        """``spread`` fills all cores from small text tables, for queries that are heavy per row."""
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
+        self.spread = spread
 
     def given(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def text_table(self, name: str) -> DataFrame:
+        return fill_cores(self.given(name)) if self.spread else self.given(name)
+
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
 
@@ -79,7 +86,7 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.given("documents")
+        return self.text_table("documents")
 
     @cached_property
     def outlets(self) -> DataFrame:
@@ -150,7 +157,7 @@ class Tables:
             """map('government', cast(doc_id % 3 as double), 'opposition', cast(quality as double),
                    'expert', doc_id % 4 + 0.5D, 'Civil Society', cast(toxic as double),
                    'corporate', -1D, 'blogger', cast(doc_id % 2 as double)) as source_distribution""",
-            """array(substr(text, 1, 80), concat('fabricated ', doc_id), if(doc_id % 3 = 0, ' ', upper(substr(text, 5, 30))))
+            """array(substr(text, 1, 80), concat('fabricated ', doc_id), if(doc_id % 3 = 0, ' ', translate(substr(text, 5, 30), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')))
                as evidence_snippets""",
             f"timestamp_seconds({EPOCH} + 60 * ((doc_id * 7919) % 43200 + doc_id % 240)) as analyzed_at",
         )

@@ -16,7 +16,6 @@ from pressgrid.functions import text
 BAD_URL = "|".join(re.escape(s).replace(r"\-", "-").replace("/", "/") for s in C.IMAGE_BAD_SUBSTRINGS)
 IMAGE_FILE = "(?:" + "|".join(e.replace(".", r"\.") for e in C.IMAGE_EXTENSIONS) + ")$"
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
-EMPTY = F.array
 
 
 def _resolve_dots(path: Column) -> Column:
@@ -46,8 +45,8 @@ def absolute_url(link: Column, base: Column) -> Column:
     link_rest = F.regexp_extract(link, r"^[^?#]*(.*)$", 1)
     joined = F.when(link_path.startswith("/"), link_path).otherwise(F.concat(folder, link_path))
     return (
-        F.when(F.coalesce(root, F.lit("")) == "", link)
-        .when(link.rlike(SCHEME), link)
+        F.when(link.rlike(SCHEME), link)
+        .when(F.coalesce(root, F.lit("")) == "", link)
         .when(link.startswith("//"), F.concat(scheme, link))
         .when(link_path == "", F.concat(root, base_path, F.when(link_rest.startswith("?"), link_rest).otherwise(F.concat(base_query, link_rest))))
         .otherwise(F.concat(root, _resolve_dots(joined), link_rest))
@@ -67,17 +66,27 @@ def clean_image_url(link: Column, base: Column | None = None) -> Column:
     below 200 pixels.
     """
     bare = F.regexp_replace(F.regexp_replace(text.strip(link), '^"+|"+$', ""), "^'+|'+$", "")
-    full = F.when(bare != "", bare if base is None else absolute_url(bare, base))
-    scheme = F.lower(F.regexp_extract(full, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    after = F.regexp_replace(F.regexp_replace(F.regexp_replace(full, SCHEME, ""), "#.*$", ""), r"\?$", "")
-    host = F.regexp_extract(after, r"^//([^/?#]*)", 1)
-    url = F.concat(scheme, F.lit(":"), after)
-    query = F.regexp_extract(after, r"\?(.*)$", 1)
-    small = F.coalesce(
-        (_stated_side(query, "w|width") < C.IMAGE_MIN_SIDE) & (_stated_side(query, "h|height") < C.IMAGE_MIN_SIDE), F.lit(False)
+
+    def judge(scheme: Column, after: Column) -> Column:
+        query = F.regexp_extract(after, r"\?(.*)$", 1)
+        small = (_stated_side(query, "w|width") < C.IMAGE_MIN_SIDE) & (_stated_side(query, "h|height") < C.IMAGE_MIN_SIDE)
+        url = F.concat(scheme, F.lit(":"), after)
+        # Cheap tests first: most rejected links never reach the query string.
+        ok = scheme.isin("http", "https") & after.rlike("^//[^/?#]") & ~F.lower(url).rlike(BAD_URL)
+        return F.when(ok & F.when(after.contains("?"), ~F.coalesce(small, F.lit(False))).otherwise(True), url)
+
+    def without_fragment(full: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(full, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+        after = F.regexp_replace(F.regexp_replace(full, SCHEME, ""), r"#.*$|\?(?:#.*)?$", "")
+        return text.let(scheme, lambda s: text.let(after, lambda a: judge(s, a)))
+
+    def resolved(link: Column) -> Column:
+        return link if base is None else absolute_url(link, base)
+
+    return F.when(
+        text.blank_to_null(link).isNotNull(),
+        text.let(bare, lambda b: F.when(b != "", text.let(resolved(b), without_fragment))),
     )
-    ok = scheme.isin("http", "https") & (host != "") & ~F.lower(url).rlike(BAD_URL) & ~small
-    return F.when(ok, url)
 
 
 def looks_like_image(url: Column) -> Column:
@@ -96,10 +105,9 @@ META_TAG = r"""(?i)<meta\b(?:[^>"']|"[^"]*"|'[^']*')*>"""
 
 def _attribute(tag: Column, name: str) -> Column:
     """Value of an attribute, quoted or bare, with entities decoded; '' when absent."""
-    quoted = F.regexp_extract(tag, rf"""(?i)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 1)
-    single = F.regexp_extract(tag, rf"""(?i)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 2)
-    bare = F.regexp_extract(tag, rf"""(?i)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 3)
-    return text.strip(text.unescape_html(F.concat(quoted, single, bare)))
+    pattern = rf"""(?i)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    value = F.concat(*[F.regexp_extract(tag, pattern, group) for group in (1, 2, 3)])
+    return text.strip(text.let(value, lambda v: F.when(v.contains("&"), text.unescape_html(v)).otherwise(v)))
 
 
 def page_image_url(pages: DataFrame) -> DataFrame:

@@ -54,7 +54,8 @@ def query_cluster(t: Tables) -> DataFrame:
            cast(array() as array<float>) as embedding, cast(0 as bigint) as story_id where false"""
     )
     log = BatchLog(t.spark, f"{folder}/clustered", shape)
-    steps.stream_cluster(vectors(table_stream(t.spark, t.path("documents"))), f"{folder}/checkpoint", log, as_of(), lookback_days=31)
+    documents = table_stream(t.spark, t.path("documents")).repartition(t.spark.sparkContext.defaultParallelism)  # embedding is heavy per row
+    steps.stream_cluster(vectors(documents), f"{folder}/checkpoint", log, as_of(), lookback_days=31)
     return log.all(t.spark).select("article_id", "story_id")
 
 
