@@ -43,7 +43,8 @@ def hash_encoder(dim: int = C.EMBED_DIM):
         sizes = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes))
         flat = np.fromiter((c for row in codes for c in row), dtype=np.int64, count=int(sizes.sum()))
         cells = np.repeat(np.arange(len(codes)), sizes) * dim + flat // 2
-        grid = np.bincount(cells, weights=flat % 2 * 2.0 - 1.0, minlength=len(codes) * dim).reshape(len(codes), dim)
+        signs = flat % 2 * 2.0 - 1.0
+        grid = np.bincount(cells, weights=signs, minlength=len(codes) * dim).astype(np.float64).reshape(len(codes), dim)
         norms = np.sqrt((grid * grid).sum(axis=1, keepdims=True))
         unit = np.divide(grid, norms, out=np.zeros_like(grid), where=norms > 0).astype(np.float32)
         return pd.Series(list(unit))

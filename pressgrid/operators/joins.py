@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 SALTS = 8
 
 
-def salted_lookup(facts: DataFrame, lookup: DataFrame, on: list[str], spread_by: str, salts: int = SALTS) -> DataFrame:
-    """Left join of ``facts`` to a narrow ``lookup`` that is unique on ``on``.
+def salted_lookup(facts: DataFrame, lookup: DataFrame, on: list[str], spread_by: str, how: str = "left", salts: int = SALTS) -> DataFrame:
+    """Left (or inner) join of ``facts`` to a narrow ``lookup`` that is unique on ``on``.
 
     The rows of one key are spread over ``salts`` tasks by a hash of the
     ``spread_by`` column, and the lookup row is repeated for each; a key that
@@ -16,4 +16,4 @@ def salted_lookup(facts: DataFrame, lookup: DataFrame, on: list[str], spread_by:
     """
     left = facts.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
     right = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.join(right, [*on, "_salt"], "left").drop("_salt")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")

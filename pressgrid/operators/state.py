@@ -7,6 +7,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgrid import constants as C
+from pressgrid.operators.joins import salted_lookup
 
 
 def _lookup(mapping: dict[str, str], key: Column) -> Column:
@@ -57,7 +58,7 @@ def advance_compared(articles: DataFrame, compared: DataFrame, as_of: Column) ->
     """Analysed articles of compared stories become complete; the rest is untouched."""
     flags = compared.select("story_id").distinct().withColumn("was_compared", F.lit(True))
     moves = F.coalesce("was_compared", F.lit(False)) & (F.col("processing_state") == "analyzed")
-    return articles.join(flags, "story_id", "left").select(
+    return salted_lookup(articles, flags, ["story_id"], "article_id").select(
         *[c for c in articles.columns if c not in ("processing_state", "state_updated_at", "state_error")],
         F.when(moves, F.lit("complete")).otherwise(F.col("processing_state")).alias("processing_state"),
         F.when(moves, as_of).otherwise(F.col("state_updated_at")).alias("state_updated_at"),

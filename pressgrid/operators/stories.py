@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pressgrid import constants as C
 from pressgrid.functions import labels, numbers, text
 from pressgrid.operators.dashboards import since
+from pressgrid.operators.joins import salted_lookup
 
 MAX_IMAGES = 3
 
@@ -153,15 +154,17 @@ def story_detail(
 
     Article order inside a story is (published_at, article_id).
     """
-    return (
+    rows = (
         articles.where("story_id is not null")
         .select("story_id", "article_id", "outlet_id", "headline", "url", "author", "published_at", "image_url",
                 "processing_state")
         .join(outlets.select("outlet_id", "slug", "name"), "outlet_id")
         .join(analysis.select("article_id", "framing_score", "framing_label", "body_sentiment"), "article_id", "left")
-        .join(stories.select("story_id", "title", "topic", "last_seen_at", "article_count"), "story_id")
-        .join(comparisons.select("story_id", "differences", "framing_spread"), "story_id", "left")
     )
+    heads = stories.select("story_id", "title", "topic", "last_seen_at", "article_count").join(
+        comparisons.select("story_id", "differences", "framing_spread"), "story_id", "left"
+    )
+    return salted_lookup(rows, heads, ["story_id"], "article_id", how="inner")
 
 
 # --- positive stories ---------------------------------------------------------
@@ -607,7 +610,7 @@ def articles_by_outlet(articles: DataFrame, outlets: DataFrame) -> DataFrame:
     newest = rows.groupBy("story_id", "outlet_id").agg(
         F.max("published_at").alias("outlet_newest"), F.count(F.lit(1)).alias("outlet_articles")
     )
-    return rows.join(newest, ["story_id", "outlet_id"]).join(
+    return salted_lookup(rows, newest, ["story_id", "outlet_id"], "article_id", how="inner").join(
         outlets.select("outlet_id", "slug", "name", "website"), "outlet_id"
     )
 
