@@ -16,9 +16,10 @@ Shape of the computation:
 2. Distinct vectors are compared exactly.  A support-length bound drops pairs
    that cannot reach the threshold: a vector with s non-zero components has a
    dot product of at most the norm of the other's s largest components.  Vectors
-   are put into classes by s; class pairs under the bound are never joined, and
-   the rest meet in fixed-size blocks whose products run in numpy.  A block
-   returns at most one best partner per query; pairs are never emitted.
+   are put into classes by s and by the support they demand of a partner; class
+   pairs under the bound are never joined, and the rest meet in blocks of bounded
+   size whose products run in numpy.  A block returns at most one best partner
+   per query; pairs are never emitted.
 3. Roots come from pointer jumping over one node per distinct vector.
 
 Similarities are rounded to 6 places, as stored vectors carry that precision.
@@ -26,6 +27,9 @@ Similarities are rounded to 6 places, as stored vectors carry that precision.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -36,7 +40,8 @@ from pressgrid.operators.dashboards import since
 from pressgrid.operators.joins import salted_lookup
 from pressgrid.session import cut_lineage
 
-BLOCK_ROWS = 16384
+BLOCK_ROWS = 16384  # largest block: about 50 MB of vectors a side at 384 dimensions
+SMALL_BLOCK = 1024
 QUERY_SLICE = 512
 DIGITS = 6
 EARLIER, EXISTING = 0, 1  # the two questions a query vector asks
@@ -69,7 +74,6 @@ def _reach(threshold: float):
 
 def _members(articles: DataFrame, as_of: Column, lookback_days: int) -> DataFrame:
     """Articles with a vector: group hash, order, and whether they may be a predecessor."""
-    length = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x)
     return articles.where(F.col("embedding").isNotNull()).select(
         "article_id",
         F.xxhash64("embedding").alias("h1"),
@@ -81,7 +85,7 @@ def _members(articles: DataFrame, as_of: Column, lookback_days: int) -> DataFram
             F.col("story_id").cast("long").alias("story_id"),
         ).alias("place"),
         (F.col("published_at") >= since(as_of, days=lookback_days)).alias("is_candidate"),
-        (length > 0).alias("has_length"),
+        F.exists("embedding", lambda x: x != 0).alias("has_length"),
         "embedding",
     )
 
@@ -98,33 +102,54 @@ def _groups(members: DataFrame, threshold: float) -> DataFrame:
     return sized.select(
         *GROUP, "first", "asks", "embedding",
         F.col("r.support").alias("support"), F.col("r.reach").alias("reach"),
-        F.floor(F.log2("r.support")).cast("int").alias("size_class"),
+        (F.floor(F.log2("r.support")) * 64 + F.floor(F.log2("r.reach"))).cast("int").alias("size_class"),
     )
 
 
-def _plan_blocks(groups: DataFrame, block_rows: int) -> tuple[dict, dict, list[tuple[int, int]]]:
-    """Blocks per class for queries and candidates, and the class pairs that can reach the threshold.
+@dataclass
+class BlockPlan:
+    """Class of each size class after merging, blocks per class, and the class pairs to compare."""
+
+    merged: dict[int, int]
+    q_blocks: dict[int, int]
+    c_blocks: dict[int, int]
+    pairs: list[tuple[int, int]]
+
 
-    The collected summary has one row per class: at most log2(dimension) + 1.
+def _plan_blocks(groups: DataFrame, block_rows: int) -> BlockPlan:
+    """Decide classes and blocks from a summary of one row per size class.
+
+    The collected summary is bounded by the square of log2(dimension) + 1.
+    Blocks shrink on small input, so that all cores get some; classes too small
+    for half a block are put together, their bounds being the loosest of theirs.
     """
     is_candidate = F.col("first").isNotNull()
     summary = groups.groupBy("size_class").agg(
-        F.count_if("asks").alias("n_q"),
-        F.max(F.when(F.col("asks"), F.col("support"))).alias("q_support"),
-        F.min(F.when(F.col("asks"), F.col("reach"))).alias("q_reach"),
-        F.count_if(is_candidate).alias("n_c"),
-        F.max(F.when(is_candidate, F.col("support"))).alias("c_support"),
-        F.min(F.when(is_candidate, F.col("reach"))).alias("c_reach"),
+        F.count_if("asks").alias("n_q"), F.count_if(is_candidate).alias("n_c"),
+        F.max("support").alias("support"), F.min("reach").alias("reach"),
     ).collect()
-    q_blocks = {r.size_class: -(-r.n_q // block_rows) for r in summary if r.n_q}
-    c_blocks = {r.size_class: -(-r.n_c // block_rows) for r in summary if r.n_c}
-    pairs = [
-        (q.size_class, c.size_class)
-        for q in summary if q.n_q
-        for c in summary if c.n_c
-        if c.c_support >= q.q_reach and q.q_support >= c.c_reach
-    ]
-    return q_blocks, c_blocks, pairs
+    cores = groups.sparkSession.sparkContext.defaultParallelism
+    most = max((sum(r.n_q for r in summary), sum(r.n_c for r in summary)), default=0)
+    rows = min(block_rows, max(SMALL_BLOCK, math.ceil(most / math.ceil(math.sqrt(2 * cores)))))
+    merged = {r.size_class: r.size_class if max(r.n_q, r.n_c) * 2 >= rows else -1 for r in summary}
+    classes: dict[int, dict[str, int]] = {}
+    for r in summary:
+        c = classes.setdefault(merged[r.size_class], {"n_q": 0, "n_c": 0, "support": r.support, "reach": r.reach})
+        c["n_q"] += r.n_q
+        c["n_c"] += r.n_c
+        c["support"] = max(c["support"], r.support)
+        c["reach"] = min(c["reach"], r.reach)
+    return BlockPlan(
+        merged,
+        {k: -(-c["n_q"] // rows) for k, c in classes.items() if c["n_q"]},
+        {k: -(-c["n_c"] // rows) for k, c in classes.items() if c["n_c"]},
+        [
+            (q, c)
+            for q, a in classes.items() if a["n_q"]
+            for c, b in classes.items() if b["n_c"]
+            if b["support"] >= a["reach"] and a["support"] >= b["reach"]
+        ],
+    )
 
 
 def _spread(rows: DataFrame, mine: str, other: str, my_blocks: dict, other_blocks: dict, partners: dict) -> DataFrame:
@@ -210,31 +235,32 @@ def _block_best(threshold: float):
 
 def _group_parents(groups: DataFrame, threshold: float, block_rows: int) -> DataFrame:
     """Per asking group: best earlier partner and best already-clustered partner, at or above the threshold."""
-    q_blocks, c_blocks, pairs = _plan_blocks(groups, block_rows)
+    plan = _plan_blocks(groups, block_rows)
     asking = groups.where("asks")
-    if not pairs:
+    if not plan.pairs:
         nothing = F.lit(None).cast(f"struct<sim:double,place:{ORDER_TYPE}>")
         return asking.select(*GROUP, "first", nothing.alias("earlier"), nothing.alias("existing"))
     met_by_q: dict[int, list[int]] = {}
     met_by_c: dict[int, list[int]] = {}
-    for q, c in pairs:
+    for q, c in plan.pairs:
         met_by_q.setdefault(q, []).append(c)
         met_by_c.setdefault(c, []).append(q)
     # Integers cross into pandas without nulls, so that ids keep all their bits.
     # A query without a candidate of its own sorts before everything.
+    merged = F.create_map(*[F.lit(x) for item in plan.merged.items() for x in item])
     columns = [
-        *GROUP, "size_class", "embedding",
+        *GROUP, F.element_at(merged, F.col("size_class")).alias("size_class"), "embedding",
         F.coalesce("first.in_batch", F.lit(-1)).alias("in_batch"),
         *[F.coalesce(f"first.{c}", F.lit(0).cast("long")).alias(c) for c in ("at", "article_id", "story_id")],
     ]
-    queries = _spread(asking.select(*columns), "q", "c", q_blocks, c_blocks, met_by_q)
-    candidates = _spread(groups.where("first is not null").select(*columns), "c", "q", c_blocks, q_blocks, met_by_c)
+    queries = _spread(asking.select(*columns), "q", "c", plan.q_blocks, plan.c_blocks, met_by_q)
+    candidates = _spread(groups.where("first is not null").select(*columns), "c", "q", plan.c_blocks, plan.q_blocks, met_by_c)
     best = (
         queries.groupBy(*PAIR_KEY).cogroup(candidates.groupBy(*PAIR_KEY)).applyInPandas(_block_best(threshold), BEST_SCHEMA)
     )
     # Highest similarity, then lowest order: the order enters negated.
     ranked = F.struct("sim", (-F.col("in_batch")).alias("b"), (-F.col("at")).alias("t"), (-F.col("article_id")).alias("i"), "story_id")
-    merged = best.groupBy(*GROUP).agg(
+    tops = best.groupBy(*GROUP).agg(
         F.max(F.when(F.col("kind") == EARLIER, ranked)).alias("e"), F.max(F.when(F.col("kind") == EXISTING, ranked)).alias("x")
     )
 
@@ -245,7 +271,7 @@ def _group_parents(groups: DataFrame, threshold: float, block_rows: int) -> Data
         return F.when(c.isNotNull(), F.struct(c["sim"].alias("sim"), place.alias("place")))
 
     return asking.select(*GROUP, "first").join(
-        merged.select(*GROUP, plain("e").alias("earlier"), plain("x").alias("existing")), GROUP, "left"
+        tops.select(*GROUP, plain("e").alias("earlier"), plain("x").alias("existing")), GROUP, "left"
     )
 
 

@@ -63,8 +63,12 @@ def embed_with(df: DataFrame, text_col: str, encoder, out: str = "embedding") ->
 
 
 def sparse_components(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
-    """(key, bucket, weight) of the non-zero components."""
+    """(key, bucket, weight) of the non-zero components.
+
+    The outer form keeps the optimizer from testing the vector's size first,
+    which would compute it twice.
+    """
     return (
-        df.select(key, F.posexplode(vector).alias("bucket", "weight"))
+        df.select(key, F.posexplode_outer(vector).alias("bucket", "weight"))
         .where("weight <> 0")
     )
