@@ -84,7 +84,10 @@ NAMED_ENTITIES = {
 
 
 def unescape_html(col: Column) -> Column:
-    """Decode numeric and common named character references; '&amp;' last."""
+    """Decode numeric and common named character references; '&amp;' last.
+
+    ``col`` is read several times: bind it with ``let`` when it is costly.
+    """
     pieces = F.split(col, r"(?=&#(?:\d{1,7}|[xX][0-9a-fA-F]{1,6});)|(?<=&#[0-9xXa-fA-F]{1,8};)")
 
     def decode(piece: Column) -> Column:
@@ -95,9 +98,7 @@ def unescape_html(col: Column) -> Column:
         )
         return F.coalesce(F.decode(F.unhex(code), "UTF-32"), piece)
 
-    out = F.when(
-        col.contains("&#"), F.array_join(F.transform(pieces, decode), "")
-    ).otherwise(col)
+    out = F.when(col.contains("&#"), F.array_join(F.transform(pieces, decode), "")).otherwise(col)
     for name, char in NAMED_ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(char))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    return F.when(col.contains("&"), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(col)

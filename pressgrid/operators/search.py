@@ -55,6 +55,33 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(root(w) for w in words))
 
 
+def _root_piece(term: str) -> str:
+    """A piece every word with this root holds: the root, or the root without its final y."""
+    return term[:-1] if term.endswith("y") else term
+
+
+def _word_forms(term: str) -> str:
+    """Pattern of every word the suffix rule can take to this root."""
+    plain = rf"{re.escape(term)}(?:s|ed|ing)?"
+    return rf"(?:{plain}|{re.escape(term[:-1])}ies)" if term.endswith("y") else plain
+
+
+def may_match(articles: DataFrame, query: str) -> DataFrame:
+    """Articles whose text holds a word form of every query term: all matches and hardly any others.
+
+    A cheap cut in front of ``fts_tokens`` when no term table is stored: a plain
+    substring test first, the pattern only on what is left.
+    """
+    lowered = F.lower(document_text())
+    terms = query_terms(query)
+    keep = F.lit(bool(terms))
+    for term in terms:
+        keep = keep & F.contains(lowered, F.lit(_root_piece(term)))
+    for term in terms:
+        keep = keep & lowered.rlike(rf"(?<![\p{{L}}\p{{N}}]){_word_forms(term)}(?![\p{{L}}\p{{N}}])")
+    return articles.where(keep)
+
+
 def search_match(tokens: DataFrame, query: str) -> DataFrame:
     """(article_id, rank) of the articles holding every term, from the term table."""
     terms = query_terms(query)
@@ -103,8 +130,8 @@ def with_snippet(df: DataFrame, body: Column, terms: list[str]) -> DataFrame:
     if not terms:
         return df.withColumn("snippet", F.array_join(F.slice(text.words(body), 1, SNIPPET_WORDS), " "))
     wanted = F.array(*[F.lit(t) for t in terms])
-    # A word whose root is t holds t, or t without its final y: most words fail this at once.
-    roots = "|".join(re.escape(t[:-1] if t.endswith("y") else t) for t in terms)
+    # Most words fail this at once.
+    roots = "|".join(re.escape(_root_piece(t)) for t in terms)
 
     def is_hit(word: Column) -> Column:
         parts = text.raw_terms(word)

@@ -392,9 +392,15 @@ add("framing_label_norm", lambda t: stories.framing_label_norm(
 # --- search -------------------------------------------------------------------------------
 
 add("fts_tokens", lambda t: search.fts_tokens(t.articles))
-add("search_match", lambda t: search.search_match(search.fts_tokens(t.articles), SEARCH))
-add("search_total", lambda t: search.search_total(search.fts_tokens(t.articles), SEARCH))
-add("search_ranked", lambda t: search.search_ranked(search.fts_tokens(t.articles), t.articles, t.outlets, SEARCH))
+
+
+def _search_tokens(t: Tables) -> DataFrame:
+    return search.fts_tokens(search.may_match(t.articles, SEARCH))
+
+
+add("search_match", lambda t: search.search_match(_search_tokens(t), SEARCH))
+add("search_total", lambda t: search.search_total(_search_tokens(t), SEARCH))
+add("search_ranked", lambda t: search.search_ranked(_search_tokens(t), t.articles, t.outlets, SEARCH))
 add("search_snippet", lambda t: search.search_snippet(t.articles, SEARCH))
 
 # --- quality and reports --------------------------------------------------------------------

@@ -20,15 +20,22 @@ def main_text(html: Column) -> Column:
     out = F.regexp_replace(html, "(?s)<!--.*?-->", "")
     for tag in DROPPED:
         out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "\n")
-    inside = F.regexp_extract(out, r"(?is)<article\b[^>]*>(.*)</article\s*>", 1)
-    body = F.regexp_extract(out, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|$)", 1)
-    region = F.coalesce(F.nullif(inside, F.lit("")), F.nullif(body, F.lit("")), out)
-    lines = F.regexp_replace(region, BLOCK, "\n")
-    bare = text.unescape_html(F.regexp_replace(lines, "(?s)<[^>]*>", ""))
-    kept = F.filter(
-        F.transform(F.split(bare, "\n"), lambda l: text.strip(F.regexp_replace(l, rf"{text.SPACE}+", " "))), lambda l: l != ""
-    )
-    return F.nullif(F.array_join(kept, "\n"), F.lit(""))
+
+    def region(clean: Column) -> Column:
+        inside = F.regexp_extract(clean, r"(?is)<article\b[^>]*>(.*)</article\s*>", 1)
+        body = F.regexp_extract(clean, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|$)", 1)
+        return text.let(inside, lambda x: F.when(x != "", x).otherwise(
+            text.let(body, lambda y: F.when(y != "", y).otherwise(clean))))
+
+    def lines(part: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(part, BLOCK, "\n"), "(?s)<[^>]*>", "")
+        split = F.split(text.let(bare, text.unescape_html), "\n")
+        tidy = F.transform(split, lambda l: text.strip(F.regexp_replace(l, rf"{text.SPACE}+", " ")))
+        return F.array_join(F.filter(tidy, lambda l: l != ""), "\n")
+
+    # Each step is bound once: the next one reads it more than once.
+    joined = text.let(out, lambda clean: text.let(region(clean), lines))
+    return text.let(joined, lambda x: F.when(x != "", x))
 
 
 def article_main_text(pages: DataFrame) -> DataFrame:
