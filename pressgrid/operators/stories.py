@@ -379,7 +379,9 @@ def _inner_list(value: Column, keys: tuple[str, ...]) -> Column:
 
 def _json_cells(comparisons: DataFrame, column: str) -> DataFrame:
     parsed = F.try_variant_get(F.try_parse_json(F.col(column)), "$", "map<string,variant>")
-    return comparisons.select("story_id", F.explode(parsed).alias("key", "cell")).withColumn("slug", text.strip(F.col("key")))
+    # Outer, so that no size test makes Spark parse each document twice.
+    cells = comparisons.select("story_id", F.explode_outer(parsed).alias("key", "cell")).where("key is not null")
+    return cells.withColumn("slug", text.strip(F.col("key")))
 
 
 def _outlet_names(cells: DataFrame, articles: DataFrame, outlets: DataFrame) -> DataFrame:
@@ -506,7 +508,7 @@ def coverage_gaps(comparisons: DataFrame, articles: DataFrame, outlets: DataFram
         .when(kind == "VOID", F.array().cast("array<string>"))
         .otherwise(F.filter(F.array(readable(cell)), lambda s: s != ""))
     )
-    return cells.select("story_id", "slug", "name", F.posexplode(items).alias("pos", "item"))
+    return cells.select("story_id", "slug", "name", F.posexplode_outer(items).alias("pos", "item")).where("item is not null")
 
 
 # --- sources, quotes, entities --------------------------------------------------------

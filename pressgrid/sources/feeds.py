@@ -32,7 +32,9 @@ def feed_items(raw_feeds: DataFrame) -> DataFrame:
     parsed = raw_feeds.where("http_status = 200").select(
         "outlet_slug", "fetched_at", F.from_xml("xml", FEED_SCHEMA).alias("feed")
     )
-    return parsed.select("outlet_slug", "fetched_at", F.posexplode("feed.channel.item").alias("item_no", "i"))
+    # Outer, so that no size test makes Spark parse each feed twice.
+    items = parsed.select("outlet_slug", "fetched_at", F.posexplode_outer("feed.channel.item").alias("item_no", "i"))
+    return items.where("i is not null")
 
 
 def feed_entries(raw_feeds: DataFrame) -> DataFrame:
