@@ -4,17 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pressgrid.llm import quality_rules
+from pressgrid.llm import bpe, packing, quality_rules
 from pressgrid.llm.store import documents_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary(spark: SparkSession) -> str:
+    """Path of the installed public vocabulary; the session can name another."""
+    return spark.conf.get("pressgrid.vocabulary", None) or public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(documents_of(spark, sf_dir), vocabulary(spark))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents_of(spark, sf_dir))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents_of(spark, sf_dir), vocabulary(spark))
+
+
 def all_queries() -> dict[str, Query]:
     return {name: value for name, value in globals().items() if name.startswith("op") and callable(value)}
