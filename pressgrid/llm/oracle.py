@@ -57,5 +57,13 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_sy
 FROM base"""
 
 
+EXACT_DEDUP = r"""
+WITH normal AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS normal FROM documents)
+SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = min(doc_id) OVER same AS kept, sha256(normal) AS text_sha256
+FROM normal WINDOW same AS (PARTITION BY normal)"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality_rules_sql()}
+    return {"op3_exact_dedup": EXACT_DEDUP, "op4_quality_rules": quality_rules_sql()}
