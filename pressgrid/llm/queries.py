@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pressgrid.llm import bpe, exact_dedup, packing, quality_rules
-from pressgrid.llm.store import documents_of
+from pressgrid.llm import bpe, exact_dedup, learning, packing, quality_model, quality_rules, toxicity
+from pressgrid.llm.store import documents_of, labels_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,12 @@ def vocabulary(spark: SparkSession) -> str:
     return spark.conf.get("pressgrid.vocabulary", None) or public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = documents_of(spark, sf_dir)
+    scored = toxicity.toxicity(documents, toxicity.train(documents, labels_of(spark, sf_dir)))
+    return scored.withColumn("held_out", learning.held_out(F.col("doc_id"), *toxicity.HOLD))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents_of(spark, sf_dir), vocabulary(spark))
 
@@ -34,5 +40,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents_of(spark, sf_dir), vocabulary(spark))
 
 
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = documents_of(spark, sf_dir)
+    scored = quality_model.quality(documents, quality_model.train(documents, labels_of(spark, sf_dir)))
+    return scored.withColumn("held_out", learning.held_out(F.col("doc_id"), *quality_model.HOLD))
+
+
 def all_queries() -> dict[str, Query]:
     return {name: value for name, value in globals().items() if name.startswith("op") and callable(value)}
