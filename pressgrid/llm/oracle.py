@@ -65,5 +65,21 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM normal WINDOW same AS (PARTITION BY normal)"""
 
 
+SUBSTRING_DEDUP = rf"""
+WITH {_WORD_LISTS},
+windows AS (
+  SELECT rn, doc_id, i, list_aggregate(w[i:i + 12], 'string_agg', ' ') AS win
+  FROM words, unnest(range(1, len(w) - 11)) AS r(i) WHERE len(w) >= 13),
+later AS (SELECT rn, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY win) AS first FROM windows) WHERE doc_id > first),
+gone AS (SELECT rn, list(DISTINCT i + k) AS places FROM later, unnest(range(0, 13)) AS r(k) GROUP BY rn),
+kept AS (
+  SELECT doc_id, rn, w, p, w[p] AS word FROM words LEFT JOIN gone USING (rn), unnest(range(1, len(w) + 1)) AS r(p)
+  WHERE places IS NULL OR NOT list_contains(places, p)),
+joined AS (SELECT rn, string_agg(word, ' ' ORDER BY p) AS text FROM kept GROUP BY rn)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_removed,
+       sha256(coalesce(joined.text, '')) AS kept_sha256
+FROM words LEFT JOIN gone USING (rn) LEFT JOIN joined USING (rn)"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": EXACT_DEDUP, "op4_quality_rules": quality_rules_sql()}
+    return {"op7_substring_dedup": SUBSTRING_DEDUP, "op3_exact_dedup": EXACT_DEDUP, "op4_quality_rules": quality_rules_sql()}

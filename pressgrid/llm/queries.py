@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pressgrid.llm import bpe, exact_dedup, learning, packing, quality_model, quality_rules, toxicity
+from pressgrid.llm import bpe, exact_dedup, learning, packing, quality_model, quality_rules, substring_dedup, toxicity
 from pressgrid.llm.store import documents_of, labels_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents_of(spark, sf_dir))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.substring_dedup(documents_of(spark, sf_dir).select("doc_id", "text"))
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), exact_dedup.SPACES, " "))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents_of(spark, sf_dir), vocabulary(spark))
 
