@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pressgrid.llm import bpe, exact_dedup, learning, packing, quality_model, quality_rules, substring_dedup, toxicity
+from pressgrid.llm import bpe, exact_dedup, jaccard_join, learning, packing, quality_model, quality_rules, substring_dedup, toxicity
 from pressgrid.llm.store import documents_of, labels_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents_of(spark, sf_dir), vocabulary(spark))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(documents_of(spark, sf_dir))
+
+
 def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = documents_of(spark, sf_dir)
     scored = quality_model.quality(documents, quality_model.train(documents, labels_of(spark, sf_dir)))
