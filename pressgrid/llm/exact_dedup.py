@@ -148,3 +148,17 @@ def exact_dedup(documents: DataFrame, incoming: Column | None = None) -> DataFra
         (F.col("row_no") == F.col("keep.row_no")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
     )
+
+
+def distinct_documents(documents: DataFrame) -> DataFrame:
+    """The documents that stay, unchanged; of rows with the same doc_id and text one stays."""
+    kept = exact_dedup(documents).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__sha"))
+    sha = F.unhex(F.sha2(normalised(F.col("text")), 256))
+    found = documents.withColumn("__own", sha).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
+    # Rows that share doc_id and text are rare; only they go through the second grouping.
+    again = stash(digests(documents).groupBy("doc_id", "sha").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")), "repeated")
+    if again.isEmpty():
+        return found.drop("__own")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
+    once = found.join(again, same, "left_semi").dropDuplicates(["doc_id", "__own"])
+    return found.join(again, same, "left_anti").unionByName(once).drop("__own")

@@ -381,3 +381,13 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int =
     return with_set.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).unionByName(
         rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     )
+
+
+def one_of_each(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The documents without those linked, directly or by others, to a smaller doc_id; texts without words all stay.
+
+    Of a group without any doc_id all stay, for nothing tells them apart.
+    """
+    found = jaccard_components(documents, size, percent)
+    gone = found.where("not (doc_id <=> component_id)").select(F.coalesce("doc_id", F.lit(LAST)).alias("__gone")).distinct()
+    return documents.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("__gone"), "left_anti")

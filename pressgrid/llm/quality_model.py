@@ -207,7 +207,7 @@ def train(documents: DataFrame, labels: DataFrame, limit: int = learning.SAMPLE_
 
 
 def quality(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, predicted for every document, and its other columns."""
+    """doc_id, score, predicted for every document."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,3 +218,14 @@ def quality(documents: DataFrame, model: Model) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
     scored = documents.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double")
     return scored.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def good_documents(documents: DataFrame, model: Model) -> DataFrame:
+    """The documents the model does not reject, unchanged."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, data, offsets in W.text_slices(batch.column("text")):
+                yield batch.slice(low, high - low).filter(pa.array(scores(model, features(data, offsets)) >= THRESHOLD))
+
+    return documents.mapInArrow(keep, documents.schema)
