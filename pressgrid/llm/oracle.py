@@ -81,5 +81,20 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(places), 0)::BIGINT AS n_
 FROM words LEFT JOIN gone USING (rn) LEFT JOIN joined USING (rn)"""
 
 
+CHAT_FORMAT = """
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, role, text
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)),
+chats AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY k) AS said, count(*) AS n_turns FROM turns GROUP BY conv_id),
+starts AS (SELECT DISTINCT said[1:k] AS said FROM chats, unnest(range(1, n_turns)) AS r(k)),
+kept AS (
+  SELECT min(conv_id) AS conv_id, said, any_value(n_turns) AS n_turns, count(*) AS copies
+  FROM chats WHERE said NOT IN (SELECT said FROM starts) GROUP BY said)
+SELECT conv_id, (k - 1) // 64 AS part, n_turns, copies,
+       string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY k) AS rendered
+FROM kept JOIN turns USING (conv_id) GROUP BY conv_id, (k - 1) // 64, n_turns, copies"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op7_substring_dedup": SUBSTRING_DEDUP, "op3_exact_dedup": EXACT_DEDUP, "op4_quality_rules": quality_rules_sql()}
+    return {"op5_chat_format": CHAT_FORMAT, "op7_substring_dedup": SUBSTRING_DEDUP, "op3_exact_dedup": EXACT_DEDUP, "op4_quality_rules": quality_rules_sql()}

@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pressgrid.llm import bpe, exact_dedup, jaccard_join, learning, packing, quality_model, quality_rules, substring_dedup, toxicity
+from pressgrid.llm import bpe, chat_format, exact_dedup, jaccard_join, learning, packing, quality_model, quality_rules, substring_dedup, toxicity
 from pressgrid.llm.store import documents_of, labels_of
+from pressgrid.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +37,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents_of(spark, sf_dir))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+    return chat_format.format_chats(conversations)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.substring_dedup(documents_of(spark, sf_dir).select("doc_id", "text"))
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), exact_dedup.SPACES, " "))
