@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pressgrid.llm import bpe, chat_format, exact_dedup, jaccard_join, learning, packing, quality_model, quality_rules, substring_dedup, toxicity
+from pressgrid.llm import bpe, chat_format, exact_dedup, jaccard_join, learning, line_dedup, packing, quality_model, quality_rules, substring_dedup, toxicity
 from pressgrid.llm.store import documents_of, labels_of
 from pressgrid.session import prepare
 
@@ -42,6 +42,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(conversations)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.line_dedup(documents_of(spark, sf_dir).select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.substring_dedup(documents_of(spark, sf_dir).select("doc_id", "text"))
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), exact_dedup.SPACES, " "))
