@@ -154,7 +154,7 @@ def first_shingles(documents: DataFrame, heavy: np.ndarray, size: int, percent:
 
 
 def _ones(maps: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(maps).sum(axis=-1).astype(np.int64)
+    return np.bitwise_count(maps.view(np.uint64)).sum(axis=-1).astype(np.int64)  # of signed values numpy counts the absolute ones
 
 
 class Level:
@@ -195,7 +195,7 @@ def tree_pairs(leaves: Level, percent: int) -> tuple[np.ndarray, np.ndarray]:
     child = np.arange(FANOUT)
     for level in reversed(levels[:-1]):
         count = len(level.low)
-        found_i, found_j = [], []
+        found_i, found_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for part in range(0, len(i), 4096):
             a = (i[part : part + 4096, None, None] * FANOUT + child[None, :, None]).repeat(FANOUT, axis=2).ravel()
             b = (j[part : part + 4096, None, None] * FANOUT + child[None, None, :]).repeat(FANOUT, axis=1).ravel()
