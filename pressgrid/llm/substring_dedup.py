@@ -141,7 +141,7 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lists = batch.column("text"), batch.column("hashes")
+            texts, lists = batch.column("text"), batch.column("__hashes")
             out, totals, gone = [], [], []
             for low, high, data, offsets in W.text_slices(texts):
                 words = W.find_words(data, offsets)
@@ -178,4 +178,4 @@ def substring_dedup(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     later = repeated_windows(documents, window).select(F.col("doc").alias("__doc"), F.col("hashes").alias("__hashes"))
     joined = documents.select(*columns).join(later, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("__doc"), "left")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(*columns).schema.fields)
-    return joined.select(*columns, F.col("__hashes").alias("hashes")).mapInArrow(cut, f"{schema}, n_words long, n_removed long")
+    return joined.select(*columns, "__hashes").mapInArrow(cut, f"{schema}, n_words long, n_removed long")
