@@ -80,7 +80,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             top / some,
             total(data >= 128) / np.maximum(offsets[1:] - offsets[:-1], 1),
             total(data == 10) / some,
-            1 - distinct_triples / np.maximum(triples, 1),
+            (triples - distinct_triples) / np.maximum(triples, 1),
         ],
         axis=1,
     )

@@ -71,8 +71,11 @@ def first_level(documents: DataFrame, window: int, inner: int) -> DataFrame:
     return _keyed(documents).mapInArrow(read, "hash long, doc long, at int")
 
 
-def extended(documents: DataFrame, places: DataFrame, window: int, inner: int, outer: int) -> DataFrame:
-    """(hash, check, doc, at): windows of ``outer`` words over the inner windows found at ``places`` (doc, ats)."""
+def extended(documents: DataFrame, places: DataFrame, inner: int, outer: int, stand: bool) -> DataFrame:
+    """(hash, check, doc, at): windows of ``outer`` words over the inner windows found at ``places`` (doc, ats).
+
+    With ``stand``, only those whose standing inner window was found.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +92,7 @@ def extended(documents: DataFrame, places: DataFrame, window: int, inner: int, o
                 hit = np.zeros(len(words.row) + 1, bool)
                 hit[listed] = True
                 starts = W.window_starts(words, outer)
-                if outer == window:
+                if stand:
                     starts = starts[hit[standing(W.window_hashes(own, inner), starts, inner, outer)]]
                 else:
                     reach = np.concatenate(([0], np.cumsum(hit)))
@@ -126,7 +129,7 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW) -> DataFrame:
         survivors = found.select(*keys, "doc", "at").join(several.select(*keys), keys, "left_semi")
         # A document's list is no longer than the document.
         places = stash(survivors.groupBy("doc").agg(F.collect_list("at").alias("ats")), f"places-{inner}")
-        found, keys = stash(extended(documents, places, window, inner, outer), f"windows-{outer}"), ["hash", "check"]
+        found, keys = stash(extended(documents, places, inner, outer, stand=len(lengths) == 2), f"windows-{outer}"), ["hash", "check"]
     several = stash(_in_several(found, keys), f"repeats-{window}")
     later = found.select(*keys, "doc").join(several, keys).where("doc > first")
     return stash(later.groupBy("doc").agg(F.collect_list("hash").alias("hashes")), "later-windows")

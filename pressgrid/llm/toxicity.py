@@ -94,7 +94,7 @@ def fit(sets: list[np.ndarray], y: np.ndarray, passes: int = 10, rate: float = 0
     random = np.random.default_rng(7)
     n = len(features)
     w, v, bias = np.zeros(n), random.normal(0, 0.01, (n, FACTORS)), nothing.bias
-    gw, gv, gb = np.full(n, 1e-6), np.full(n, 1e-6), 1e-6
+    gw, gv, gb = np.full(n, 1e-6), np.full(n, 1e-4), 1e-6
     for _ in range(passes):
         for some in np.array_split(random.permutation(len(sets)), max(1, len(sets) // batch)):
             lengths = begin[some + 1] - begin[some]
