@@ -23,7 +23,6 @@ NEXT_STATE = {
 FAILED_STATE = {
     "discovered": "failed_extract",
     "extracted": "failed_embed",
-    "embedded": "failed_embed",
     "clustered": "failed_analyze",
 }
 RUN_TRIGGERS = ("cron", "manual", "backfill")
@@ -41,6 +40,14 @@ COMPARE_MIN_ARTICLES = 2
 COMPARE_MIN_OUTLETS = 2
 FRAMING_LABELS = ("critical", "neutral", "supportive", "mixed", "insufficient")
 DISPLAY_LABELS = ("critical", "neutral", "supportive", "mixed", "insufficient", "unlabeled")
+STANCE_WORDS = {
+    "supports": "supports", "support": "supports", "supportive": "supports",
+    "criticizes": "criticizes", "critical": "criticizes", "criticises": "criticizes",
+    "neutral": "neutral",
+    "unclear": "unclear", "mixed": "unclear",
+}
+QUOTE_MARKS = "\"“”'‘’"
+NO_SPEAKER = "Unattributed"
 QUOTE_STANCES = ("supports", "criticizes", "neutral", "unclear")
 ENTITY_KINDS = ("people", "organizations", "locations", "other")
 SOURCE_CATEGORIES = (

@@ -29,17 +29,17 @@ def bias_category(source: Column, label: Column) -> Column:
     return F.try_element_at(F.create_map(*entries), key)
 
 
+def _looked_up(table: dict[str, str], key: Column, default: str) -> Column:
+    entries = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+    return F.coalesce(F.try_element_at(entries, key), F.lit(default))
+
+
 def quote_stance(col: Column) -> Column:
-    raw = F.lower(strip(F.coalesce(col, F.lit(""))))
-    return (
-        F.when(raw.isin("supports", "support", "supportive"), "supports")
-        .when(raw.isin("criticizes", "critical", "criticises"), "criticizes")
-        .when(raw == "neutral", "neutral")
-        .when(raw.isin("unclear", "mixed"), "unclear")
-        .otherwise("unknown")
-    )
+    return _looked_up(C.STANCE_WORDS, F.lower(strip(col)), "unknown")
 
 
 def source_category(col: Column) -> Column:
-    folded = F.regexp_replace(F.lower(strip(col)), r"[\s-]+", "_")
-    return F.when(folded.isin(*C.SOURCE_CATEGORIES), folded).otherwise("other")
+    """One of the fixed categories; blanks and hyphens between words count as one underscore."""
+    blank = F.translate(F.lower(strip(col)), "-\t\n\x0b\f\r", " " * 6)
+    folded = F.array_join(F.filter(F.split(blank, " "), lambda part: part != ""), "_")
+    return _looked_up({c: c for c in C.SOURCE_CATEGORIES}, F.when(blank == F.btrim(blank), folded), "other")

@@ -37,7 +37,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pressgrid import constants as C
 from pressgrid.functions.vectors import cosine_similarity
 from pressgrid.operators.dashboards import since
-from pressgrid.operators.joins import salted_lookup
 from pressgrid.session import cut_lineage
 
 BLOCK_ROWS = 16384  # largest block: about 50 MB of vectors a side at 384 dimensions
@@ -308,7 +307,7 @@ def nearest_predecessor(
     """
     batch, parents = _parents(articles, as_of, lookback_days, threshold, block_rows)
     sim, place = _partner_columns()
-    return salted_lookup(batch, parents, GROUP, "article_id").select(
+    return batch.join(parents, GROUP, "left").select(
         "article_id", place["article_id"].alias("parent_id"), sim.alias("similarity")
     )
 
@@ -324,7 +323,7 @@ def _resolve_roots(nodes: DataFrame) -> DataFrame:
         if open_rows.isEmpty():
             return nodes.select("node", "story_id", "is_new")
         targets = nodes.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"), F.col("story_id").alias("s"), F.col("is_new").alias("n"))
-        jumped = salted_lookup(open_rows, targets, ["ptr"], "node").select(
+        jumped = open_rows.join(targets, ["ptr"], "left").select(
             "node", F.col("next").alias("ptr"), F.col("s").alias("story_id"), F.col("n").alias("is_new")
         )
         nodes = nodes.where("ptr is null").unionByName(jumped)
@@ -354,7 +353,7 @@ def assign_stories(
         roots.withColumnRenamed("story_id", "root_story"), "node", "left"
     ).select(*GROUP, "first", "earlier", "existing", "root_story", "is_new")
     sim, place = _partner_columns()
-    rows = salted_lookup(batch, resolved, GROUP, "article_id").withColumn("sim", sim).withColumn("place", place)
+    rows = batch.join(resolved, GROUP, "left").withColumn("sim", sim).withColumn("place", place)
     alone = F.col("place").isNull()
     joins_existing = F.col("place.in_batch") == 0
     return rows.select(

@@ -58,22 +58,26 @@ def article_detail(articles: DataFrame, outlets: DataFrame, analysis: DataFrame,
     )
 
 
-def embed_text_of(headline: Column, body: Column) -> Column:
-    """Headline, blank line, first 2000 characters of the body, trimmed."""
-    start = F.substring(F.coalesce(body, F.lit("")), 1, C.EMBED_BODY_CHARS)
-    return text.strip(F.concat(headline, F.lit("\n\n"), start))
+def embed_text_of(headline: Column, body: Column, body_chars: int | None = None) -> Column:
+    """Headline, blank line, body (its first ``body_chars`` characters if given), trimmed."""
+    body = F.coalesce(body, F.lit(""))
+    return text.strip(F.concat(headline, F.lit("\n\n"), body if body_chars is None else F.substring(body, 1, body_chars)))
 
 
-def embed_text(articles: DataFrame) -> DataFrame:
-    return articles.select("article_id", embed_text_of(F.col("headline"), F.col("full_text")).alias("embed_text"))
+def embed_text(articles: DataFrame, body_chars: int = C.EMBED_BODY_CHARS) -> DataFrame:
+    """Text for an encoder that reads only the first ``body_chars`` characters of a body."""
+    return articles.select("article_id", embed_text_of(F.col("headline"), F.col("full_text"), body_chars).alias("embed_text"))
 
 
-def enrich_requests(articles: DataFrame, outlets: DataFrame, template: str) -> DataFrame:
-    """Request text per article; the body goes in last, so marks inside it stay as they are."""
+def enrich_requests(articles: DataFrame, outlets: DataFrame, template: str, body_chars: int = C.PROMPT_BODY_CHARS) -> DataFrame:
+    """Request text per article with the first ``body_chars`` characters of the body.
+
+    The body goes in last, so marks inside it stay as they are.
+    """
     blank = F.lit("")
     filled = F.replace(F.lit(template), F.lit("{outlet_slug}"), F.coalesce("slug", blank))
     filled = F.replace(filled, F.lit("{headline}"), F.coalesce("headline", blank))
-    body = F.substring(F.coalesce("full_text", blank), 1, C.PROMPT_BODY_CHARS)
+    body = F.substring(F.coalesce("full_text", blank), 1, body_chars)
     return (
         articles.select("article_id", "outlet_id", "headline", "full_text")
         .join(outlets.select("outlet_id", "slug"), "outlet_id")

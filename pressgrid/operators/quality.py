@@ -149,21 +149,22 @@ def story_stats(stories: DataFrame) -> DataFrame:
     )
 
 
-def recent_articles(articles: DataFrame, outlets: DataFrame, n: int = 5) -> DataFrame:
+def recent_articles(articles: DataFrame, outlets: DataFrame, n: int = 5, headline_chars: int = 60) -> DataFrame:
+    """The ``n`` latest articles with the first ``headline_chars`` characters of their headline."""
     return (
         articles.orderBy(F.desc("article_id")).limit(n)
-        .select("article_id", "outlet_id", "processing_state", "attempt_count", F.substring("headline", 1, 60).alias("headline"), "story_id")
+        .select("article_id", "outlet_id", "processing_state", "attempt_count", F.substring("headline", 1, headline_chars).alias("headline"), "story_id")
         .join(outlets.select("outlet_id", "slug"), "outlet_id")
         .drop("outlet_id")
     )
 
 
-def failed_articles(articles: DataFrame, outlets: DataFrame, n: int = 10) -> DataFrame:
-    """The latest failed articles with the start of their error."""
+def failed_articles(articles: DataFrame, outlets: DataFrame, n: int = 10, error_chars: int = 200) -> DataFrame:
+    """The ``n`` latest failed articles with the first ``error_chars`` characters of their error."""
     return (
         articles.where(F.col("processing_state").isin("failed_extract", "failed_embed", "failed_analyze"))
         .orderBy(F.desc("article_id")).limit(n)
-        .select("article_id", "outlet_id", "processing_state", "attempt_count", F.substring("state_error", 1, 200).alias("error"), "url")
+        .select("article_id", "outlet_id", "processing_state", "attempt_count", F.substring("state_error", 1, error_chars).alias("error"), "url")
         .join(outlets.select("outlet_id", "slug"), "outlet_id")
         .drop("outlet_id")
     )

@@ -7,7 +7,6 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgrid import constants as C
-from pressgrid.operators.joins import salted_lookup
 
 
 def _lookup(mapping: dict[str, str], key: Column) -> Column:
@@ -22,7 +21,7 @@ def is_rate_limit(name: Column, code: Column, status: Column) -> Column:
     return by_name | by_code | by_status
 
 
-def _advance(articles: DataFrame, outcomes: DataFrame, as_of: Column, held: Column) -> DataFrame:
+def _advance(articles: DataFrame, outcomes: DataFrame, as_of: Column, held: Column, error_chars: int) -> DataFrame:
     attempts = F.coalesce("attempt_count", F.lit(0).cast("long")) + 1
     touched = F.col("ok").isNotNull()
     success = F.coalesce("ok", F.lit(False))
@@ -37,28 +36,31 @@ def _advance(articles: DataFrame, outcomes: DataFrame, as_of: Column, held: Colu
         .otherwise(state).alias("processing_state"),
         F.when(touched, as_of).otherwise(F.col("state_updated_at")).alias("state_updated_at"),
         F.when(success, F.lit(None).cast("string"))
-        .when(touched, F.substring("error", 1, C.ERROR_CHARS))
+        .when(touched, F.substring("error", 1, error_chars))
         .otherwise(F.col("state_error")).alias("state_error"),
         F.when(success, F.lit(0).cast("long")).when(failure, attempts).otherwise(F.col("attempt_count")).alias("attempt_count"),
     )
 
 
-def apply_outcomes(articles: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
-    """Success: next state, counter 0, no error.  Failure: counter + 1; the third one is final."""
-    return _advance(articles, outcomes.select("article_id", "ok", "error"), as_of, F.lit(False))
+def apply_outcomes(articles: DataFrame, outcomes: DataFrame, as_of: Column, error_chars: int = C.ERROR_CHARS) -> DataFrame:
+    """Success: next state, counter 0, no error.  Failure: counter + 1; the third one is final.
+
+    The first ``error_chars`` characters of an error are stored.
+    """
+    return _advance(articles, outcomes.select("article_id", "ok", "error"), as_of, F.lit(False), error_chars)
 
 
-def apply_llm_outcomes(articles: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
+def apply_llm_outcomes(articles: DataFrame, outcomes: DataFrame, as_of: Column, error_chars: int = C.ERROR_CHARS) -> DataFrame:
     """As ``apply_outcomes``, but a rate limit only records the error; state and counter stay."""
     held = is_rate_limit(F.col("error_name"), F.col("error_code"), F.col("error_status"))
-    return _advance(articles, outcomes.select("article_id", "ok", "error", "error_name", "error_code", "error_status"), as_of, held)
+    return _advance(articles, outcomes.select("article_id", "ok", "error", "error_name", "error_code", "error_status"), as_of, held, error_chars)
 
 
 def advance_compared(articles: DataFrame, compared: DataFrame, as_of: Column) -> DataFrame:
     """Analysed articles of compared stories become complete; the rest is untouched."""
     flags = compared.select("story_id").distinct().withColumn("was_compared", F.lit(True))
     moves = F.coalesce("was_compared", F.lit(False)) & (F.col("processing_state") == "analyzed")
-    return salted_lookup(articles, flags, ["story_id"], "article_id").select(
+    return articles.join(flags, ["story_id"], "left").select(
         *[c for c in articles.columns if c not in ("processing_state", "state_updated_at", "state_error")],
         F.when(moves, F.lit("complete")).otherwise(F.col("processing_state")).alias("processing_state"),
         F.when(moves, as_of).otherwise(F.col("state_updated_at")).alias("state_updated_at"),

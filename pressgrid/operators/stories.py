@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pressgrid import constants as C
 from pressgrid.functions import labels, numbers, text
 from pressgrid.operators.dashboards import since
-from pressgrid.operators.joins import salted_lookup
 
 MAX_IMAGES = 3
 
@@ -164,7 +163,7 @@ def story_detail(
     heads = stories.select("story_id", "title", "topic", "last_seen_at", "article_count").join(
         comparisons.select("story_id", "differences", "framing_spread"), "story_id", "left"
     )
-    return salted_lookup(rows, heads, ["story_id"], "article_id", how="inner")
+    return rows.join(heads, ["story_id"], "inner")
 
 
 # --- positive stories ---------------------------------------------------------
@@ -558,19 +557,16 @@ def outlet_source_shares(distribution: DataFrame) -> DataFrame:
     )
 
 
-QUOTE_MARKS = "[\"“”'‘’]+"
-
-
 def quoted_sources(articles: DataFrame, outlets: DataFrame, analysis: DataFrame) -> DataFrame:
     """Clean quotes of every story; order (article_id, pos)."""
-    bare = text.strip(F.regexp_replace(text.strip(F.col("q.quote")), f"^{QUOTE_MARKS}|{QUOTE_MARKS}$", ""))
+    bare = text.strip(F.btrim(text.strip(F.col("q.quote")), F.lit(C.QUOTE_MARKS)))
     return (
         _story_analysis(articles, outlets, analysis, "quoted_sources")
         .select("story_id", "slug", "name", "article_id", F.posexplode("quoted_sources").alias("pos", "q"))
         .where(text.blank_to_null(F.col("q.quote")).isNotNull())
         .select(
             "story_id", "slug", "name", "article_id", "pos",
-            F.coalesce(text.blank_to_null(F.col("q.speaker")), F.lit("Unattributed")).alias("speaker"),
+            F.coalesce(text.blank_to_null(F.col("q.speaker")), F.lit(C.NO_SPEAKER)).alias("speaker"),
             text.blank_to_null(F.col("q.affiliation")).alias("affiliation"),
             bare.alias("quote"),
             labels.quote_stance(F.col("q.stance")).alias("stance"),
@@ -612,7 +608,7 @@ def articles_by_outlet(articles: DataFrame, outlets: DataFrame) -> DataFrame:
     newest = rows.groupBy("story_id", "outlet_id").agg(
         F.max("published_at").alias("outlet_newest"), F.count(F.lit(1)).alias("outlet_articles")
     )
-    return salted_lookup(rows, newest, ["story_id", "outlet_id"], "article_id", how="inner").join(
+    return rows.join(newest, ["story_id", "outlet_id"], "inner").join(
         outlets.select("outlet_id", "slug", "name", "website"), "outlet_id"
     )
 

@@ -5,12 +5,12 @@ Written against the same given tables; see ``oracle_views`` for the news model.
 
 from __future__ import annotations
 
-from pressgrid.constants import STOP_WORDS
+from pressgrid import constants as C
 from pressgrid.plans.oracle_views import with_views
 
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 WS = r"[\s\x0B\x1c-\x1f\x{85}\p{Z}]"
-STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+STOPS = ", ".join(f"'{w}'" for w in C.STOP_WORDS)
 
 
 def ts(col: str) -> str:
@@ -26,9 +26,9 @@ def blank_null(col: str) -> str:
 
 
 def fold(col: str) -> str:
-    marks = "chr(8216)||chr(8217)||chr(8220)||chr(8221)||chr(8211)||chr(8212)||chr(8209)||chr(8208)||chr(160)||chr(8201)||chr(8239)||chr(8203)"
-    plain = "'''''\"\"----   '"
-    return f"lower({strip(f'''regexp_replace(replace(translate(coalesce({col}, ''), {marks}, {plain}), chr(8230), '...'), '{WS}+', ' ', 'g')''')})"
+    marks = "||".join(f"chr({ord(c)})" for c in C.FOLD_FROM)
+    plain = C.FOLD_TO.replace("'", "''")
+    return f"lower({strip(f'''regexp_replace(replace(translate(coalesce({col}, ''), {marks}, '{plain}'), chr(8230), '...'), '{WS}+', ' ', 'g')''')})"
 
 
 def stem(w: str) -> str:
@@ -77,7 +77,7 @@ SQL: dict[str, str] = {}
 
 # --- sources and upserts ---------------------------------------------------------
 
-TITLE = r"regexp_replace(substr(split_part(text, chr(10), 1), 1, 1200), '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g')"
+TITLE = r"regexp_replace(split_part(text, chr(10), 1), '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g')"
 PUBLISHED = "TIMESTAMP '2024-01-01' + CAST((doc_id * 7919) % 43200 AS INTEGER) * INTERVAL 1 MINUTE"
 USABLE = f"sno % 7 <> 6 AND doc_id % 43 <> 0 AND doc_id % 37 <> 0 AND doc_id % 41 <> 0 AND {blank_null(TITLE)} IS NOT NULL"
 SQL["feed_entries"] = f"""
@@ -123,7 +123,7 @@ FROM offered WHERE url NOT IN (SELECT url FROM n_articles WHERE processing_state
 PLAN = """
 WITH specs AS (SELECT CASE WHEN outlet_id % 4 = 3 THEN 'new-' || slug ELSE slug END AS slug,
                       CASE WHEN outlet_id % 3 = 1 THEN name || ' News' ELSE name END AS name, rss_url, website
-               FROM n_outlets WHERE outlet_id % 6 <> 5),
+               FROM n_outlets),
 plan AS (SELECT s.slug, o.outlet_id, s.name, s.rss_url, s.website, true AS active,
                 CASE WHEN o.outlet_id IS NULL THEN 'insert' WHEN s.name = o.name AND s.rss_url = o.rss_url AND s.website = o.website AND o.active
                      THEN 'unchanged' ELSE 'update' END AS action
@@ -204,8 +204,8 @@ SELECT article_id, outlet_id, story_id, url, headline, author, {ts('published_at
        headline_sentiment::DOUBLE AS headline_sentiment, body_sentiment::DOUBLE AS body_sentiment
 FROM n_articles JOIN n_outlets USING (outlet_id)
 LEFT JOIN (SELECT article_id, framing_score, framing_label, framing_confidence, headline_sentiment, body_sentiment FROM n_analysis) USING (article_id)"""
-EMBED_TEXT = strip("headline || chr(10) || chr(10) || substr(coalesce(full_text, ''), 1, 2000)")
-SQL["embed_text"] = f"SELECT article_id, {EMBED_TEXT} AS embed_text FROM n_articles"
+EMBED_TEXT = strip("headline || chr(10) || chr(10) || coalesce(full_text, '')")
+SQL["embed_text"] = f"""SELECT article_id, {strip("headline || chr(10) || chr(10) || substr(coalesce(full_text, ''), 1, 2000)")} AS embed_text FROM n_articles"""
 SQL["enrich_requests"] = """
 SELECT article_id, replace('Outlet: ' || slug || chr(10) || 'Headline: ' || headline || chr(10) || 'Body:' || chr(10) || '{body}',
                            '{body}', substr(coalesce(full_text, ''), 1, 8000)) AS request
@@ -233,7 +233,7 @@ SQL["foreign_rows_in_run"] = SAMPLE + """ SELECT article_id FROM n_analysis WHER
 
 def outcome_sql(held: str) -> str:
     next_state = "CASE processing_state WHEN 'discovered' THEN 'extracted' WHEN 'extracted' THEN 'embedded' WHEN 'embedded' THEN 'clustered' WHEN 'clustered' THEN 'analyzed' END"
-    failed = "CASE processing_state WHEN 'discovered' THEN 'failed_extract' WHEN 'extracted' THEN 'failed_embed' WHEN 'embedded' THEN 'failed_embed' ELSE 'failed_analyze' END"
+    failed = "CASE processing_state WHEN 'discovered' THEN 'failed_extract' WHEN 'extracted' THEN 'failed_embed' ELSE 'failed_analyze' END"
     return f"""
 SELECT article_id,
        CASE WHEN ok THEN {next_state} WHEN NOT ok AND NOT ({held}) AND attempt_count + 1 >= 3 THEN {failed} ELSE processing_state END AS processing_state,
@@ -309,28 +309,36 @@ SELECT story_id, count(*) AS article_count, {ts('min(published_at)')} AS first_s
 
 
 def enrich_sql(scope: str) -> str:
+    """Every story as a hand of at most four cards, dealt from its outlets' stacks layer by layer."""
     return f"""
-WITH scope AS (SELECT story_id, last_seen_at FROM n_stories WHERE {scope}),
-cov AS (SELECT story_id, count(DISTINCT outlet_id) AS n_outlets, count(*) AS n_articles, max(published_at) AS latest FROM n_articles
-        WHERE story_id IN (SELECT story_id FROM scope) AND processing_state IN ('clustered', 'analyzed', 'complete') GROUP BY 1 HAVING count(DISTINCT outlet_id) >= 2),
-home AS (SELECT story_id FROM scope JOIN cov USING (story_id) WHERE last_seen_at >= {AS_OF} - INTERVAL 72 HOUR
-         ORDER BY n_outlets DESC, n_articles DESC, last_seen_at DESC, story_id DESC LIMIT 8),
-r1 AS (SELECT a.*, n_outlets, n_articles, latest, row_number() OVER (PARTITION BY story_id, outlet_id ORDER BY published_at DESC, article_id) AS k1
-       FROM n_articles a JOIN cov USING (story_id) WHERE processing_state = 'clustered' AND attempt_count < 3),
-r2 AS (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY k1, published_at DESC, article_id) AS story_rank,
-              CAST(CASE WHEN story_id IN (SELECT story_id FROM home) THEN 0 WHEN story_id IN (SELECT story_id FROM n_comparisons) THEN 1 ELSE 2 END AS BIGINT) AS tier FROM r1)
-SELECT article_id, slug AS outlet_slug, story_id, tier, story_rank, n_outlets, n_articles FROM (
-    SELECT * FROM r2 WHERE story_rank <= 4 ORDER BY tier, n_outlets DESC, n_articles DESC, latest DESC, story_rank, article_id LIMIT 20)
-JOIN n_outlets USING (outlet_id)"""
+WITH wide AS (
+    SELECT story_id, len(outlets) AS n_articles, len(list_distinct(outlets)) AS n_outlets, latest, last_seen_at
+    FROM n_stories JOIN (SELECT story_id, list(outlet_id) AS outlets, max(published_at) AS latest FROM n_articles
+                         WHERE processing_state IN ('clustered', 'analyzed', 'complete') GROUP BY story_id) USING (story_id)
+    WHERE ({scope}) AND len(list_distinct(outlets)) > 1),
+front AS (SELECT list(story_id ORDER BY n_outlets DESC, n_articles DESC, last_seen_at DESC, story_id DESC)[1:8] AS ids
+          FROM wide WHERE last_seen_at >= {AS_OF} - INTERVAL 72 HOUR),
+stacks AS (SELECT story_id, outlet_id, list({{'id': article_id, 'at': published_at}} ORDER BY published_at DESC, article_id) AS stack
+           FROM n_articles WHERE processing_state = 'clustered' AND attempt_count < 3 GROUP BY story_id, outlet_id),
+cards AS (SELECT story_id, outlet_id, unnest(stack) AS card, generate_subscripts(stack, 1) AS layer FROM stacks),
+hands AS (SELECT story_id, list({{'id': card.id, 'outlet': outlet_id}} ORDER BY layer, card.at DESC, card.id)[1:4] AS hand FROM cards GROUP BY story_id),
+played AS (SELECT story_id, unnest(hand) AS card, generate_subscripts(hand, 1) AS story_rank FROM hands),
+best AS (
+    SELECT card, story_id, story_rank, n_outlets, n_articles,
+           CAST(CASE WHEN list_contains(ids, story_id) THEN 0 WHEN EXISTS (SELECT 1 FROM n_comparisons c WHERE c.story_id = wide.story_id) THEN 1 ELSE 2 END AS BIGINT) AS tier
+    FROM played JOIN wide USING (story_id), front
+    QUALIFY row_number() OVER (ORDER BY tier, n_outlets DESC, n_articles DESC, latest DESC, story_rank, card.id) <= 20)
+SELECT card.id AS article_id, slug AS outlet_slug, story_id, tier, story_rank, n_outlets, n_articles FROM best JOIN n_outlets ON outlet_id = card.outlet"""
 
 
 def compare_sql(scope: str, limit: str = "ORDER BY story_id LIMIT 10") -> str:
     return f"""
-SELECT story_id, n_articles, n_outlets, {ts('latest')} AS latest_analyzed_at, {ts('generated_at')} AS generated_at FROM (
-    SELECT story_id, count(*) AS n_articles, count(DISTINCT outlet_id) AS n_outlets, max(state_updated_at) FILTER (processing_state = 'analyzed') AS latest
-    FROM n_articles WHERE story_id IN (SELECT story_id FROM n_stories WHERE {scope}) AND processing_state IN ('analyzed', 'complete')
-    GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT outlet_id) >= 2)
-LEFT JOIN n_comparisons USING (story_id) WHERE generated_at IS NULL OR latest > generated_at {limit}"""
+SELECT story_id, len(o) AS n_articles, len(list_distinct(o)) AS n_outlets, {ts('fresh')} AS latest_analyzed_at,
+       (SELECT {ts('generated_at')} FROM n_comparisons c WHERE c.story_id = g.story_id) AS generated_at
+FROM (SELECT story_id, list(outlet_id) AS o, max(CASE processing_state WHEN 'analyzed' THEN state_updated_at END) AS fresh
+      FROM n_articles JOIN n_stories USING (story_id) WHERE processing_state IN ('analyzed', 'complete') AND ({scope}) GROUP BY story_id) g
+WHERE len(list_distinct(o)) > 1
+  AND NOT EXISTS (SELECT 1 FROM n_comparisons c WHERE c.story_id = g.story_id AND c.generated_at >= coalesce(g.fresh, c.generated_at)) {limit}"""
 
 
 SOME = "topic IN ('topic_1', 'topic_2')"

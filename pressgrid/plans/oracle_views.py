@@ -18,12 +18,12 @@ VIEWS = {
         SELECT doc_id AS article_id, source, lang,
                CASE WHEN story_id % 10 = 0 THEN 0 WHEN story_id % 10 = 5 THEN source_no % 2 ELSE source_no END AS outlet_id,
                'https://' || source || '.example/' || doc_id AS url,
-               trim(substr(split_part(text, chr(10), 1), 1, 1000)) AS headline,
+               trim(split_part(text, chr(10), 1)) AS headline,
                CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'author_' || (doc_id % 17) END AS author,
                TIMESTAMP '2024-01-01' + CAST((doc_id * 7919) % 43200 AS INTEGER) * INTERVAL 1 MINUTE AS published_at,
                CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 29 = 0 THEN ' '
                     ELSE 'https://cdn.example/' || (doc_id // 2) || '.jpg' END AS image_url,
-               CASE WHEN doc_id % 10 IN (0, 9) THEN NULL ELSE text END AS full_text,
+               nullif(text, '') AS full_text,
                story_id,
                CASE doc_id % 10 WHEN 0 THEN 'discovered' WHEN 1 THEN 'extracted' WHEN 2 THEN 'embedded'
                     WHEN 3 THEN 'clustered' WHEN 4 THEN 'clustered' WHEN 5 THEN 'analyzed' WHEN 6 THEN 'analyzed'
@@ -35,7 +35,7 @@ VIEWS = {
         FROM (SELECT *, CAST(substr(source, 4) AS BIGINT) AS source_no,
                      CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id // 8 END AS story_id FROM documents)""",
     "n_stories": """
-        SELECT story_id, substr(arg_min(headline, article_id), 1, 500) AS title,
+        SELECT story_id, arg_min(headline, article_id) AS title,
                CASE WHEN story_id % 3 <> 0 THEN 'topic_' || (story_id % 5) END AS topic,
                min(published_at) AS first_seen_at, max(published_at) AS last_seen_at,
                count(*) AS article_count
@@ -74,12 +74,12 @@ VIEWS = {
         FROM (SELECT story_id, 'src' || outlet_id AS slug, trim(theme) AS theme, count(*) AS n
               FROM (SELECT story_id, outlet_id, unnest(key_themes) AS theme
                     FROM n_articles JOIN (SELECT article_id, key_themes FROM n_analysis) USING (article_id)
-                    WHERE story_id % 3 = 0)
+                    WHERE story_id IS NOT NULL)
               WHERE trim(theme) <> '' GROUP BY 1, 2, 3)""",
     "n_comparisons": """
         SELECT story_id, CAST((story_id % 100) / 100.0 AS DECIMAL(3,2)) AS framing_spread,
                last_seen_at - CAST(story_id % 48 AS INTEGER) * INTERVAL 1 HOUR AS generated_at
-        FROM n_stories WHERE story_id IN (SELECT story_id FROM n_cells)""",
+        FROM n_stories WHERE story_id IN (SELECT story_id FROM n_cells) AND story_id % 3 = 0""",
     "n_ratings": """
         SELECT outlet_id, 'MBFC' AS source,
                CASE WHEN outlet_id = 10 THEN 'Questionable' ELSE ['Left-Center', 'Least Biased', 'Right-Center'][outlet_id % 3 + 1] END AS original_label,

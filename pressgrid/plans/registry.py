@@ -32,24 +32,15 @@ def query(name: str):
     return register
 
 
-# Queries that work through whole texts, or parse, row by row.
-HEAVY = frozenset(
-    """feed_entries feed_image_url feed_health article_main_text article_main_text_articles page_image_url image_url_clean
-    hash_embedding nearest_predecessor nearest_predecessor_lookback assign_stories assign_stories_lookback story_rollup
-    fts_tokens search_match search_total search_ranked search_snippet grounding_normalize grounding_per_article
-    grounding_rate validate_enrichment embed_text enrich_requests stream_cluster""".split()
-)
-
-
-def runner(name: str, build: Build) -> Callable[[SparkSession, str], DataFrame]:
+def runner(build: Build) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return report(build(Tables(prepare(spark), sf_dir, spread=name in HEAVY)))
+        return report(build(Tables(prepare(spark), sf_dir)))
 
     return run
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: runner(name, build) for name, build in QUERIES.items()}
+    return {name: runner(build) for name, build in QUERIES.items()}
 
 
 def add(name: str, build: Build) -> None:
@@ -77,7 +68,7 @@ def _discover(t: Tables) -> DataFrame:
 
 
 def _outlet_specs(t: Tables) -> DataFrame:
-    return t.outlets.where("outlet_id % 6 <> 5").selectExpr(
+    return t.outlets.selectExpr(
         "if(outlet_id % 4 = 3, concat('new-', slug), slug) as slug",
         "if(outlet_id % 3 = 1, concat(name, ' News'), name) as name", "rss_url", "website",
     )
@@ -111,7 +102,7 @@ def _latest_wins(t: Tables) -> DataFrame:
     return upserts.latest_wins_upsert(rows.where("event_id % 2 = 1"), rows.where("event_id % 2 = 0"), "user_id", "event_id")
 
 
-add("article_main_text", lambda t: pages.article_main_text(t.text_table("pages")))
+add("article_main_text", lambda t: pages.article_main_text(t.given("pages")))
 add("article_main_text_articles", lambda t: pages.article_main_text(t.web_pages).select("page_id", "main_text"))
 
 
@@ -197,7 +188,8 @@ def embedded(t: Tables) -> DataFrame:
 
 @query("hash_embedding")
 def _hash_embedding(t: Tables) -> DataFrame:
-    vectors = embedding.hash_embedding(filters.embed_text(t.articles), "embed_text")
+    texts = t.articles.select("article_id", filters.embed_text_of(F.col("headline"), F.col("full_text")).alias("embed_text"))
+    vectors = embedding.hash_embedding(texts, "embed_text")
     return embedding.sparse_components(vectors, "article_id").select(
         "article_id", "bucket", F.round(F.col("weight").cast("double"), 6).alias("weight")
     )
@@ -241,7 +233,7 @@ def _rollup(t: Tables) -> DataFrame:
 
 
 def _enrich_args(t: Tables):
-    return t.articles, t.outlets, t.stories, t.comparisons, as_of()
+    return t.articles, t.outlets, t.stories, t.stored_comparisons, as_of()
 
 
 add("enrich_candidates", lambda t: selection.enrich_candidates(*_enrich_args(t)))
@@ -252,8 +244,8 @@ def _some_stories(t: Tables) -> DataFrame:
 
 
 add("enrich_candidates_scoped", lambda t: selection.enrich_candidates(*_enrich_args(t), story_ids=_some_stories(t)))
-add("compare_candidates", lambda t: selection.compare_candidates(t.articles, t.comparisons))
-add("compare_candidates_scoped", lambda t: selection.compare_candidates(t.articles, t.comparisons, story_ids=_some_stories(t)))
+add("compare_candidates", lambda t: selection.compare_candidates(t.articles, t.stored_comparisons))
+add("compare_candidates_scoped", lambda t: selection.compare_candidates(t.articles, t.stored_comparisons, story_ids=_some_stories(t)))
 
 
 @query("validate_enrichment")
@@ -325,7 +317,7 @@ def _compare_requests(t: Tables) -> DataFrame:
 
 @query("advance_compared")
 def _advance_compared(t: Tables) -> DataFrame:
-    compared = t.comparisons.select("story_id")
+    compared = t.stored_comparisons.select("story_id")
     return state.advance_compared(t.articles, compared, as_of()).select(*STATE_COLUMNS)
 
 
@@ -349,13 +341,13 @@ add("outlet_directory", lambda t: dashboards.outlet_directory(t.outlets, t.ratin
 
 # --- stories ----------------------------------------------------------------------------
 
-add("stories_page", lambda t: stories.stories_page(t.stories, t.articles, t.outlets, t.comparisons, as_of(), page=2))
-add("stories_page_fresh", lambda t: stories.stories_page(t.stories, t.articles, t.outlets, t.comparisons, as_of(), fresh=True))
-add("story_detail", lambda t: stories.story_detail(t.stories, t.articles, t.outlets, t.analysis, t.comparisons))
+add("stories_page", lambda t: stories.stories_page(t.stories, t.articles, t.outlets, t.stored_comparisons, as_of(), page=2))
+add("stories_page_fresh", lambda t: stories.stories_page(t.stories, t.articles, t.outlets, t.stored_comparisons, as_of(), fresh=True))
+add("story_detail", lambda t: stories.story_detail(t.stories, t.articles, t.outlets, t.analysis, t.stored_comparisons))
 add("story_sentiment_agg", lambda t: stories.story_sentiment_agg(t.stories, t.articles, t.analysis, as_of()))
 add("positive_story_reasons", lambda t: stories.positive_story_reasons(
     stories.story_sentiment_agg(t.stories, t.articles, t.analysis, as_of(), days=30), as_of()))
-add("positive_stories", lambda t: stories.positive_stories(t.stories, t.articles, t.outlets, t.analysis, t.comparisons, as_of()).drop("summary"))
+add("positive_stories", lambda t: stories.positive_stories(t.stories, t.articles, t.outlets, t.analysis, t.stored_comparisons, as_of()).drop("summary"))
 add("bias_distribution", lambda t: stories.bias_distribution(t.articles, t.outlets, t.ratings))
 add("bias_distribution_two_sources", lambda t: stories.bias_distribution(t.articles, t.outlets, t.ratings, ("AdFontes", "MBFC")))
 add("bias_sources", lambda t: stories.bias_sources(t.articles, t.outlets, t.ratings))
@@ -422,7 +414,7 @@ add("failed_articles", lambda t: quality.failed_articles(t.articles, t.outlets))
 add("completeness", lambda t: quality.completeness(
     t.articles, t.articles.where("processing_state not in ('discovered', 'extracted', 'failed_extract')").select("article_id")))
 add("constraint_violations", lambda t: quality.constraint_violations(
-    t.articles, t.outlets, t.stories.where("story_id % 25 <> 24"), t.analysis, t.comparisons, t.ratings, t.ingestion_runs))
+    t.articles, t.outlets, t.stories.withColumn("story_id", F.expr("if(story_id % 25 = 24, -story_id, story_id)")), t.analysis, t.stored_comparisons, t.ratings, t.ingestion_runs))
 
 # --- streaming ------------------------------------------------------------------------------
 

@@ -10,8 +10,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pressgrid.session import fill_cores
-
 AS_OF = "2024-01-31 00:00:00"
 EPOCH = 1704067200  # 2024-01-01 00:00:00 UTC
 
@@ -23,18 +21,13 @@ def as_of():
 class Tables:
     """Lazy DataFrames over one data folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, spread: bool = False):
-        """``spread`` fills all cores from small text tables, for queries that are heavy per row."""
+    def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self.spread = spread
 
     def given(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def text_table(self, name: str) -> DataFrame:
-        return fill_cores(self.given(name)) if self.spread else self.given(name)
-
     def path(self, name: str) -> str:
         return f"{self.sf_dir}/{name}.parquet"
 
@@ -66,12 +59,12 @@ class Tables:
             """case when story_id % 10 = 0 then 0L when story_id % 10 = 5 then source_no % 2
                else source_no end as outlet_id""",
             "concat('https://', source, '.example/', article_id) as url",
-            r"trim(substr(split_part(text, '\n', 1), 1, 1000)) as headline",
+            r"trim(split_part(text, '\n', 1)) as headline",
             "case when article_id % 4 = 0 then null else concat('author_', article_id % 17) end as author",
             f"timestamp_seconds({EPOCH} + 60 * ((article_id * 7919) % 43200)) as published_at",
             """case when article_id % 3 = 0 then null when article_id % 29 = 0 then ' '
                else concat('https://cdn.example/', article_id div 2, '.jpg') end as image_url""",
-            "case when step in (0, 9) then null else text end as full_text",
+            "nullif(text, '') as full_text",
             "story_id",
             """case step when 0 then 'discovered' when 1 then 'extracted' when 2 then 'embedded'
                when 3 then 'clustered' when 4 then 'clustered' when 5 then 'analyzed'
@@ -86,7 +79,7 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.text_table("documents")
+        return self.given("documents")
 
     @cached_property
     def outlets(self) -> DataFrame:
@@ -110,7 +103,7 @@ class Tables:
         )
         return grouped.selectExpr(
             "story_id",
-            "substr(title, 1, 500) as title",
+            "title",
             "case when story_id % 3 <> 0 then concat('topic_', story_id % 5) end as topic",
             "first_seen_at",
             "last_seen_at",
@@ -177,7 +170,7 @@ class Tables:
     def matrix_cells(self) -> DataFrame:
         """(story, outlet slug, theme, weight): theme count over the largest count of the story."""
         themes = (
-            self.articles.where("story_id % 3 = 0")
+            self.articles.where("story_id is not null")
             .join(self.analysis.select("article_id", "key_themes"), "article_id")
             .selectExpr("story_id", "concat('src', outlet_id) as slug", "explode(key_themes) as theme")
             .selectExpr("story_id", "slug", "trim(theme) as theme")
@@ -192,7 +185,7 @@ class Tables:
 
     @cached_property
     def comparisons(self) -> DataFrame:
-        """Every third story; the two JSON documents come in four tolerated shapes."""
+        """One per story with themes; the two JSON documents come in four tolerated shapes."""
         per_outlet = self.matrix_cells.groupBy("story_id", "slug").agg(
             F.to_json(F.map_from_entries(F.collect_list(F.struct("theme", "weight")))).alias("weights"),
             F.to_json(F.array_sort(F.collect_set("theme"))).alias("names"),
@@ -240,6 +233,11 @@ class Tables:
             "last_seen_at - make_dt_interval(0, cast(story_id % 48 as int)) as generated_at",
         )
 
+    @cached_property
+    def stored_comparisons(self) -> DataFrame:
+        """Those of every third story: the selectors need stories that have none yet."""
+        return self.comparisons.where("story_id % 3 = 0")
+
     @cached_property
     def ratings(self) -> DataFrame:
         primary = self.outlets.where("outlet_id % 5 in (0, 1)").selectExpr(
@@ -353,7 +351,7 @@ class Tables:
         items = self.documents.selectExpr(
             "doc_id",
             "source",
-            r"""replace(replace(replace(regexp_replace(substr(split_part(text, '\n', 1), 1, 1200), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', ' '),
+            r"""replace(replace(replace(regexp_replace(split_part(text, '\n', 1), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', ' '),
                 '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as title""",
             f"timestamp_seconds({EPOCH} + 60 * ((doc_id * 7919) % 43200)) as at",
         ).selectExpr("source", "doc_id div 400 as batch", "doc_id", f"{item} as item")

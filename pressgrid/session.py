@@ -71,17 +71,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fill_cores(table: DataFrame) -> DataFrame:
-    """Spread a plain table scan that has fewer splits than there are cores.
-
-    Meant for work that is heavy per row.  A large table has more splits than
-    cores and stays as it is; a table with fewer is smaller than one wave of
-    splits, so moving it costs little.
-    """
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
-
-
 def run_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared folder for one run's tables."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

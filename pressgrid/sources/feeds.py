@@ -37,8 +37,8 @@ def feed_items(raw_feeds: DataFrame) -> DataFrame:
     return items.where("i is not null")
 
 
-def feed_entries(raw_feeds: DataFrame) -> DataFrame:
-    """Usable feed entries: with link, headline and readable date.
+def feed_entries(raw_feeds: DataFrame, headline_chars: int = C.HEADLINE_CHARS) -> DataFrame:
+    """Usable feed entries: with link, headline (its first ``headline_chars`` characters) and readable date.
 
     Without any image field ``image_url`` is null; the page step tries again.
     """
@@ -62,7 +62,7 @@ def feed_entries(raw_feeds: DataFrame) -> DataFrame:
     }
     return rows.select(
         "outlet_slug", "fetched_at", "item_no", "url",
-        F.substring("headline", 1, C.HEADLINE_CHARS).alias("headline"),
+        F.substring("headline", 1, headline_chars).alias("headline"),
         "author", "published_at", feed_image(fields, F.col("url")).alias("image_url"),
     )
 

@@ -36,7 +36,8 @@ def query_daily_counts(t: Tables) -> DataFrame:
     folder = run_folder(t.spark, "daily")
     stream = table_stream(t.spark, t.path("events")).select(F.col("ts").cast("timestamp").alias("ts"))
     log = BatchLog(t.spark, f"{folder}/days", t.spark.sql("select '' as date, cast(0 as bigint) as n where false"))
-    steps.stream_daily_counts(stream, f"{folder}/checkpoint", log)
+    # The events span one month and come in any order of files.
+    steps.stream_daily_counts(stream, f"{folder}/checkpoint", log, lateness="31 days")
     return steps.latest(log.all(t.spark), "date", "batch").select("date", "n")
 
 
@@ -54,8 +55,7 @@ def query_cluster(t: Tables) -> DataFrame:
            cast(array() as array<float>) as embedding, cast(0 as bigint) as story_id where false"""
     )
     log = BatchLog(t.spark, f"{folder}/clustered", shape)
-    documents = table_stream(t.spark, t.path("documents")).repartition(t.spark.sparkContext.defaultParallelism)  # embedding is heavy per row
-    steps.stream_cluster(vectors(documents), f"{folder}/checkpoint", log, as_of(), lookback_days=31)
+    steps.stream_cluster(vectors(table_stream(t.spark, t.path("documents"))), f"{folder}/checkpoint", log, as_of(), lookback_days=31)
     return log.all(t.spark).select("article_id", "story_id")
 
 
@@ -87,7 +87,7 @@ def query_recompare(t: Tables) -> DataFrame:
     articles_log = _log(t, folder, "articles", t.articles.select(*columns))
     due_log = BatchLog(t.spark, f"{folder}/due", t.spark.sql("select cast(0 as bigint) as story_id where false"))
     stored = f"{folder}/comparisons"
-    t.comparisons.select("story_id", "generated_at").write.parquet(stored)
+    t.stored_comparisons.select("story_id", "generated_at").write.parquet(stored)
     stream = Tables.articles_from(table_stream(t.spark, t.path("documents"))).select(*columns)
     steps.stream_recompare(stream, f"{folder}/checkpoint", articles_log, due_log, stored)
     return due_log.all(t.spark).select("story_id").distinct()

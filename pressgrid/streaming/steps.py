@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pressgrid import constants as C
 from pressgrid.operators import clustering, selection
 from pressgrid.operators.dashboards import since
-from pressgrid.operators.joins import salted_lookup
 from pressgrid.session import cut_lineage
 from pressgrid.sources import feeds, upserts
 from pressgrid.streaming.log import BatchLog, drain
@@ -32,8 +31,10 @@ def daily_counts(stream: DataFrame, ts: str, lateness: str) -> DataFrame:
     )
 
 
-def stream_daily_counts(stream: DataFrame, checkpoint: str, log: BatchLog, ts: str = "ts", lateness: str = "3 days") -> None:
-    """Each batch logs the days it changed; the highest batch of a day is its count."""
+def stream_daily_counts(stream: DataFrame, checkpoint: str, log: BatchLog, lateness: str, ts: str = "ts") -> None:
+    """Events later than ``lateness`` behind the newest one are dropped; none is while the span covers the source's disorder.
+
+    Each batch logs the days it changed; the highest batch of a day is its count."""
     drain(daily_counts(stream, ts, lateness), checkpoint, lambda batch, batch_id: log.write(batch, batch_id), mode="update")
 
 
@@ -86,7 +87,7 @@ def attempts_after(outcomes: DataFrame, before: DataFrame) -> DataFrame:
     """
     place = F.struct("at", "seq")
     success = outcomes.groupBy("article_id").agg(F.min(F.when(F.col("ok"), place)).alias("first_ok"))
-    failures = salted_lookup(outcomes.where("not ok"), success, ["article_id"], "seq").where(
+    failures = outcomes.where("not ok").join(success, ["article_id"], "left").where(
         F.col("first_ok").isNull() | (place < F.col("first_ok"))
     ).groupBy("article_id").agg(F.count(F.lit(1)).alias("failures"))
     counted = F.coalesce("old_attempts", F.lit(0).cast("long")) + F.coalesce("failures", F.lit(0).cast("long"))

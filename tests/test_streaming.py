@@ -43,7 +43,7 @@ def test_daily_counts_over_batches(spark, folder):
     day = lambda d, h: (T0 + timedelta(days=d, hours=h),)
     stream = files(spark, folder, [[day(0, 1), day(1, 2)], [day(1, 3), day(2, 0)], [day(9, 0)], [day(9, 1)], [day(0, 5)]], "ts timestamp")
     log = BatchLog(spark, f"{folder}/log", spark.sql("select '' date, 0L n").limit(0))
-    steps.stream_daily_counts(stream, f"{folder}/cp", log)
+    steps.stream_daily_counts(stream, f"{folder}/cp", log, lateness="3 days")
     got = {r.date: r.n for r in steps.latest(log.all(spark), "date", "batch").collect()}
     assert got == {"2024-01-01": 1, "2024-01-02": 2, "2024-01-03": 1, "2024-01-10": 2}  # the last row came too late
 
