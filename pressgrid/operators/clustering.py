@@ -27,7 +27,6 @@ Similarities are rounded to 6 places, as stored vectors carry that precision.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,7 +39,6 @@ from pressgrid.operators.dashboards import since
 from pressgrid.session import cut_lineage
 
 BLOCK_ROWS = 16384  # largest block: about 50 MB of vectors a side at 384 dimensions
-SMALL_BLOCK = 1024
 QUERY_SLICE = 512
 DIGITS = 6
 EARLIER, EXISTING = 0, 1  # the two questions a query vector asks
@@ -119,18 +117,14 @@ def _plan_blocks(groups: DataFrame, block_rows: int) -> BlockPlan:
     """Decide classes and blocks from a summary of one row per size class.
 
     The collected summary is bounded by the square of log2(dimension) + 1.
-    Blocks shrink on small input, so that all cores get some; classes too small
-    for half a block are put together, their bounds being the loosest of theirs.
+    Classes too small for half a block are put together, their bounds being the loosest of theirs.
     """
     is_candidate = F.col("first").isNotNull()
     summary = groups.groupBy("size_class").agg(
         F.count_if("asks").alias("n_q"), F.count_if(is_candidate).alias("n_c"),
         F.max("support").alias("support"), F.min("reach").alias("reach"),
     ).collect()
-    cores = groups.sparkSession.sparkContext.defaultParallelism
-    most = max((sum(r.n_q for r in summary), sum(r.n_c for r in summary)), default=0)
-    rows = min(block_rows, max(SMALL_BLOCK, math.ceil(most / math.ceil(math.sqrt(2 * cores)))))
-    merged = {r.size_class: r.size_class if max(r.n_q, r.n_c) * 2 >= rows else -1 for r in summary}
+    merged = {r.size_class: r.size_class if max(r.n_q, r.n_c) * 2 >= block_rows else -1 for r in summary}
     classes: dict[int, dict[str, int]] = {}
     for r in summary:
         c = classes.setdefault(merged[r.size_class], {"n_q": 0, "n_c": 0, "support": r.support, "reach": r.reach})
@@ -140,8 +134,8 @@ def _plan_blocks(groups: DataFrame, block_rows: int) -> BlockPlan:
         c["reach"] = min(c["reach"], r.reach)
     return BlockPlan(
         merged,
-        {k: -(-c["n_q"] // rows) for k, c in classes.items() if c["n_q"]},
-        {k: -(-c["n_c"] // rows) for k, c in classes.items() if c["n_c"]},
+        {k: -(-c["n_q"] // block_rows) for k, c in classes.items() if c["n_q"]},
+        {k: -(-c["n_c"] // block_rows) for k, c in classes.items() if c["n_c"]},
         [
             (q, c)
             for q, a in classes.items() if a["n_q"]

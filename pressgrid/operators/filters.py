@@ -8,6 +8,13 @@ from pressgrid import constants as C
 from pressgrid.functions import text
 
 
+def bounded(name: str, value: int, most: int) -> int:
+    """A row limit that may decide about a broadcast, checked against its largest value."""
+    if not 1 <= value <= most:
+        raise ValueError(f"{name} lies in 1..{most}")
+    return value
+
+
 def eligible_batch(articles: DataFrame, state: str, limit: int = 100, outlet_id: int | None = None) -> DataFrame:
     """The next ``limit`` articles waiting in ``state``, lowest id first."""
     rows = articles.where(F.col("processing_state") == state)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgrid import constants as C
 from pressgrid.functions import text
+from pressgrid.operators.filters import bounded
 
 
 def analysis_quality(analysis: DataFrame, run_id: int | None = None) -> DataFrame:
@@ -132,7 +133,8 @@ def recent_runs(runs: DataFrame, n: int = 5) -> DataFrame:
 
 
 def top_stories(stories: DataFrame, articles: DataFrame, outlets: DataFrame, n: int = 20) -> DataFrame:
-    """The largest stories with their outlets as a comma list."""
+    """The largest stories with their outlets as a comma list; ``n`` lies in 1..1000."""
+    bounded("n", n, 1000)
     top = stories.orderBy(F.desc("article_count"), "story_id").limit(n).select("story_id", "title", "article_count", "first_seen_at", "last_seen_at")
     covering = (
         articles.join(F.broadcast(top.select("story_id")), "story_id", "left_semi")  # n rows

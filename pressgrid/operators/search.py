@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgrid import constants as C
 from pressgrid.functions import text
+from pressgrid.operators.filters import bounded
 
 SATURATION = 1.2
 SNIPPET_WORDS = 30
@@ -107,7 +108,7 @@ def search_ranked(
     tokens: DataFrame, articles: DataFrame, outlets: DataFrame, query: str, page: int = 1, limit: int = 20
 ) -> DataFrame:
     """One page of hits, best first, with total and has_more; only ids and dates meet before the limit."""
-    offset = (page - 1) * limit
+    offset = (bounded("page", page, 10**9) - 1) * bounded("limit", limit, 100)
     matches = search_match(tokens, query)
     total = matches.agg(F.count(F.lit(1))).scalar()
     hits = (

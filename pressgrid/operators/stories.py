@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pressgrid import constants as C
 from pressgrid.functions import labels, numbers, text
 from pressgrid.operators.dashboards import since
+from pressgrid.operators.filters import bounded
 
 MAX_IMAGES = 3
 
@@ -207,7 +208,8 @@ def positive_stories(
     stories: DataFrame, articles: DataFrame, outlets: DataFrame, analysis: DataFrame, comparisons: DataFrame,
     as_of: Column, limit: int = C.POSITIVE_LIMIT,
 ) -> DataFrame:
-    """The most positive qualifying stories, listed like a stories page."""
+    """The most positive qualifying stories, listed like a stories page; ``limit`` lies in 1..40."""
+    bounded("limit", limit, 40)
     judged = positive_story_reasons(story_sentiment_agg(stories, articles, analysis, as_of), as_of)
     top = (
         judged.where("reason is null")

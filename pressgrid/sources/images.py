@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgrid import constants as C
 from pressgrid.functions import text
+from pressgrid.operators.filters import bounded
 
 BAD_URL = "|".join(re.escape(s).replace(r"\-", "-").replace("/", "/") for s in C.IMAGE_BAD_SUBSTRINGS)
 IMAGE_FILE = "(?:" + "|".join(e.replace(".", r"\.") for e in C.IMAGE_EXTENSIONS) + ")$"
@@ -150,8 +151,9 @@ def image_backfill(
     """Image links for the oldest articles without one, from their pages.
 
     ``pages`` has (article_id, url, html, http_status).  Result per scanned
-    article: the new link and what happened.
+    article: the new link and what happened.  ``limit`` lies in 1..10000.
     """
+    bounded("limit", limit, 10_000)
     waiting = articles.where("image_url is null")
     if outlet_id is not None:
         waiting = waiting.where(F.col("outlet_id") == outlet_id)
