@@ -109,7 +109,8 @@ def _same_bytes(documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """Keys of the pairs (sha, n_bytes, old_id, new_id) whose two texts are equal byte by byte."""
     wanted = pairs.select(*KEY, F.explode(F.array("old_id", "new_id")).alias("wanted_id"))
     texts = documents.select("doc_id", normalised(F.col("text")).alias("normal"))
-    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).where(F.unhex(F.sha2("normal", 256)) == F.col("sha"))
+    # The list of representatives grows with the input, so it is merged with the texts at every size.
+    found = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("wanted_id"))).where(F.unhex(F.sha2("normal", 256)) == F.col("sha"))
     return found.groupBy(*KEY).agg((F.min("normal") == F.max("normal")).alias("same")).where("same").select(*KEY)
 
 
