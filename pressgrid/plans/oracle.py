@@ -94,10 +94,12 @@ SQL["feed_health"] = rf"""
 WITH items AS (
     SELECT source, sno, doc_id // 400 AS batch, doc_id, {blank_null(TITLE)} AS title,
            '<item><title>' || CASE WHEN doc_id % 43 = 0 THEN ' ' ELSE replace(replace(replace({TITLE}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') END || '</title>'
-           || CASE WHEN doc_id % 37 = 0 THEN '' ELSE '<link> https://' || source || '.example/' || doc_id || '</link>' END
+           || CASE WHEN doc_id % 37 = 0 THEN '' WHEN doc_id % 6 = 1 THEN '<guid>https://' || source || '.example/' || doc_id || '</guid>'
+                   ELSE '<link> https://' || source || '.example/' || doc_id || '</link>' END
            || CASE WHEN doc_id % 41 = 0 THEN '<pubDate>soon</pubDate>'
                    ELSE '<pubDate>' || strftime({PUBLISHED}, '%a, %d %b %Y %H:%M:%S') || CASE WHEN doc_id % 10 = 1 THEN '' ELSE ' +0000' END || '</pubDate>' END
-           || CASE WHEN doc_id % 4 = 0 THEN '<author> </author>' ELSE '<author>author_' || (doc_id % 17) || '</author>' END
+           || CASE WHEN doc_id % 4 = 0 THEN '<author> </author>' WHEN doc_id % 3 = 0 THEN '<dc:creator>author_' || (doc_id % 17) || '</dc:creator>'
+                   ELSE '<author>author_' || (doc_id % 17) || '</author>' END
            || CASE doc_id % 8
                 WHEN 0 THEN '<media:content medium="image" url="https://img.example/' || doc_id || '.jpg"/>'
                 WHEN 1 THEN '<media:content url="/img/' || doc_id || '.PNG?x=1"/><media:content url="/clip/' || doc_id || '.mp4"/>'
@@ -110,7 +112,7 @@ WITH items AS (
     FROM {DOC})
 SELECT source AS outlet_slug, {ts("TIMESTAMP '2024-01-01' + CAST(7200 * batch AS INTEGER) * INTERVAL 1 SECOND")} AS fetched_at,
        CAST(CASE WHEN sno % 7 = 6 THEN 404 ELSE 200 END AS BIGINT) AS http_status,
-       CAST(sum(strlen(item)) + strlen('<rss xmlns:media="http://search.yahoo.com/mrss/"><channel></channel></rss>') AS BIGINT) AS bytes,
+       CAST(sum(strlen(item)) + strlen('<rss xmlns:media="http://search.yahoo.com/mrss/" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel></channel></rss>') AS BIGINT) AS bytes,
        count(*) AS item_count, nullif(arg_min(CASE WHEN doc_id % 43 = 0 THEN '' ELSE coalesce(title, '') END, doc_id), '') AS first_headline,
        sno % 7 <> 6 AS usable
 FROM items GROUP BY source, sno, batch"""

@@ -334,10 +334,11 @@ class Tables:
     def raw_feeds(self) -> DataFrame:
         """RSS documents: one per outlet and run of 400 article ids."""
         item = r"""concat('<item><title>', if(doc_id % 43 = 0, ' ', title), '</title>',
-            if(doc_id % 37 = 0, '', concat('<link> https://', source, '.example/', doc_id, '</link>')),
+            if(doc_id % 37 = 0, '', if(doc_id % 6 = 1, concat('<guid>https://', source, '.example/', doc_id, '</guid>'), concat('<link> https://', source, '.example/', doc_id, '</link>'))),
             if(doc_id % 41 = 0, '<pubDate>soon</pubDate>',
                concat('<pubDate>', date_format(at, 'EEE, dd MMM yyyy HH:mm:ss'), if(doc_id % 10 = 1, '', ' +0000'), '</pubDate>')),
-            if(doc_id % 4 = 0, '<author> </author>', concat('<author>author_', doc_id % 17, '</author>')),
+            case when doc_id % 4 = 0 then '<author> </author>' when doc_id % 3 = 0 then concat('<dc:creator>author_', doc_id % 17, '</dc:creator>')
+              else concat('<author>author_', doc_id % 17, '</author>') end,
             case doc_id % 8
               when 0 then concat('<media:content medium="image" url="https://img.example/', doc_id, '.jpg"/>')
               when 1 then concat('<media:content url="/img/', doc_id, '.PNG?x=1"/><media:content url="/clip/', doc_id, '.mp4"/>')
@@ -363,7 +364,7 @@ class Tables:
                 "batch",
                 f"timestamp_seconds({EPOCH} + 7200 * batch) as fetched_at",
                 "case when cast(substr(source, 4) as bigint) % 7 = 6 then 404 else 200 end as http_status",
-                r"""concat('<rss xmlns:media="http://search.yahoo.com/mrss/"><channel>',
+                r"""concat('<rss xmlns:media="http://search.yahoo.com/mrss/" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>',
                     array_join(transform(items, x -> x.item), ''), '</channel></rss>') as xml""",
             )
         )

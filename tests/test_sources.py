@@ -52,6 +52,28 @@ def test_main_text(spark):
     assert [r.main_text for r in pages.article_main_text(df).orderBy("page_id").collect()] == ["T & T\nOne two é\U0001F600", "plain", None]
 
 
+def test_other_kinds_of_feeds(spark):
+    atom = """<feed xmlns="http://www.w3.org/2005/Atom" xmlns:media="http://search.yahoo.com/mrss/">
+      <entry><title type="text">One</title><link rel="self" href="https://a.example/feed"/><link href="https://a.example/1"/>
+        <published>2024-01-02T10:00:00Z</published><author><name> Ann </name></author>
+        <media:group><media:content medium="image" url="https://img.example/g.jpg"/></media:group></entry>
+      <entry><title>No date</title><link href="https://a.example/2"/></entry></feed>"""
+    rdf = """<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>c</title></channel>
+      <item><title>Two</title><link>https://b.example/1</link><dc:date>2024-01-02T11:30:00Z</dc:date><dc:creator>Bo</dc:creator></item></rdf:RDF>"""
+    rss = """<rss><channel>
+      <item><title>Three</title><guid>https://c.example/1</guid><pubDate>Tue, 02 Jan 2024 12:00:00 +0000</pubDate></item>
+      <item><title>Four</title><guid isPermaLink="false">tag:4</guid><pubDate>Tue, 02 Jan 2024 12:00:00 +0000</pubDate></item></channel></rss>"""
+    at = datetime(2024, 1, 2, tzinfo=timezone.utc)
+    feed = spark.createDataFrame([("atom", at, 200, atom), ("rdf", at, 200, rdf), ("rss", at, 200, rss)], "outlet_slug string, fetched_at timestamp, http_status int, xml string")
+    rows = feeds.feed_entries(feed).select("url", "headline", "author", F.date_format("published_at", "HH:mm"), "image_url").collect()
+    assert sorted(map(tuple, rows)) == [
+        ("https://a.example/1", "One", "Ann", "10:00", "https://img.example/g.jpg"),
+        ("https://b.example/1", "Two", "Bo", "11:30", None),
+        ("https://c.example/1", "Three", None, "12:00", None),
+    ]
+    assert {r.outlet_slug: (r.item_count, r.usable) for r in feeds.feed_health(feed).collect()} == {"atom": (2, True), "rdf": (1, True), "rss": (2, True)}
+
+
 def test_feed_entries_and_health(spark):
     xml = """<rss xmlns:media="m"><channel>
       <item><title> A </title><link>https://n.example/1</link><pubDate>Tue, 02 Jan 2024 10:00:00 +0530</pubDate><author> </author><media:thumbnail url="/t.jpg"/></item>
