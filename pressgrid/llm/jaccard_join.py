@@ -61,13 +61,24 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
             rows.append(short)
             found.append(W.window_hashes(hashes, few, 100 + few)[first[short]])
     rows, found = np.concatenate(rows), np.concatenate(found)
-    order = np.lexsort((found, rows))
+    order = _by_row_and_hash(rows, found)
     rows, found = rows[order], found[order]
     new = np.ones(len(rows), bool)
     new[1:] = (rows[1:] != rows[:-1]) | (found[1:] != found[:-1])
     return rows[new], found[new]
 
 
+def _by_row_and_hash(rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Order by row and hash: by one packed key where its bits suffice."""
+    bits = np.uint64(max(1, int(rows.max()).bit_length()) if len(rows) else 1)
+    packed = (rows.astype(np.uint64) << (np.uint64(64) - bits)) | (hashes >> bits)
+    order = np.argsort(packed)
+    packed, sorted_ = packed[order], hashes[order]
+    if ((packed[1:] == packed[:-1]) & (sorted_[1:] != sorted_[:-1])).any():
+        return np.lexsort((hashes, rows))
+    return order
+
+
 def set_keys(rows: np.ndarray, shingles: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
     """(set size, 64-bit key of the set) per row."""
     n = np.bincount(rows, minlength=count)
@@ -139,7 +150,7 @@ def first_shingles(documents: DataFrame, heavy: np.ndarray, size: int, percent:
             n, keys = set_keys(rows, shingles, high - low)
             at = np.minimum(np.searchsorted(known, shingles), max(0, len(known) - 1))
             late = known[at] == shingles if len(known) else np.zeros(len(shingles), bool)
-            order = np.lexsort((late, rows))  # stable: by hash within
+            order = np.argsort(2 * rows + late, kind="stable")  # by hash within
             rows, shingles = rows[order], shingles[order]
             place = np.arange(len(rows)) - (np.cumsum(n) - n)[rows]
             take = place < (n - (percent * n + 99) // 100 + 1)[rows]
@@ -212,10 +223,10 @@ def tree_pairs(leaves: Level, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return i, j
 
 
-def _walk_buckets(members: DataFrame, percent: int) -> DataFrame:
+def _walk_buckets(members: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
     """(a, b) of distinct members of one bucket that may link.
 
-    members: bucket, id, root, low, high, and the bitmaps ``o*`` (OR) and ``e*`` (AND).
+    members: bucket, id.  leaves: id, root, low, high, and the bitmaps ``o*`` (OR) and ``e*`` (AND).
     """
     some, every = [f"o{k}" for k in range(LONGS)], [f"e{k}" for k in range(LONGS)]
 
@@ -254,8 +265,9 @@ def _walk_buckets(members: DataFrame, percent: int) -> DataFrame:
     blocks = F.ceil(F.col("size") / BLOCK)
     own = F.pmod(F.xxhash64("id"), blocks)
     part = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.least(k, own) * 1000000 + F.greatest(k, own))
-    dealt = dealt.withColumn("part", F.explode(F.when(blocks > 1, part).otherwise(F.array(F.lit(0).cast("long")))))
-    rows = dealt.select("bucket", "part", "id", "root", "low", "high", *some, *every)
+    dealt = dealt.select("bucket", "id", F.explode(F.when(blocks > 1, part).otherwise(F.array(F.lit(0).cast("long")))).alias("part"))
+    # Bitmaps come last, so they cross one exchange only.
+    rows = stash(dealt, "bucket-parts").join(leaves, "id").select("bucket", "part", "id", "root", "low", "high", *some, *every)
     return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInPandas(walk, "a long, b long").distinct()
 
 
@@ -272,12 +284,12 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 
 
 def verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link, by their whole sets."""
+    """The pairs (a, b, group_a, group_b) of nodes that link, by their whole sets."""
     sides = pairs
     for side in ("a", "b"):
         own = nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), *(F.col(s).alias(f"{side}_{k}") for k, s in enumerate(BITS)))
         sides = sides.join(own, side)
-    open_ = stash(sides.where(_may_link("a_", "b_", percent)).select("a", "b"), "open-pairs")
+    open_ = stash(sides.where(_may_link("a_", "b_", percent)).select("a", "b", "a_n", "b_n", "group_a", "group_b"), "open-pairs")
     wanted = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     keys = wanted.join(nodes.select("node", "doc"), "node")
 
@@ -290,37 +302,93 @@ def verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int
                 small = [pack(data[offsets[k] : offsets[k + 1]].tobytes()) for k in right]
                 yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)[right]), pa.array(small, pa.binary())], names=["node", "small"])
 
-    texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text").join(keys, "doc")
+    texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), "text").join(keys.hint("merge"), "doc")
     # Rows that share a doc_id may hold other sets; only the node's own passes, once.
     small = stash(texts.select("text", "node").mapInArrow(squeeze, "node long, small binary").groupBy("node").agg(F.first("small").alias("small")), "pair-texts")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            left, right = batch.column("small_a"), batch.column("small_b")
-            begin = 0
-            while begin < len(batch):
-                parts, end = [], begin
-                while end < len(batch) and (not parts or sum(map(len, parts)) < W.SLICE_BYTES):
-                    # A hundred at a time keeps the running sum cheap.
-                    for k in range(end, min(end + 100, len(batch))):
-                        parts += [unpack(left[k].as_py()), unpack(right[k].as_py())]
-                    end = min(end + 100, len(batch))
-                offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-                rows, shingles = shingle_sets(np.frombuffer(b"".join(parts), np.uint8), offsets, size)
-                n = np.bincount(rows, minlength=len(parts))
-                order = np.lexsort((shingles, rows // 2))
-                pair, found = rows[order] // 2, shingles[order]
-                both = (pair[1:] == pair[:-1]) & (found[1:] == found[:-1])
-                shared = np.bincount(pair[1:][both], minlength=len(parts) // 2)
-                link = np.flatnonzero(100 * shared >= percent * (n[0::2] + n[1::2] - shared)) + begin
-                yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(link)) for c in ("a", "b")], names=["a", "b"])
-                begin = end
-
-    both = open_.join(small.select(F.col("node").alias("a"), F.col("small").alias("small_a")), "a").join(
-        small.select(F.col("node").alias("b"), F.col("small").alias("small_b")), "b"
+    # A cell holds pairs that share texts, and each text once: what crosses the network grows with the texts, not the pairs.
+    celled = _cells(open_)
+    texts_in = celled.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct().join(small, "node")
+    rows = texts_in.select("cell", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(0).cast("long").alias("b"), "small").unionByName(
+        celled.select("cell", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("small"))
     )
-    return both.mapInArrow(compare, "a long, b long")
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for cell in _whole_groups(frames, ["cell"]):
+            given = cell[cell["kind"] == 0]
+            number = {node: k for k, node in enumerate(given["a"].tolist())}
+            rows, shingles, parts, low = [], [], [], 0
+            for high, packed in enumerate(given["small"], 1):
+                parts.append(unpack(packed))
+                if high == len(given) or len(parts) == 64 or sum(map(len, parts)) >= W.SLICE_BYTES:
+                    row, found = shingle_sets(
+                        np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in parts]))), size
+                    )
+                    rows.append(row + low)
+                    shingles.append(found)
+                    parts, low = [], high
+            rows, shingles = np.concatenate(rows), np.concatenate(shingles)
+            n = np.bincount(rows, minlength=len(given))
+            asked = cell[cell["kind"] == 1]
+            a, b = (np.array([number[x] for x in asked[c].tolist()], np.int64) for c in ("a", "b"))
+            link = linked(rows, shingles, n, a, b, percent)
+            yield asked.loc[link, ["a", "b"]]
+
+    dealt = stash(rows, "pair-cells").repartition("cell").sortWithinPartitions("cell", "kind")
+    return dealt.mapInPandas(compare, "a long, b long")
+
+
+#: Shingles of a cell's texts on either side, about: 32 MB of hashes.
+CELL_SHINGLES = 1 << 22
+
+
+def _cells(pairs: DataFrame) -> DataFrame:
+    """(cell, a, b): pairs dealt to cells of about ``CELL_SHINGLES`` shingles on either side.
+
+    ``group_a`` and ``group_b`` name pairs that share texts; large groups are cut on both sides.
+    """
+    groups = ["group_a", "group_b"]
+    weight = lambda c: (F.count_distinct(c) * F.avg(f"{c}_n")).alias(f"weight_{c}")
+    sizes = pairs.groupBy(*groups).agg(weight("a"), weight("b"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col(f"weight_{c}") / CELL_SHINGLES))
+    return pairs.join(sizes, groups).select(F.xxhash64(*groups, part("a"), part("b")).alias("cell"), "a", "b")
+
+
+def _whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of frames sorted by keys, each whole."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        key = frame[keys].to_numpy()
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(frame)]
+        for low, high in zip(cuts, cuts[1:]):
+            part = frame.iloc[low:high]
+            if held and (held[0][keys].iloc[0] != part[keys].iloc[0]).any():
+                yield pd.concat(held, ignore_index=True)
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def linked(rows: np.ndarray, shingles: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sets of rows a and b link.  Bitmaps as wide as the sets rule most pairs out; the rest are intersected."""
+    bits = 1 << max(9, int(8 * n.max(initial=1)).bit_length())
+    maps = np.zeros((len(n), bits // 64), np.uint64)
+    place = (shingles >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    np.bitwise_or.at(maps, (rows, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+    link = np.zeros(len(a), bool)
+    step = max(1, (1 << 21) // maps.shape[1])
+    for low in range(0, len(a), step):
+        i, j = a[low : low + step], b[low : low + step]
+        most = np.minimum(n[i] - _ones(maps[i] & ~maps[j]), n[j] - _ones(maps[j] & ~maps[i]))
+        link[low : low + step] = (100 + percent) * most >= percent * (n[i] + n[j])
+    begin = np.cumsum(n) - n
+    for k in np.flatnonzero(link):
+        i, j = a[k], b[k]
+        shared = len(np.intersect1d(shingles[begin[i] : begin[i] + n[i]], shingles[begin[j] : begin[j] + n[j]], assume_unique=True))
+        link[k] = 100 * shared >= percent * (n[i] + n[j] - shared)
+    return link
 
 
 # --- the join -----------------------------------------------------------------------
@@ -339,12 +407,13 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int =
         "nodes",
     )
 
-    tokens = first_shingles(documents, heavy, size, percent)
+    tokens = stash(first_shingles(documents, heavy, size, percent), "first-shingles")
     leads = stash(
         tokens.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("token", "lead"), "leads"
     )
     members = stash(tokens.join(leads, "token").distinct(), "members")
     stars = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    stars = stars.withColumn("group_a", F.col("a")).withColumn("group_b", F.lit(0).cast("long"))
     links = stash(verified(documents, nodes, stars, size, percent), "star-links")
     roots = components(links)
 
@@ -359,16 +428,20 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int =
         *(F.bit_or(b).alias(f"o{k}") for k, b in enumerate(BITS)),
         *(F.bit_and(b).alias(f"e{k}") for k, b in enumerate(BITS)),
     )
-    of_roots = mixed.select(F.col("token").alias("bucket"), "root").distinct().join(united, "root").withColumn("id", F.col("root"))
-    near = stash(_walk_buckets(of_roots, percent), "root-pairs")
+    united = united.withColumn("id", F.col("root"))
+    of_roots = stash(mixed.select(F.col("token").alias("bucket"), F.col("root").alias("id")).distinct(), "bucket-roots")
+    near = stash(_walk_buckets(of_roots, united, percent), "root-pairs")
     if not near.isEmpty():
         some = near.select(F.explode(F.array("a", "b")).alias("root")).distinct()
         single = leaf.select(
-            F.col("node").alias("id"), F.col("n").alias("low"), F.col("n").alias("high"),
+            F.col("node").alias("id"), "root", F.col("n").alias("low"), F.col("n").alias("high"),
             *(F.col(b).alias(f"{c}{k}") for c in "oe" for k, b in enumerate(BITS)),
         )
-        of_nodes = mixed.join(some, "root", "left_semi").select(F.col("token").alias("bucket"), F.col("node").alias("id"), "root").join(single, "id")
-        pairs = stash(_walk_buckets(of_nodes, percent), "node-pairs")
+        of_nodes = stash(mixed.join(some, "root", "left_semi").select(F.col("token").alias("bucket"), F.col("node").alias("id")), "bucket-nodes")
+        pairs = stash(_walk_buckets(of_nodes, single, percent), "node-pairs")
+        # Texts that nearly link form clusters of pairs; cells cut each cluster into a grid.
+        cluster = components(pairs).select(F.col("node").alias("a"), F.col("root").alias("group_a"))
+        pairs = pairs.join(cluster, "a").withColumn("group_b", F.lit(0).cast("long"))
         more = stash(verified(documents, nodes, pairs, size, percent), "tree-links")
         if not more.isEmpty():
             roots = components(links.unionByName(more))
@@ -384,10 +457,10 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int =
 
 
 def one_of_each(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents without those linked, directly or by others, to a smaller doc_id; texts without words all stay.
+    """The documents without those linked, directly or by others, to a smaller doc_id.
 
-    Of a group without any doc_id all stay, for nothing tells them apart.
+    Texts without words and rows without a doc_id all stay; rows that share a doc_id go together.
     """
     found = jaccard_components(documents, size, percent)
-    gone = found.where("not (doc_id <=> component_id)").select(F.coalesce("doc_id", F.lit(LAST)).alias("__gone")).distinct()
-    return documents.join(gone, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("__gone"), "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return documents.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

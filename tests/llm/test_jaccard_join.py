@@ -40,6 +40,7 @@ def test_against_brute_force(spark, seed, edits):
 
 def test_blocks_of_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "CELL_SHINGLES", 150)
     rows = cases.near_texts(7, 6, 14, 60, 4)
     assert result(spark, rows) == brute(rows)
 
