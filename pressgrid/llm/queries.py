@@ -43,7 +43,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = line_dedup.line_dedup(documents_of(spark, sf_dir).select("doc_id", "text"), max_bits=None)
+    cut = line_dedup.line_dedup(documents_of(spark, sf_dir).select("doc_id", "text"), max_bits=None, exact_words=1)
     return cut.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
