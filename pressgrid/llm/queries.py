@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pressgrid.llm import bpe, chat_format, exact_dedup, jaccard_join, learning, line_dedup, packing, quality_model, quality_rules, substring_dedup, toxicity
+from pressgrid.llm import (
+    bpe, chat_format, exact_dedup, importance, jaccard_join, learning, line_dedup, packing, quality_model, quality_rules,
+    sanitising, substring_dedup, toxicity, whitening,
+)
 from pressgrid.llm.store import documents_of, labels_of
 from pressgrid.session import prepare
 
@@ -67,5 +70,21 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", learning.held_out(F.col("doc_id"), *quality_model.HOLD))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    return whitening.whitened_embeddings(embeddings).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = prepare(spark).read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
+    return importance.importance_draw(documents_of(spark, sf_dir), benchmark)
+
+
+def op13_sanitising(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitising.sanitise(documents_of(spark, sf_dir))
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in sanitising.KINDS]
+    return found.select("doc_id", *counts, F.sha2(sanitising.digest("base"), 256).alias("base_sha256"), sanitising.digest("spans").alias("spans"))
+
+
 def all_queries() -> dict[str, Query]:
     return {name: value for name, value in globals().items() if name.startswith("op") and callable(value)}
