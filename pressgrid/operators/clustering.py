@@ -13,13 +13,17 @@ Shape of the computation:
 1. Equal vectors fall into one group (partial aggregation, so a mass of copies
    shrinks before the shuffle).  Only the earliest candidate of a group can be
    anybody's nearest predecessor in it, ties going to the lowest order.
-2. Distinct vectors are compared exactly.  A support-length bound drops pairs
-   that cannot reach the threshold: a vector with s non-zero components has a
-   dot product of at most the norm of the other's s largest components.  Vectors
-   are put into classes by s and by the support they demand of a partner; class
-   pairs under the bound are never joined, and the rest meet in blocks of bounded
-   size whose products run in numpy.  A block returns at most one best partner
-   per query; pairs are never emitted.
+2. Distinct vectors are compared exactly, but only where a bound leaves a chance.  Candidates are put into cells: the
+   pivot (a distinct vector of the table) nearest by angle, and a slice of the processing order, those already
+   clustered being the first slice.  A cell knows the largest positive and negative weight of its vectors in each
+   dimension, the range of their angles to every pivot, and their supports.  A query meets a cell only if
+   - the cell's slice is not after its own,
+   - the products of its weights with the cell's largest ones reach the threshold (the bound of an inverted index over
+     dimensions with maximum weights; a cell with no weight where the query has its own is never met),
+   - its angle to each pivot differs from the cell's range by no more than the threshold's angle (triangle inequality),
+   - neither has fewer non-zero components than the other demands.
+   Query and cell then meet in blocks of bounded size whose products run in numpy.  A block returns at most one best
+   partner per query; pairs are never emitted.
 3. Roots come from pointer jumping over one node per distinct vector.
 
 Similarities are rounded to 6 places, as stored vectors carry that precision.
@@ -27,7 +31,9 @@ Similarities are rounded to 6 places, as stored vectors carry that precision.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,12 +45,14 @@ from pressgrid.operators.dashboards import since
 from pressgrid.session import cut_lineage
 
 BLOCK_ROWS = 16384  # largest block: about 50 MB of vectors a side at 384 dimensions
+CELL_ROWS = 4096  # vectors a cell should hold; many more only where cells are at their most
+MAX_PIVOTS, MAX_SLICES = 128, 4  # bound what describes the cells, whatever the number of vectors
 QUERY_SLICE = 512
 DIGITS = 6
 EARLIER, EXISTING = 0, 1  # the two questions a query vector asks
 GROUP = ["h1", "h2"]
 ORDER_TYPE = "struct<in_batch:int,at:bigint,article_id:bigint,story_id:bigint>"
-PAIR_KEY = ["q_class", "q_block", "c_class", "c_block"]
+PAIR_KEY = ["cell", "q_part", "c_part"]
 
 
 def pairwise_cosine(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -52,21 +60,16 @@ def pairwise_cosine(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.withColumn("similarity", F.round(cosine_similarity(F.col(a), F.col(b)), DIGITS))
 
 
-def _reach(threshold: float):
-    floor = (threshold - 10.0**-DIGITS) ** 2
+def _unit(vectors: pd.Series) -> np.ndarray:
+    grid = np.stack(vectors.to_numpy()).astype(np.float64)
+    return grid / np.sqrt((grid * grid).sum(axis=1, keepdims=True))
 
-    @F.pandas_udf("struct<support:int,reach:int>")
-    def reach(vectors: pd.Series) -> pd.DataFrame:
-        """Number of non-zero components, and how many a partner must have to reach the threshold."""
-        squares = np.stack(vectors.to_numpy()).astype(np.float64) ** 2
-        total = squares.sum(axis=1, keepdims=True)
-        cumulative = np.cumsum(-np.sort(-squares, axis=1), axis=1)
-        return pd.DataFrame({
-            "support": (squares > 0).sum(axis=1).astype(np.int32),
-            "reach": ((cumulative < floor * total * (1 - 1e-9)).sum(axis=1) + 1).astype(np.int32),
-        })
 
-    return reach
+def _demands(unit: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Number of non-zero components, and how many a partner must have to reach the threshold."""
+    squares = unit * unit
+    cumulative = np.cumsum(-np.sort(-squares, axis=1), axis=1)
+    return (squares > 0).sum(axis=1), (cumulative < floor * floor * (1 - 1e-9)).sum(axis=1) + 1
 
 
 def _members(articles: DataFrame, as_of: Column, lookback_days: int) -> DataFrame:
@@ -87,87 +90,167 @@ def _members(articles: DataFrame, as_of: Column, lookback_days: int) -> DataFram
     )
 
 
-def _groups(members: DataFrame, threshold: float) -> DataFrame:
-    """One row per distinct vector: earliest candidate, whether the batch asks for it, vector, class."""
+def _groups(members: DataFrame) -> DataFrame:
+    """One row per distinct vector: earliest candidate, whether the batch asks for it, vector."""
     in_batch = F.col("place.in_batch") == 1
-    grouped = members.where("has_length").groupBy(*GROUP).agg(
+    return members.where("has_length").groupBy(*GROUP).agg(
         F.min(F.when(F.col("is_candidate"), F.col("place"))).alias("first"),
         F.max(in_batch).alias("asks"),
         F.any_value("embedding").alias("embedding"),
     )
-    sized = grouped.withColumn("r", _reach(threshold)("embedding"))
-    return sized.select(
-        *GROUP, "first", "asks", "embedding",
-        F.col("r.support").alias("support"), F.col("r.reach").alias("reach"),
-        (F.floor(F.log2("r.support")) * 64 + F.floor(F.log2("r.reach"))).cast("int").alias("size_class"),
-    )
 
 
 @dataclass
-class BlockPlan:
-    """Class of each size class after merging, blocks per class, and the class pairs to compare."""
+class Cells:
+    """What is known of the candidates by cell (row ``pivot * slices + slice``); at most 128 x 4 rows."""
+
+    pivots: np.ndarray  # unit vectors
+    cuts: list[int]  # times at which the slices after the first two begin
+    rows: np.ndarray
+    positive: np.ndarray  # largest weight by dimension
+    negative: np.ndarray  # largest absolute negative weight by dimension
+    nearest: np.ndarray  # smallest angle to each pivot
+    farthest: np.ndarray  # largest angle to each pivot
+    support: np.ndarray  # most non-zero components
+    reach: np.ndarray  # fewest components demanded of a partner
+
+    @property
+    def slices(self) -> int:
+        return len(self.cuts) + 2
+
+    def reached(self, unit: np.ndarray, in_batch: np.ndarray, at: np.ndarray, threshold: float) -> np.ndarray:
+        """Queries x cells: whether a cell may hold a partner at or above the threshold."""
+        floor = threshold - 10.0**-DIGITS
+        support, reach = _demands(unit, floor)
+        own = order_slice(in_batch, at, self.cuts)
+        met = (self.rows > 0) & (np.arange(len(self.rows)) % self.slices <= own[:, None])
+        met &= (self.support >= reach[:, None]) & (self.reach <= support[:, None])
+        met &= np.maximum(unit, 0) @ self.positive.T + np.maximum(-unit, 0) @ self.negative.T >= floor - 1e-9
+        angle, widest = _angles(unit, self.pivots), np.arccos(np.clip(floor, -1.0, 1.0)) + 1e-6
+        for k in range(len(self.pivots)):
+            mine = angle[:, k : k + 1]
+            met &= (mine - widest <= self.farthest[:, k]) & (mine + widest >= self.nearest[:, k])
+        return met
+
+
+def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
+
+
+def order_slice(in_batch: np.ndarray, at: np.ndarray, cuts: list[int]) -> np.ndarray:
+    """Slice of the processing order: 0 for clustered articles and those that are no candidates, then by time."""
+    return np.where(in_batch < 1, 0, 1 + np.searchsorted(np.array(cuts, dtype=np.int64), at, side="right"))
+
+
+def _flat(groups: DataFrame) -> DataFrame:
+    """Integers cross into pandas without nulls, so that ids keep all their bits.
+
+    A query without a candidate of its own sorts before everything.
+    """
+    return groups.select(
+        *GROUP, "embedding", F.coalesce("first.in_batch", F.lit(-1)).alias("in_batch"),
+        *[F.coalesce(f"first.{c}", F.lit(0).cast("long")).alias(c) for c in ("at", "article_id", "story_id")],
+    )
 
-    merged: dict[int, int]
-    q_blocks: dict[int, int]
-    c_blocks: dict[int, int]
-    pairs: list[tuple[int, int]]
 
+_BOUNDS = "cell int, n long, positive array<double>, negative array<double>, nearest array<double>, farthest array<double>, support long, reach long"
 
-def _plan_blocks(groups: DataFrame, block_rows: int) -> BlockPlan:
-    """Decide classes and blocks from a summary of one row per size class.
 
-    The collected summary is bounded by the square of log2(dimension) + 1.
-    Classes too small for half a block are put together, their bounds being the loosest of theirs.
-    """
-    is_candidate = F.col("first").isNotNull()
-    summary = groups.groupBy("size_class").agg(
-        F.count_if("asks").alias("n_q"), F.count_if(is_candidate).alias("n_c"),
-        F.max("support").alias("support"), F.min("reach").alias("reach"),
-    ).collect()
-    merged = {r.size_class: r.size_class if max(r.n_q, r.n_c) * 2 >= block_rows else -1 for r in summary}
-    classes: dict[int, dict[str, int]] = {}
-    for r in summary:
-        c = classes.setdefault(merged[r.size_class], {"n_q": 0, "n_c": 0, "support": r.support, "reach": r.reach})
-        c["n_q"] += r.n_q
-        c["n_c"] += r.n_c
-        c["support"] = max(c["support"], r.support)
-        c["reach"] = min(c["reach"], r.reach)
-    return BlockPlan(
-        merged,
-        {k: -(-c["n_q"] // block_rows) for k, c in classes.items() if c["n_q"]},
-        {k: -(-c["n_c"] // block_rows) for k, c in classes.items() if c["n_c"]},
-        [
-            (q, c)
-            for q, a in classes.items() if a["n_q"]
-            for c, b in classes.items() if b["n_c"]
-            if b["support"] >= a["reach"] and a["support"] >= b["reach"]
-        ],
-    )
+def _merge_bounds(found: pd.DataFrame) -> pd.DataFrame:
+    """One row from several rows of the same cell."""
+    widest = {c: [np.stack(found[c]).max(axis=0)] for c in ("positive", "negative", "farthest")}
+    return pd.DataFrame({
+        "cell": [int(found["cell"].iloc[0])], "n": [int(found["n"].sum())], **widest, "nearest": [np.stack(found["nearest"]).min(axis=0)],
+        "support": [int(found["support"].max())], "reach": [int(found["reach"].min())],
+    })[[c.split()[0] for c in _BOUNDS.split(", ")]]
 
 
-def _spread(rows: DataFrame, mine: str, other: str, my_blocks: dict, other_blocks: dict, partners: dict) -> DataFrame:
-    """Repeat each row for every partner block of the classes its class may meet."""
-    entries = F.create_map(*[
-        x
-        for own, classes in partners.items()
-        for x in (
-            F.lit(own),
-            F.array(*[F.struct(F.lit(c).alias("class"), F.lit(other_blocks[c]).alias("n")) for c in classes]),
-        )
-    ])
-    counts = F.create_map(*[F.lit(x) for item in my_blocks.items() for x in item])
-    own_class = F.col("size_class")
-    met = rows.select(
-        "*",
-        own_class.alias(f"{mine}_class"),
-        F.pmod(F.col("h1"), F.element_at(counts, own_class)).cast("int").alias(f"{mine}_block"),
-        F.explode(F.try_element_at(entries, own_class)).alias("partner"),
-    )
-    return met.select(
-        *[F.col(c) for c in met.columns if c != "partner"],
-        F.col("partner.class").alias(f"{other}_class"),
-        F.explode(F.sequence(F.lit(0), F.col("partner.n") - 1)).alias(f"{other}_block"),
+def _with_cell(rows: DataFrame, pivots: np.ndarray, cuts: list[int]) -> DataFrame:
+    """Add the cell of each vector: its nearest pivot (the first of several) and its slice."""
+    schema = "h1 long, h2 long, embedding array<float>, in_batch int, at long, article_id long, story_id long, cell int"
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                nearest = (_unit(frame["embedding"]) @ pivots.T).argmax(axis=1)
+                slices = order_slice(frame["in_batch"].to_numpy(), frame["at"].to_numpy(), cuts)
+                yield frame.assign(cell=(nearest * (len(cuts) + 2) + slices).astype(np.int32))
+
+    return rows.mapInPandas(place, schema)
+
+
+def _cell_bounds(candidates: DataFrame, pivots: np.ndarray, cuts: list[int], threshold: float) -> Cells:
+    """Bounds of every cell: merged in each task, then by cell."""
+    floor = threshold - 10.0**-DIGITS
+
+    def describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[int, pd.DataFrame] = {}
+        for frame in frames:
+            if not len(frame):
+                continue
+            unit, cells = _unit(frame["embedding"]), frame["cell"].to_numpy()
+            support, reach = _demands(unit, floor)
+            angle = _angles(unit, pivots)
+            for cell in np.unique(cells):
+                own = cells == cell
+                part = pd.DataFrame({
+                    "cell": [int(cell)], "n": [int(own.sum())],
+                    "positive": [np.maximum(unit[own], 0).max(axis=0)], "negative": [np.maximum(-unit[own], 0).max(axis=0)],
+                    "nearest": [angle[own].min(axis=0)], "farthest": [angle[own].max(axis=0)],
+                    "support": [int(support[own].max())], "reach": [int(reach[own].min())],
+                })
+                known[int(cell)] = _merge_bounds(pd.concat([known[int(cell)], part])) if int(cell) in known else part
+        yield from known.values()
+
+    merged = candidates.mapInPandas(describe, _BOUNDS).groupBy("cell").applyInPandas(_merge_bounds, _BOUNDS)
+    n_cells, dim = len(pivots) * (len(cuts) + 2), pivots.shape[1]
+    cells = Cells(
+        pivots, cuts, np.zeros(n_cells, dtype=np.int64), np.zeros((n_cells, dim)), np.zeros((n_cells, dim)),
+        np.full((n_cells, len(pivots)), np.inf), np.full((n_cells, len(pivots)), -np.inf),
+        np.zeros(n_cells, dtype=np.int64), np.full(n_cells, dim + 1, dtype=np.int64),
     )
+    for r in merged.collect():  # a row per cell
+        cells.rows[r.cell] = r.n
+        for name in ("positive", "negative", "nearest", "farthest", "support", "reach"):
+            getattr(cells, name)[r.cell] = r[name]
+    return cells
+
+
+def plan_cells(groups: DataFrame, threshold: float, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, Cells] | None:
+    """The candidates with their cells, and the cells' bounds; None without candidates.
+
+    Pivots are the candidates with the smallest hashes.  More candidates make more cells up to the largest number,
+    then larger cells, which are dealt into blocks.
+    """
+    candidates = groups.where("first is not null")
+    n = candidates.count()
+    if n == 0:
+        return None
+    wanted = min(MAX_PIVOTS, -(-n // cell_rows))
+    pivots = _unit(pd.Series([np.array(r.embedding, dtype=np.float64) for r in candidates.orderBy(*GROUP).limit(wanted).collect()]))
+    slices = min(MAX_SLICES, -(-n // (4 * cell_rows)))
+    cuts: list[int] = []
+    if slices > 1:
+        shares = [k / slices for k in range(1, slices)]
+        times = candidates.where("first.in_batch = 1").agg(F.percentile_approx("first.at", shares).alias("cuts")).first().cuts
+        cuts = sorted(set(times or []))
+    placed = cut_lineage(_with_cell(_flat(candidates), pivots, cuts))
+    return placed, _cell_bounds(placed, pivots, cuts, threshold)
+
+
+def with_reached(queries: DataFrame, cells: Cells, threshold: float) -> DataFrame:
+    """Add ``cells``, the numbers of the cells a query has to meet; queries that meet none go."""
+    schema = "h1 long, h2 long, embedding array<float>, in_batch int, at long, article_id long, story_id long, cells array<int>"
+
+    def reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            met = cells.reached(_unit(frame["embedding"]), frame["in_batch"].to_numpy(), frame["at"].to_numpy(), threshold)
+            some = met.any(axis=1)
+            yield frame[some].assign(cells=[np.flatnonzero(row).astype(np.int32) for row in met[some]])
+
+    return queries.mapInPandas(reach, schema)
 
 
 BEST_SCHEMA = (
@@ -176,10 +259,6 @@ BEST_SCHEMA = (
 
 
 def _block_best(threshold: float):
-    def unit(vectors: pd.Series) -> np.ndarray:
-        grid = np.stack(vectors.to_numpy()).astype(np.float64)
-        return grid / np.sqrt((grid * grid).sum(axis=1, keepdims=True))
-
     def best(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         """Best earlier and best already-clustered candidate of each query of one block pair."""
         empty = pd.DataFrame({c.split()[0]: np.empty(0, np.int64) for c in BEST_SCHEMA.split(", ")})
@@ -197,8 +276,8 @@ def _block_best(threshold: float):
         bound[ranks.loc[before.index, "q"].to_numpy()] = before.to_numpy()
         existing = int((candidates["in_batch"] == 0).sum())
         order = np.argsort(bound, kind="stable")
-        c_unit = unit(candidates["embedding"])
-        q_unit = unit(queries["embedding"])
+        c_unit = _unit(candidates["embedding"])
+        q_unit = _unit(queries["embedding"])
         found = []
         for start in range(0, len(order), QUERY_SLICE):
             rows = order[start:start + QUERY_SLICE]
@@ -226,31 +305,31 @@ def _block_best(threshold: float):
     return best
 
 
-def _group_parents(groups: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+def _group_parents(groups: DataFrame, threshold: float, block_rows: int, cell_rows: int) -> DataFrame:
     """Per asking group: best earlier partner and best already-clustered partner, at or above the threshold."""
-    plan = _plan_blocks(groups, block_rows)
     asking = groups.where("asks")
-    if not plan.pairs:
+    plan = plan_cells(groups, threshold, cell_rows)
+    if plan is None:
         nothing = F.lit(None).cast(f"struct<sim:double,place:{ORDER_TYPE}>")
         return asking.select(*GROUP, "first", nothing.alias("earlier"), nothing.alias("existing"))
-    met_by_q: dict[int, list[int]] = {}
-    met_by_c: dict[int, list[int]] = {}
-    for q, c in plan.pairs:
-        met_by_q.setdefault(q, []).append(c)
-        met_by_c.setdefault(c, []).append(q)
-    # Integers cross into pandas without nulls, so that ids keep all their bits.
-    # A query without a candidate of its own sorts before everything.
-    merged = F.create_map(*[F.lit(x) for item in plan.merged.items() for x in item])
-    columns = [
-        *GROUP, F.element_at(merged, F.col("size_class")).alias("size_class"), "embedding",
-        F.coalesce("first.in_batch", F.lit(-1)).alias("in_batch"),
-        *[F.coalesce(f"first.{c}", F.lit(0).cast("long")).alias(c) for c in ("at", "article_id", "story_id")],
-    ]
-    queries = _spread(asking.select(*columns), "q", "c", plan.q_blocks, plan.c_blocks, met_by_q)
-    candidates = _spread(groups.where("first is not null").select(*columns), "c", "q", plan.c_blocks, plan.q_blocks, met_by_c)
-    best = (
-        queries.groupBy(*PAIR_KEY).cogroup(candidates.groupBy(*PAIR_KEY)).applyInPandas(_block_best(threshold), BEST_SCHEMA)
+    candidates, cells = plan
+    queries = cut_lineage(with_reached(_flat(asking), cells, threshold))
+    # A row per cell: into how many parts its candidates and the queries that meet it are dealt.
+    asked = {r.cell: r.n for r in queries.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = groups.sparkSession.createDataFrame(
+        [(int(c), -(-n // block_rows), -(-int(cells.rows[c]) // block_rows)) for c, n in asked.items()],
+        "cell int, q_parts int, c_parts int",
     )
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        met = rows.join(F.broadcast(parts), "cell")
+        return met.withColumn(f"{own}_part", F.pmod("h1", F.col(f"{own}_parts")).cast("int")).withColumn(
+            f"{other}_part", F.explode(F.sequence(F.lit(0), F.col(f"{other}_parts") - 1))
+        ).drop("q_parts", "c_parts")
+
+    q_rows = dealt(queries.withColumn("cell", F.explode("cells")).drop("cells"), "q", "c")
+    c_rows = dealt(candidates, "c", "q")
+    best = q_rows.groupBy(*PAIR_KEY).cogroup(c_rows.groupBy(*PAIR_KEY)).applyInPandas(_block_best(threshold), BEST_SCHEMA)
     # Highest similarity, then lowest order: the order enters negated.
     ranked = F.struct("sim", (-F.col("in_batch")).alias("b"), (-F.col("at")).alias("t"), (-F.col("article_id")).alias("i"), "story_id")
     tops = best.groupBy(*GROUP).agg(
@@ -268,10 +347,10 @@ def _group_parents(groups: DataFrame, threshold: float, block_rows: int) -> Data
     )
 
 
-def _parents(articles: DataFrame, as_of: Column, lookback_days: int, threshold: float, block_rows: int):
+def _parents(articles: DataFrame, as_of: Column, lookback_days: int, threshold: float, block_rows: int, cell_rows: int):
     members = _members(articles, as_of, lookback_days)
-    groups = cut_lineage(_groups(members, threshold))
-    parents = cut_lineage(_group_parents(groups, threshold, block_rows))
+    groups = cut_lineage(_groups(members))
+    parents = cut_lineage(_group_parents(groups, threshold, block_rows, cell_rows))
     batch = members.where("place.in_batch = 1").select("article_id", *GROUP, "is_candidate")
     return batch, parents
 
@@ -292,14 +371,14 @@ def _partner_columns() -> tuple[Column, Column]:
 
 def nearest_predecessor(
     articles: DataFrame, as_of: Column, lookback_days: int = C.LOOKBACK_DAYS, threshold: float = C.SIMILARITY_THRESHOLD,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """(article_id, parent_id, similarity) of each batch article; nulls when nothing reaches the threshold.
 
     ``articles`` has (article_id, published_at, embedding, story_id); a null
     story_id marks the batch.
     """
-    batch, parents = _parents(articles, as_of, lookback_days, threshold, block_rows)
+    batch, parents = _parents(articles, as_of, lookback_days, threshold, block_rows, cell_rows)
     sim, place = _partner_columns()
     return batch.join(parents, GROUP, "left").select(
         "article_id", place["article_id"].alias("parent_id"), sim.alias("similarity")
@@ -309,29 +388,32 @@ def nearest_predecessor(
 def _resolve_roots(nodes: DataFrame) -> DataFrame:
     """Pointer jumping: (node, story_id, is_new) from (node, ptr, story_id, is_new); ptr null when settled.
 
-    The number of rounds is the logarithm of the longest chain.
+    Settled rows leave the loop, so each round reads and writes the open ones alone, beside the settled rows they
+    look up.  The number of rounds is the logarithm of the longest chain.
     """
-    while True:
-        nodes = cut_lineage(nodes)
-        open_rows = nodes.where("ptr is not null")
-        if open_rows.isEmpty():
-            return nodes.select("node", "story_id", "is_new")
-        targets = nodes.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"), F.col("story_id").alias("s"), F.col("is_new").alias("n"))
-        jumped = open_rows.join(targets, ["ptr"], "left").select(
+    nodes = cut_lineage(nodes)
+    settled, open_rows = [nodes.where("ptr is null")], nodes.where("ptr is not null")
+    while not open_rows.isEmpty():
+        targets = [part.select(F.col("node").alias("ptr"), F.lit(None).cast("long").alias("next"), F.col("story_id").alias("s"), F.col("is_new").alias("n")) for part in settled]
+        targets.append(open_rows.select(F.col("node").alias("ptr"), F.col("ptr").alias("next"), F.col("story_id").alias("s"), F.col("is_new").alias("n")))
+        looked_up = reduce(DataFrame.unionByName, targets)
+        jumped = cut_lineage(open_rows.join(looked_up, "ptr", "left").select(
             "node", F.col("next").alias("ptr"), F.col("s").alias("story_id"), F.col("n").alias("is_new")
-        )
-        nodes = nodes.where("ptr is null").unionByName(jumped)
+        ))
+        settled.append(jumped.where("ptr is null"))
+        open_rows = jumped.where("ptr is not null")
+    return reduce(DataFrame.unionByName, settled).select("node", "story_id", "is_new")
 
 
 def assign_stories(
     articles: DataFrame, as_of: Column, lookback_days: int = C.LOOKBACK_DAYS, threshold: float = C.SIMILARITY_THRESHOLD,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Story of every batch article: (article_id, story_id, is_new_story, parent_id, similarity).
 
     A new story takes the id of its first article and is marked ``is_new_story``.
     """
-    batch, parents = _parents(articles, as_of, lookback_days, threshold, block_rows)
+    batch, parents = _parents(articles, as_of, lookback_days, threshold, block_rows, cell_rows)
     earlier = F.col("earlier.place")
     nothing = F.lit(None).cast("long")
     # One node per distinct vector whose earliest candidate is of the batch.

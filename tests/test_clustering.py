@@ -64,11 +64,73 @@ def test_matches_the_sequential_model(spark, seed):
     rows = case(seed)
     expected = one_by_one(rows, 3, 0.75)
     df = spark.createDataFrame(rows, SCHEMA)
-    # Tiny blocks, so that one question is answered by many block pairs.
-    got = clustering.assign_stories(df, F.lit(NOW), 3, 0.75, block_rows=7).collect()
+    # Tiny cells and blocks, so that one question is answered by many block pairs.
+    got = clustering.assign_stories(df, F.lit(NOW), 3, 0.75, block_rows=7, cell_rows=(9, 60)[seed % 2]).collect()
     assert {r.article_id: (r.story_id, r.is_new_story, r.parent_id) for r in got} == expected
 
 
+def groups_of(spark, rows, threshold=0.75):
+    members = clustering._members(spark.createDataFrame(rows, SCHEMA), F.lit(NOW), 3)
+    return clustering._groups(members)
+
+
+def tight(seed, clusters, each, dim=24, spread=0.05):
+    """Batch rows in tight clusters around random directions."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((clusters, dim))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    out = []
+    for i in range(clusters * each):
+        v = centres[i % clusters] + spread * rng.standard_normal(dim)
+        out.append((i + 1, NOW - timedelta(minutes=int(rng.integers(0, 4000))), [float(np.float32(x)) for x in v], None))
+    return out
+
+
+def sparse(seed, topics, each, dim=64):
+    """Batch rows with a few components each, on the dimensions of their topic."""
+    rng = random.Random(seed)
+    homes = [rng.sample(range(dim), 4) for _ in range(topics)]
+    out = []
+    for i in range(topics * each):
+        v = [0.0] * dim
+        for d in rng.sample(homes[i % topics], 3):
+            v[d] = rng.choice([1.0, 2.0, -1.0])
+        out.append((i + 1, NOW - timedelta(minutes=rng.randrange(4000)), v, None))
+    return out
+
+
+@pytest.mark.parametrize("make", [tight, sparse])
+def test_bounds_skip_most_cells_and_lose_no_partner(spark, make):
+    rows = make(3, 12, 25)
+    expected = one_by_one(rows, 3, 0.75)
+    got = clustering.assign_stories(spark.createDataFrame(rows, SCHEMA), F.lit(NOW), 3, 0.75, block_rows=50, cell_rows=10).collect()
+    assert {r.article_id: (r.story_id, r.is_new_story, r.parent_id) for r in got} == expected
+
+    groups = groups_of(spark, rows)
+    candidates, cells = clustering.plan_cells(groups, 0.75, cell_rows=10)
+    n = candidates.count()
+    assert cells.rows.sum() == n and len(cells.rows) <= clustering.MAX_PIVOTS * (clustering.MAX_SLICES + 1)
+    met = clustering.with_reached(clustering._flat(groups.where("asks")), cells, 0.75).select(F.explode("cells").alias("c")).collect()
+    compared = sum(int(cells.rows[r.c]) for r in met)
+    assert compared < 0.25 * n * n  # of all query-candidate pairs; the order alone would leave about a half
+
+
+def test_pairs_grow_slower_than_the_square(spark):
+    def compared(clusters):
+        groups = groups_of(spark, tight(4, clusters, 25))
+        _, cells = clustering.plan_cells(groups, 0.75, cell_rows=10)
+        met = clustering.with_reached(clustering._flat(groups.where("asks")), cells, 0.75).select(F.explode("cells").alias("c")).collect()
+        return sum(int(cells.rows[r.c]) for r in met)
+
+    assert compared(32) < 4 * 0.75 * compared(16)
+
+
+def test_slices_follow_the_order():
+    at = np.array([5, 10, 11, 30, 0])
+    assert clustering.order_slice(np.array([1, 1, 1, 1, 0]), at, [10, 20]).tolist() == [1, 2, 2, 3, 0]
+    assert clustering.order_slice(np.array([-1, 1]), np.array([0, 3]), []).tolist() == [0, 1]
+
+
 def test_long_chain_settles_on_its_root(spark):
     # Each vector is similar only to its neighbours; the chain needs several jumps.
     angle = np.deg2rad(30)
