@@ -695,13 +695,17 @@ SELECT 'https://wire.example/' || (article_id // 3) AS url, arg_min(headline, ar
 SQL["stream_daily_counts"] = "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS n FROM events GROUP BY 1"
 SQL["stream_cluster"] = f"WITH RECURSIVE {vectors('CAST(NULL AS BIGINT)')}, {edges(31, 0.75)} SELECT id AS article_id, story_id FROM assigned"
 SQL["stream_latest_wins"] = SQL["latest_wins_upsert"]
-SQL["stream_attempts"] = """
-WITH o AS (SELECT user_id, ts, event_id, event_type = 'purchase' AS ok FROM events WHERE event_type IN ('error', 'purchase')),
-numbered AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS fails,
-                    sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS oks FROM o),
-g AS (SELECT user_id, CAST(max(fails) FILTER (oks = 0) AS BIGINT) AS before_ok, max(oks) > 0 AS has_ok FROM numbered GROUP BY 1)
-SELECT user_id AS article_id, CASE WHEN coalesce(before_ok, 0) >= 3 THEN 3 WHEN has_ok THEN 0 ELSE before_ok END AS attempts,
-       CASE WHEN coalesce(before_ok, 0) >= 3 THEN 'failed' WHEN has_ok THEN 'advanced' ELSE 'open' END AS status FROM g"""
+STAGES = "['discovered', 'extracted', 'embedded', 'clustered', 'analyzed']"
+SQL["stream_attempts"] = f"""
+WITH o AS (SELECT user_id, event_type = 'purchase' AS ok,
+                  count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS oks
+           FROM events WHERE event_type IN ('error', 'purchase')),
+per_stage AS (SELECT user_id, oks AS stage, count(*) FILTER (NOT ok) AS fails FROM o GROUP BY 1, 2),
+ended AS (SELECT user_id, max(stage) AS passed, min(stage) FILTER (fails >= 3 AND stage < 4) AS dead, arg_max(fails, stage) AS open_fails FROM per_stage GROUP BY 1)
+SELECT user_id AS article_id,
+       CASE WHEN dead IS NOT NULL THEN (['failed_extract', 'failed_embed', 'failed_analyze', 'failed_analyze'])[dead + 1]
+            ELSE ({STAGES})[least(passed, 4) + 1] END AS processing_state,
+       CAST(CASE WHEN dead IS NOT NULL THEN 3 WHEN passed >= 4 THEN 0 ELSE open_fails END AS BIGINT) AS attempts FROM ended"""
 SQL["stream_recompare"] = f"SELECT story_id FROM ({compare_sql('true', '')})"
 
 

@@ -74,3 +74,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def run_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared folder for one run's tables."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def folder_done(spark: SparkSession, path: str) -> bool:
+    """Whether a Spark job has finished writing ``path``."""
+    files, place = _hadoop_path(spark, f"{path}/_SUCCESS")
+    return files.exists(place)
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    files, place = _hadoop_path(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(place) if s.isDirectory()] if files.exists(place) else []
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder this library wrote, wherever it lies."""
+    files, place = _hadoop_path(spark, path)
+    files.delete(place, True)

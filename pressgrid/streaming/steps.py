@@ -1,24 +1,76 @@
-"""Incremental forms of the batch operators, one micro-batch at a time."""
+"""Incremental forms of the batch operators, one micro-batch at a time.
+
+A step may be started again and again with the same checkpoint: it takes what has arrived since, and goes on from the
+state it left.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pressgrid import constants as C
-from pressgrid.operators import clustering, selection
+from pressgrid.operators import clustering
 from pressgrid.operators.dashboards import since
 from pressgrid.session import cut_lineage
-from pressgrid.sources import feeds, upserts
-from pressgrid.streaming.log import BatchLog, drain
+from pressgrid.sources import upserts
+from pressgrid.streaming import keyed
+from pressgrid.streaming.tables import DayTable, KeyedTable, ResultTable
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+KEYED_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+URL_DAYS = 30
+
+
+def table_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet table, one file or a folder of files, as a stream of its files.
+
+    The last letter of the path is written as a pattern: the file source takes
+    a plain path for a folder and would refuse a single file.
+    """
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
+
+
+@contextmanager
+def _keyed_store(spark: SparkSession) -> Iterator[None]:
+    """Processors need the store that holds several states per key."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, KEYED_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+
+
+def drain(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Run the stream over everything that is there now, then stop."""
+    with _keyed_store(stream.sparkSession):
+        running = (
+            stream.writeStream.outputMode(mode)
+            .foreachBatch(each)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+        running.awaitTermination()
 
 
-def stream_discover(stream: DataFrame, checkpoint: str, log: BatchLog) -> None:
-    """New URLs of each batch; a URL seen in any earlier batch never comes again."""
+def stream_discover(stream: DataFrame, checkpoint: str, out: ResultTable, known: DataFrame, days: int = URL_DAYS) -> None:
+    """New URLs of each batch, the first entry of a URL winning.
+
+    ``known`` holds URLs from before the stream; a URL is forgotten ``days`` of event time after its first entry.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        log.write(feeds.discover_new_urls(batch, log.before(batch.sparkSession, batch_id)), batch_id)
+        new = batch.drop("arrival", "fetched_at").withColumns({"processing_state": F.lit("discovered"), "attempt_count": F.lit(0).cast("long")})
+        out.append(new, batch_id)
 
-    drain(stream, checkpoint, each)
+    drain(keyed.first_of_url(stream, known, days), checkpoint, each)
 
 
 def daily_counts(stream: DataFrame, ts: str, lateness: str) -> DataFrame:
@@ -31,96 +83,65 @@ def daily_counts(stream: DataFrame, ts: str, lateness: str) -> DataFrame:
     )
 
 
-def stream_daily_counts(stream: DataFrame, checkpoint: str, log: BatchLog, lateness: str, ts: str = "ts") -> None:
+def stream_daily_counts(stream: DataFrame, checkpoint: str, out: KeyedTable, lateness: str, ts: str = "ts") -> None:
     """Events later than ``lateness`` behind the newest one are dropped; none is while the span covers the source's disorder.
 
-    Each batch logs the days it changed; the highest batch of a day is its count."""
-    drain(daily_counts(stream, ts, lateness), checkpoint, lambda batch, batch_id: log.write(batch, batch_id), mode="update")
+    The table has the count of each day; a batch replaces the days it changed."""
+    drain(daily_counts(stream, ts, lateness), checkpoint, lambda batch, batch_id: _replace(out, batch, batch_id), mode="update")
+
+
+def _replace(out: KeyedTable, batch: DataFrame, batch_id: int) -> None:
+    """Rows of the batch take the place of the table's rows with their keys."""
+    out.upsert(batch, batch_id, lambda current, new: current.join(new.select(out.pk), out.pk, "left_anti").unionByName(new))
 
 
 def stream_cluster(
-    stream: DataFrame, checkpoint: str, log: BatchLog, as_of: Column,
+    stream: DataFrame, checkpoint: str, store: DayTable, out: ResultTable, as_of: Column,
     lookback_days: int = C.LOOKBACK_DAYS, threshold: float = C.SIMILARITY_THRESHOLD,
 ) -> None:
     """Stories for each batch of embedded articles, against the clustered articles of the window.
 
-    ``stream`` has (article_id, published_at, embedding).  The log row keeps the
-    vector and the root article, which is the story key.
+    ``stream`` has (article_id, published_at, embedding).  The store keeps the vectors of the window by day of
+    publication with the root article, which is the story key; days before the window go after each batch.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        start = since(as_of, days=lookback_days)
+        first_day = spark.range(1).select(F.date_format(start, "yyyy-MM-dd").alias("day")).first().day
         batch = cut_lineage(batch.select("article_id", "published_at", "embedding"))
-        recent = log.before(spark, batch_id).where(F.col("published_at") >= since(as_of, days=lookback_days))
-        both = batch.withColumn("story_id", F.lit(None).cast("long")).unionByName(
-            recent.select("article_id", "published_at", "embedding", "story_id")
-        )
-        assigned = clustering.assign_stories(both, as_of, lookback_days, threshold)
-        log.write(batch.join(assigned.select("article_id", "story_id"), "article_id"), batch_id)
+        recent = store.since(spark, F.lit(first_day).cast("date"), batch_id).where(F.col("published_at") >= start)
+        both = batch.withColumn("story_id", F.lit(None).cast("long")).unionByName(recent)
+        assigned = cut_lineage(clustering.assign_stories(both, as_of, lookback_days, threshold).select("article_id", "story_id"))
+        out.append(assigned, batch_id)
+        clustered = batch.where(F.col("published_at") >= start).join(assigned, "article_id")
+        store.append(clustered, F.to_date("published_at"), batch_id)
+        store.drop_before(spark, first_day)
 
     drain(stream, checkpoint, each)
 
 
-def stream_latest_wins(stream: DataFrame, checkpoint: str, log: BatchLog, pk: str, version: str) -> None:
-    """Each batch logs its latest row per key; ``latest`` resolves the log."""
+def stream_latest_wins(stream: DataFrame, checkpoint: str, out: KeyedTable, version: str) -> None:
+    """The table holds the row of the highest version of each key after every batch."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        log.write(upserts.latest_wins_upsert(batch.limit(0), batch, pk, version), batch_id)
+        out.upsert(batch, batch_id, lambda current, new: upserts.latest_wins_upsert(current, new, out.pk, version))
 
     drain(stream, checkpoint, each)
 
 
-def latest(rows: DataFrame, pk: str, version: str) -> DataFrame:
-    """One row per key: the one with the highest version."""
-    rest = [c for c in rows.columns if c != pk]
-    return rows.groupBy(pk).agg(F.max_by(F.struct(*rest), version).alias("row")).select(pk, "row.*")
-
+def stream_attempts(stream: DataFrame, checkpoint: str, out: KeyedTable) -> None:
+    """State and failures of each article over a stream of (article_id, at, seq, ok), starting at ``discovered``.
 
-def attempts_after(outcomes: DataFrame, before: DataFrame) -> DataFrame:
-    """Counter and state per article after a batch of outcomes in the order (at, seq).
-
-    A success before the third failure advances the article; the third failure
-    is final.  ``before`` has (article_id, attempts, status) with settled
-    articles no longer open.  Failures are counted after pre-aggregation, and the
-    first success is looked up with salting, so one busy article does not
-    fill a task.
+    Outcomes count in the order of their batches, and by (at, seq) inside one.  Outcomes of an article that failed or
+    passed the last stage are ignored.
     """
-    place = F.struct("at", "seq")
-    success = outcomes.groupBy("article_id").agg(F.min(F.when(F.col("ok"), place)).alias("first_ok"))
-    failures = outcomes.where("not ok").join(success, ["article_id"], "left").where(
-        F.col("first_ok").isNull() | (place < F.col("first_ok"))
-    ).groupBy("article_id").agg(F.count(F.lit(1)).alias("failures"))
-    counted = F.coalesce("old_attempts", F.lit(0).cast("long")) + F.coalesce("failures", F.lit(0).cast("long"))
-    failed = counted >= C.MAX_ATTEMPTS
-    old = before.select("article_id", F.col("attempts").alias("old_attempts"), F.col("status").alias("old_status"))
-    open_rows = success.join(failures, "article_id", "left").join(old, "article_id", "left").where(
-        F.col("old_status").isNull() | (F.col("old_status") == "open")
-    )
-    return open_rows.select(
-        "article_id",
-        F.when(failed, F.lit(C.MAX_ATTEMPTS).cast("long")).when(F.col("first_ok").isNotNull(), F.lit(0).cast("long")).otherwise(counted).alias("attempts"),
-        F.when(failed, "failed").when(F.col("first_ok").isNotNull(), "advanced").otherwise("open").alias("status"),
-    )
-
-
-def stream_attempts(stream: DataFrame, checkpoint: str, log: BatchLog) -> None:
-    """Three-strike counter over a stream of (article_id, at, seq, ok)."""
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        before = latest(log.before(batch.sparkSession, batch_id), "article_id", "batch")
-        log.write(attempts_after(batch, before), batch_id)
-
-    drain(stream, checkpoint, each)
+    drain(keyed.attempts(stream), checkpoint, lambda batch, batch_id: _replace(out, batch, batch_id), mode="update")
 
 
-def stream_recompare(stream: DataFrame, checkpoint: str, articles_log: BatchLog, due_log: BatchLog, comparisons_path: str) -> None:
-    """Stories touched by a batch that are due for a (new) comparison; all of them, without a limit."""
+def stream_recompare(stream: DataFrame, checkpoint: str, out: ResultTable, comparisons: DataFrame) -> None:
+    """Stories touched by a batch that are due for a (new) comparison; all of them, without a limit.
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        articles_log.write(batch, batch_id)
-        so_far = articles_log.all(spark).where(F.col("batch") <= batch_id)
-        touched = articles_log.all(spark).where(F.col("batch") == batch_id).select("story_id").distinct()
-        due_log.write(selection.compare_candidates(so_far, spark.read.parquet(comparisons_path), None, story_ids=touched), batch_id)
-
-    drain(stream, checkpoint, each)
+    ``comparisons`` are those from before the stream.
+    """
+    drain(keyed.due_stories(stream, comparisons), checkpoint, out.append)
