@@ -327,7 +327,7 @@ hands AS (SELECT story_id, list({{'id': card.id, 'outlet': outlet_id}} ORDER BY
 played AS (SELECT story_id, unnest(hand) AS card, generate_subscripts(hand, 1) AS story_rank FROM hands),
 best AS (
     SELECT card, story_id, story_rank, n_outlets, n_articles,
-           CAST(CASE WHEN list_contains(ids, story_id) THEN 0 WHEN EXISTS (SELECT 1 FROM n_comparisons c WHERE c.story_id = wide.story_id) THEN 1 ELSE 2 END AS BIGINT) AS tier
+           CAST(CASE WHEN list_contains(ids, story_id) THEN 0 WHEN EXISTS (SELECT 1 FROM n_stored c WHERE c.story_id = wide.story_id) THEN 1 ELSE 2 END AS BIGINT) AS tier
     FROM played JOIN wide USING (story_id), front
     QUALIFY row_number() OVER (ORDER BY tier, n_outlets DESC, n_articles DESC, latest DESC, story_rank, card.id) <= 20)
 SELECT card.id AS article_id, slug AS outlet_slug, story_id, tier, story_rank, n_outlets, n_articles FROM best JOIN n_outlets ON outlet_id = card.outlet"""
@@ -336,11 +336,11 @@ SELECT card.id AS article_id, slug AS outlet_slug, story_id, tier, story_rank, n
 def compare_sql(scope: str, limit: str = "ORDER BY story_id LIMIT 10") -> str:
     return f"""
 SELECT story_id, len(o) AS n_articles, len(list_distinct(o)) AS n_outlets, {ts('fresh')} AS latest_analyzed_at,
-       (SELECT {ts('generated_at')} FROM n_comparisons c WHERE c.story_id = g.story_id) AS generated_at
+       (SELECT {ts('generated_at')} FROM n_stored c WHERE c.story_id = g.story_id) AS generated_at
 FROM (SELECT story_id, list(outlet_id) AS o, max(CASE processing_state WHEN 'analyzed' THEN state_updated_at END) AS fresh
       FROM n_articles JOIN n_stories USING (story_id) WHERE processing_state IN ('analyzed', 'complete') AND ({scope}) GROUP BY story_id) g
 WHERE len(list_distinct(o)) > 1
-  AND NOT EXISTS (SELECT 1 FROM n_comparisons c WHERE c.story_id = g.story_id AND c.generated_at >= coalesce(g.fresh, c.generated_at)) {limit}"""
+  AND NOT EXISTS (SELECT 1 FROM n_stored c WHERE c.story_id = g.story_id AND c.generated_at >= coalesce(g.fresh, c.generated_at)) {limit}"""
 
 
 SOME = "topic IN ('topic_1', 'topic_2')"
@@ -391,7 +391,7 @@ JOIN n_stories s ON s.story_id = c.story_id"""
 SQL["advance_compared"] = f"""
 SELECT article_id, CASE WHEN m THEN 'complete' ELSE processing_state END AS processing_state,
        CASE WHEN m THEN {ts(AS_OF)} ELSE {ts('state_updated_at')} END AS state_updated_at, CASE WHEN NOT m THEN state_error END AS state_error, attempt_count
-FROM (SELECT *, coalesce(story_id IN (SELECT story_id FROM n_comparisons), false) AND processing_state = 'analyzed' AS m FROM n_articles)"""
+FROM (SELECT *, coalesce(story_id IN (SELECT story_id FROM n_stored), false) AND processing_state = 'analyzed' AS m FROM n_articles)"""
 
 # --- dashboards -----------------------------------------------------------------------
 

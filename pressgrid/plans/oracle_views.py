@@ -79,7 +79,8 @@ VIEWS = {
     "n_comparisons": """
         SELECT story_id, CAST((story_id % 100) / 100.0 AS DECIMAL(3,2)) AS framing_spread,
                last_seen_at - CAST(story_id % 48 AS INTEGER) * INTERVAL 1 HOUR AS generated_at
-        FROM n_stories WHERE story_id IN (SELECT story_id FROM n_cells) AND story_id % 3 = 0""",
+        FROM n_stories WHERE story_id IN (SELECT story_id FROM n_cells)""",
+    "n_stored": "SELECT * FROM n_comparisons WHERE story_id % 3 = 0",
     "n_ratings": """
         SELECT outlet_id, 'MBFC' AS source,
                CASE WHEN outlet_id = 10 THEN 'Questionable' ELSE ['Left-Center', 'Least Biased', 'Right-Center'][outlet_id % 3 + 1] END AS original_label,

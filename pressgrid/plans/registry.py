@@ -341,13 +341,13 @@ add("outlet_directory", lambda t: dashboards.outlet_directory(t.outlets, t.ratin
 
 # --- stories ----------------------------------------------------------------------------
 
-add("stories_page", lambda t: stories.stories_page(t.stories, t.articles, t.outlets, t.stored_comparisons, as_of(), page=2))
-add("stories_page_fresh", lambda t: stories.stories_page(t.stories, t.articles, t.outlets, t.stored_comparisons, as_of(), fresh=True))
-add("story_detail", lambda t: stories.story_detail(t.stories, t.articles, t.outlets, t.analysis, t.stored_comparisons))
+add("stories_page", lambda t: stories.stories_page(t.stories, t.articles, t.outlets, t.comparisons, as_of(), page=2))
+add("stories_page_fresh", lambda t: stories.stories_page(t.stories, t.articles, t.outlets, t.comparisons, as_of(), fresh=True))
+add("story_detail", lambda t: stories.story_detail(t.stories, t.articles, t.outlets, t.analysis, t.comparisons))
 add("story_sentiment_agg", lambda t: stories.story_sentiment_agg(t.stories, t.articles, t.analysis, as_of()))
 add("positive_story_reasons", lambda t: stories.positive_story_reasons(
     stories.story_sentiment_agg(t.stories, t.articles, t.analysis, as_of(), days=30), as_of()))
-add("positive_stories", lambda t: stories.positive_stories(t.stories, t.articles, t.outlets, t.analysis, t.stored_comparisons, as_of()).drop("summary"))
+add("positive_stories", lambda t: stories.positive_stories(t.stories, t.articles, t.outlets, t.analysis, t.comparisons, as_of()).drop("summary"))
 add("bias_distribution", lambda t: stories.bias_distribution(t.articles, t.outlets, t.ratings))
 add("bias_distribution_two_sources", lambda t: stories.bias_distribution(t.articles, t.outlets, t.ratings, ("AdFontes", "MBFC")))
 add("bias_sources", lambda t: stories.bias_sources(t.articles, t.outlets, t.ratings))
@@ -414,7 +414,7 @@ add("failed_articles", lambda t: quality.failed_articles(t.articles, t.outlets))
 add("completeness", lambda t: quality.completeness(
     t.articles, t.articles.where("processing_state not in ('discovered', 'extracted', 'failed_extract')").select("article_id")))
 add("constraint_violations", lambda t: quality.constraint_violations(
-    t.articles, t.outlets, t.stories.withColumn("story_id", F.expr("if(story_id % 25 = 24, -story_id, story_id)")), t.analysis, t.stored_comparisons, t.ratings, t.ingestion_runs))
+    t.articles, t.outlets, t.stories.withColumn("story_id", F.expr("if(story_id % 25 = 24, -story_id, story_id)")), t.analysis, t.comparisons, t.ratings, t.ingestion_runs))
 
 # --- streaming ------------------------------------------------------------------------------
 
