@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from pressgrid.llm.store import stash
+from pressgrid.llm.store import passing_tables, stash
 
 
 def _edges(pairs: DataFrame) -> DataFrame:
@@ -40,6 +40,11 @@ def components(pairs: DataFrame) -> DataFrame:
     A round hangs every node below its smallest neighbour and contracts the trees, so at most half the nodes stay.  Hot
     nodes cost a partial minimum before the shuffle; nothing of the graph reaches the driver.
     """
+    with passing_tables(pairs.sparkSession) as keep:
+        return keep(_contracted(pairs), "components")
+
+
+def _contracted(pairs: DataFrame) -> DataFrame:
     edges = stash(_edges(pairs), "edges")
     assigned = None
     while True:

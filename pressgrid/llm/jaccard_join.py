@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgrid.llm import words as W
 from pressgrid.llm.graph import components
-from pressgrid.llm.store import join_grouped, stash
+from pressgrid.llm.store import discard, join_grouped, passing_tables, stash
 
 SHINGLE = 5
 PERCENT = 80
@@ -284,7 +284,12 @@ def _may_link(a: str, b: str, percent: int) -> Column:
 
 
 def verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b, group_a, group_b) of nodes that link, by their whole sets."""
+    """The pairs (a, b) of nodes that link, by their whole sets; ``group_a`` and ``group_b`` name pairs that share texts."""
+    with passing_tables(documents.sparkSession) as keep:
+        return keep(_verified(documents, nodes, pairs, size, percent), "links")
+
+
+def _verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     sides = pairs
     for side in ("a", "b"):
         own = nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), *(F.col(s).alias(f"{side}_{k}") for k, s in enumerate(BITS)))
@@ -335,7 +340,9 @@ def verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int
             link = linked(rows, shingles, n, a, b, percent)
             yield asked.loc[link, ["a", "b"]]
 
-    dealt = stash(rows, "pair-cells").repartition("cell").sortWithinPartitions("cell", "kind")
+    celled_rows = stash(rows, "pair-cells")
+    discard(open_, small)
+    dealt = celled_rows.repartition("cell").sortWithinPartitions("cell", "kind")
     return dealt.mapInPandas(compare, "a long, b long")
 
 
@@ -372,18 +379,33 @@ def _whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[p
 
 
 def linked(rows: np.ndarray, shingles: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the sets of rows a and b link.  Bitmaps as wide as the sets rule most pairs out; the rest are intersected."""
-    bits = 1 << max(9, int(8 * n.max(initial=1)).bit_length())
-    maps = np.zeros((len(n), bits // 64), np.uint64)
-    place = (shingles >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
-    np.bitwise_or.at(maps, (rows, place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+    """Whether the sets of rows a and b link.  Bitmaps rule most pairs out; the rest are intersected.
+
+    Bitmaps are made for the pairs of one size class at a time, about a byte per shingle, so one long text does not widen
+    those of short ones.
+    """
     link = np.zeros(len(a), bool)
-    step = max(1, (1 << 21) // maps.shape[1])
-    for low in range(0, len(a), step):
-        i, j = a[low : low + step], b[low : low + step]
-        most = np.minimum(n[i] - _ones(maps[i] & ~maps[j]), n[j] - _ones(maps[j] & ~maps[i]))
-        link[low : low + step] = (100 + percent) * most >= percent * (n[i] + n[j])
     begin = np.cumsum(n) - n
+    largest = np.maximum(n[a], n[b])
+    near = 100 * np.minimum(n[a], n[b]) >= percent * largest
+    size_class = np.where(near, np.frexp(largest)[1], -1)
+    for k in np.unique(size_class[near]):
+        asked = np.flatnonzero(size_class == k)
+        nodes = np.unique(np.concatenate([a[asked], b[asked]]))
+        place = np.full(len(n), -1)
+        place[nodes] = np.arange(len(nodes))
+        bits = 1 << max(9, 3 + int(k))
+        maps = np.zeros((len(nodes), bits // 64), np.uint64)
+        own = W.gather(shingles, begin[nodes], n[nodes])
+        at = (own >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+        np.bitwise_or.at(maps, (np.repeat(np.arange(len(nodes)), n[nodes]), at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+        step = max(1, (1 << 21) // maps.shape[1])
+        for low in range(0, len(asked), step):
+            some = asked[low : low + step]
+            i, j = place[a[some]], place[b[some]]
+            of_i, of_j = n[a[some]], n[b[some]]
+            most = np.minimum(of_i - _ones(maps[i] & ~maps[j]), of_j - _ones(maps[j] & ~maps[i]))
+            link[some] = (100 + percent) * most >= percent * (of_i + of_j)
     for k in np.flatnonzero(link):
         i, j = a[k], b[k]
         shared = len(np.intersect1d(shingles[begin[i] : begin[i] + n[i]], shingles[begin[j] : begin[j] + n[j]], assume_unique=True))
@@ -396,6 +418,11 @@ def linked(rows: np.ndarray, shingles: np.ndarray, n: np.ndarray, a: np.ndarray,
 
 def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; links are exact."""
+    with passing_tables(documents.sparkSession) as keep:
+        return keep(_components_of(documents, size, percent), "document-components")
+
+
+def _components_of(documents: DataFrame, size: int, percent: int) -> DataFrame:
     found = stash(text_sets(documents, size), "text-sets")
     rows = found.where("node is not null").select("doc_id", "node", "n", *BITS)
     total = rows.count()
@@ -414,7 +441,7 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int =
     members = stash(tokens.join(leads, "token").distinct(), "members")
     stars = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.withColumn("group_a", F.col("a")).withColumn("group_b", F.lit(0).cast("long"))
-    links = stash(verified(documents, nodes, stars, size, percent), "star-links")
+    links = verified(documents, nodes, stars, size, percent)
     roots = components(links)
 
     # Buckets that still hold several components.
@@ -442,7 +469,7 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int =
         # Texts that nearly link form clusters of pairs; cells cut each cluster into a grid.
         cluster = components(pairs).select(F.col("node").alias("a"), F.col("root").alias("group_a"))
         pairs = pairs.join(cluster, "a").withColumn("group_b", F.lit(0).cast("long"))
-        more = stash(verified(documents, nodes, pairs, size, percent), "tree-links")
+        more = verified(documents, nodes, pairs, size, percent)
         if not more.isEmpty():
             roots = components(links.unionByName(more))
 
