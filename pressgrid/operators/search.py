@@ -1,42 +1,116 @@
-"""Full-text search: term table, matching, ranking, snippets.
+"""Full-text search: stored inverted index, matching, ranking, snippets.
 
 Terms are lowered alphanumeric runs, without English stop words, under a light
 suffix rule (functions.text.stem).  An article matches when every query term
-occurs in headline or body.  rank = sum over query terms of tf / (tf + 1.2),
-rounded to 6 places; no corpus statistics enter, so ranking needs no second pass.
+occurs in headline or body.  rank = sum over query terms of
+tf / (tf + 1.2) * ln(1 + articles / articles with the term), rounded to 6 places.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pressgrid import constants as C
 from pressgrid.functions import text
 from pressgrid.operators.filters import bounded
+from pressgrid.session import folder_done
 
 SATURATION = 1.2
 SNIPPET_WORDS = 30
 SNIPPET_LEAD = 14
+BUCKETS = 64
+SHAPES = {
+    "postings": "term string, block long, offsets array<int>, tfs array<long>, bucket int",
+    "terms": "term string, df long, bucket int",
+}
+BLOCK_IDS = 1 << 16  # ids a block of postings spans, and so the most it holds
 
 
 def document_text() -> Column:
     return F.concat_ws(" ", F.coalesce("headline", F.lit("")), F.coalesce("full_text", F.lit("")))
 
 
+def _runs(words: Column) -> Column:
+    """array<struct<term, tf>> of a sorted array: where each run of equal words begins, and how long it is."""
+
+    def lengths(w: Column) -> Column:
+        begins = F.filter(F.transform(w, lambda x, i: F.when(F.coalesce(F.get(w, i - 1) != x, F.lit(True)), i)), lambda i: i.isNotNull())
+        return F.transform(F.array(begins), lambda at: F.transform(
+            at, lambda i, k: F.struct(F.get(w, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(w)) - i).cast("long").alias("tf"))
+        ))[0]
+
+    return F.transform(F.array(words), lengths)[0]
+
+
 def fts_tokens(articles: DataFrame) -> DataFrame:
-    """(article_id, term, tf) over whole headlines and bodies.
+    """(article_id, term, tf) over whole headlines and bodies; counted inside each row, so nothing is exchanged.
 
-    The outer form of explode keeps the optimizer from adding a test of the
+    The outer form of inline keeps the optimizer from adding a test of the
     array's size, which would split every text twice.
     """
-    return (
-        articles.select("article_id", F.explode_outer(text.raw_terms(document_text())).alias("word"))
-        .where(F.col("word").isNotNull() & ~text.is_stop_word(F.col("word")))
-        .groupBy("article_id", text.stem(F.col("word")).alias("term"))
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    words = F.filter(text.raw_terms(document_text()), lambda w: ~text.is_stop_word(w))
+    terms = F.array_sort(F.transform(words, text.stem))
+    return articles.select("article_id", F.inline_outer(_runs(terms))).where("term is not null")
+
+
+@dataclass
+class SearchIndex:
+    """Stored postings: ``postings`` (bucket, term, block, offsets, tfs), ``terms`` (bucket, term, df), ``size`` (n).
+
+    A bucket holds the terms of one hash; a block the postings of a term in one range of ``BLOCK_IDS`` article ids, with ids as offsets
+    from its first, in rising order.
+    """
+
+    spark: SparkSession
+    path: str
+
+    def _of(self, name: str, terms: list[str]) -> DataFrame:
+        """Rows of some terms; other buckets are not read, and row groups are skipped by term."""
+        held = self.spark.read.schema(SHAPES[name]).parquet(f"{self.path}/{name}")
+        if not terms:
+            return held.where(F.lit(False))
+        buckets = [r.b for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket().alias("b")).distinct().collect()]
+        return held.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+
+    def postings(self, terms: list[str]) -> DataFrame:
+        """(article_id, term, tf) in the blocks that hold every term."""
+        rows = self._of("postings", terms)
+        whole = rows.groupBy("block").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") == len(terms)).select("block")
+        pairs = F.arrays_zip(F.col("offsets").alias("offset"), F.col("tfs").alias("tf"))
+        met = rows.join(whole, "block").select("block", "term", F.inline(pairs))
+        return met.select((F.col("block") * BLOCK_IDS + F.col("offset")).alias("article_id"), "term", "tf")
+
+    def weights(self, terms: list[str]) -> dict[str, float]:
+        """ln(1 + articles / articles with the term) of the terms that occur; one row per query term."""
+        n = self.spark.read.parquet(f"{self.path}/size").first().n
+        weight = F.log(1 + F.lit(float(n)) / F.col("df"))
+        return {r.term: r.weight for r in self._of("terms", terms).select("term", weight.alias("weight")).collect()}
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
+
+
+def build_index(articles: DataFrame, path: str) -> SearchIndex:
+    """Write the index of ``articles`` to ``path``; a finished one there is taken as it is.
+
+    A term in very many articles becomes many blocks, each of bounded size.
+    """
+    spark = articles.sparkSession
+    if not folder_done(spark, f"{path}/size"):
+        block = F.floor(F.col("article_id") / BLOCK_IDS).cast("long")
+        entries = fts_tokens(articles).select("term", block.alias("block"), F.struct((F.col("article_id") - block * BLOCK_IDS).cast("int").alias("offset"), "tf").alias("p"))
+        blocks = entries.groupBy("term", "block").agg(F.array_sort(F.collect_list("p")).alias("p")).select(
+            "term", "block", F.col("p.offset").alias("offsets"), F.col("p.tf").alias("tfs"), _bucket().alias("bucket")
+        )
+        blocks.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        counts = spark.read.schema(SHAPES["postings"]).parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.sum(F.size("offsets")).alias("df"))
+        counts.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+        articles.agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/size")
+    return SearchIndex(spark, path)
 
 
 def query_terms(query: str) -> list[str]:
@@ -65,34 +139,16 @@ def _root_piece(term: str) -> str:
     return term[:-1] if term.endswith("y") else term
 
 
-def _word_forms(term: str) -> str:
-    """Pattern of every word the suffix rule can take to this root."""
-    plain = rf"{re.escape(term)}(?:s|ed|ing)?"
-    return rf"(?:{plain}|{re.escape(term[:-1])}ies)" if term.endswith("y") else plain
-
-
-def may_match(articles: DataFrame, query: str) -> DataFrame:
-    """Articles whose text holds a word form of every query term: all matches and hardly any others.
-
-    A cheap cut in front of ``fts_tokens`` when no term table is stored: a plain
-    substring test first, the pattern only on what is left.
-    """
-    lowered = F.lower(document_text())
-    terms = query_terms(query)
-    keep = F.lit(bool(terms))
-    for term in terms:
-        keep = keep & F.contains(lowered, F.lit(_root_piece(term)))
-    for term in terms:
-        keep = keep & lowered.rlike(rf"(?<![\p{{L}}\p{{N}}]){_word_forms(term)}(?![\p{{L}}\p{{N}}])")
-    return articles.where(keep)
-
-
-def search_match(tokens: DataFrame, query: str) -> DataFrame:
-    """(article_id, rank) of the articles holding every term, from the term table."""
+def search_match(index: SearchIndex, query: str) -> DataFrame:
+    """(article_id, rank) of the articles holding every term."""
     terms = query_terms(query)
-    score = F.round(F.sum(F.col("tf") / (F.col("tf") + SATURATION)), 6)
+    weights = index.weights(terms)
+    if len(weights) < len(terms) or not terms:
+        return index.spark.createDataFrame([], "article_id long, rank double")
+    weight = F.element_at(F.create_map(*[F.lit(x) for item in weights.items() for x in item]), F.col("term"))
+    score = F.round(F.sum(F.col("tf") / (F.col("tf") + SATURATION) * weight), 6)
     return (
-        tokens.where(F.col("term").isin(terms) if terms else F.lit(False))
+        index.postings(terms)
         .groupBy("article_id")
         .agg(F.count(F.lit(1)).alias("hits"), score.alias("rank"))
         .where(F.col("hits") == len(terms))
@@ -100,27 +156,33 @@ def search_match(tokens: DataFrame, query: str) -> DataFrame:
     )
 
 
-def search_total(tokens: DataFrame, query: str) -> DataFrame:
-    return search_match(tokens, query).agg(F.count(F.lit(1)).alias("total"))
+def search_total(index: SearchIndex, query: str) -> DataFrame:
+    return search_match(index, query).agg(F.count(F.lit(1)).alias("total"))
 
 
 def search_ranked(
-    tokens: DataFrame, articles: DataFrame, outlets: DataFrame, query: str, page: int = 1, limit: int = 20
+    index: SearchIndex, articles: DataFrame, outlets: DataFrame, query: str, page: int = 1, limit: int = 20
 ) -> DataFrame:
-    """One page of hits, best first, with total and has_more; only ids and dates meet before the limit."""
+    """One page of hits, best first, with total and has_more.
+
+    Only ids and dates meet before the limit; the page's ids (at most 100) then go into the scan of the articles.
+    """
     offset = (bounded("page", page, 10**9) - 1) * bounded("limit", limit, 100)
-    matches = search_match(tokens, query)
+    matches = search_match(index, query)
     total = matches.agg(F.count(F.lit(1))).scalar()
     hits = (
         matches.join(articles.select("article_id", "published_at"), "article_id")
         .orderBy(F.desc("rank"), F.desc("published_at"), "article_id")
         .offset(offset)
         .limit(limit)
-        .drop("published_at")
+        .select("article_id", "rank")
+        .collect()
     )
+    shown = index.spark.createDataFrame([tuple(r) for r in hits], "article_id long, rank double")
     rows = (
-        articles.select("article_id", "outlet_id", "headline", "url", "published_at", "full_text")
-        .join(F.broadcast(hits), "article_id")  # one page of rows
+        articles.where(F.col("article_id").isin([r.article_id for r in hits]) if hits else F.lit(False))
+        .select("article_id", "outlet_id", "headline", "url", "published_at", "full_text")
+        .join(F.broadcast(shown), "article_id")  # one page of rows
         .join(outlets.select("outlet_id", F.col("slug").alias("outlet_slug")), "outlet_id")
     )
     return (

@@ -13,7 +13,7 @@ from pressgrid import constants as C
 from pressgrid.operators import clustering, dashboards, embedding, filters, quality, search, selection, state, stories, validation
 from pressgrid.plans.report import report
 from pressgrid.plans.tables import Tables, as_of
-from pressgrid.session import cut_lineage, prepare
+from pressgrid.session import cut_lineage, prepare, run_folder
 from pressgrid.sources import feeds, images, pages, upserts
 from pressgrid.streaming import jobs
 
@@ -386,13 +386,19 @@ add("framing_label_norm", lambda t: stories.framing_label_norm(
 add("fts_tokens", lambda t: search.fts_tokens(t.articles))
 
 
-def _search_tokens(t: Tables) -> DataFrame:
-    return search.fts_tokens(search.may_match(t.articles, SEARCH))
+# Index folder by application and data folder: written once, then read by every search.
+_INDEX_FOLDERS: dict[tuple[str, str], str] = {}
 
 
-add("search_match", lambda t: search.search_match(_search_tokens(t), SEARCH))
-add("search_total", lambda t: search.search_total(_search_tokens(t), SEARCH))
-add("search_ranked", lambda t: search.search_ranked(_search_tokens(t), t.articles, t.outlets, SEARCH))
+def _search_index(t: Tables) -> search.SearchIndex:
+    key = (t.spark.sparkContext.applicationId, t.path("documents"))
+    folder = _INDEX_FOLDERS.setdefault(key, run_folder(t.spark, "search-index"))
+    return search.build_index(t.articles, folder)
+
+
+add("search_match", lambda t: search.search_match(_search_index(t), SEARCH))
+add("search_total", lambda t: search.search_total(_search_index(t), SEARCH))
+add("search_ranked", lambda t: search.search_ranked(_search_index(t), t.articles, t.outlets, SEARCH))
 add("search_snippet", lambda t: search.search_snippet(t.articles, SEARCH))
 
 # --- quality and reports --------------------------------------------------------------------

@@ -108,19 +108,3 @@ def test_answers_with_defaults_and_wrong_types(spark):
     got = {r.article_id: r for r in validation.validate_enrichment(spark.createDataFrame(rows, "article_id long, response string")).collect()}
     assert got[1].is_valid and got[1].key_themes == [] and got[1].source_distribution.expert == 2 and float(got[1].body_sentiment) == 0.1
     assert got[2].is_valid and [got[i].reason for i in (3, 4, 5)] == ["bad_entities", "bad_source_distribution", "not_json"]
-
-
-def test_search_prefilter_loses_no_match(spark):
-    from pressgrid.operators import search
-
-    rows = [(i, h, b) for i, (h, b) in enumerate([
-        ("Cities voted", "the party's policies"), ("City vote", "policy party"), ("cityvote", "policy"), ("CITY, votes!", None),
-        ("voting in cities", "x policying"), ("city", "vote"), ("Scity votes", "policy"), ("the of", "city voted"),
-    ])]
-    arts = spark.createDataFrame(rows, "article_id long, headline string, full_text string")
-    for query in ("city vote", "cities voting", "policy", "the city", "party policies"):
-        whole = {tuple(r) for r in search.search_match(search.fts_tokens(arts), query).collect()}
-        cut = {tuple(r) for r in search.search_match(search.fts_tokens(search.may_match(arts, query)), query).collect()}
-        assert whole == cut and (whole or query == "cities voting")
-    with pytest.raises(ValueError):
-        search.query_terms(" x ")
