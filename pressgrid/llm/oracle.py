@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pressgrid.llm import sanitising
-from pressgrid.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, RATES, WINDOW
+from pressgrid.llm.quality_rules import MAX_REPEAT_PERCENT, MIDDLE, MIN_WORDS, PRIOR_ROWS, RATES, SPREADS, UPPER, WINDOW
 
 _WORD_LISTS = r"""
 words AS (
@@ -13,10 +13,13 @@ words AS (
   FROM documents)"""
 
 
-def quality_rules_sql(min_rows: int = 50) -> str:
-    rates = [(name, rule.replace(" div ", " // "), slack) for name, (rule, slack) in RATES.items()]
+def quality_rules_sql(prior_rows: int = PRIOR_ROWS) -> str:
+    rates = [(name, rule.replace(" div ", " // "), floor) for name, (rule, floor) in RATES.items()]
     values = " UNION ALL ".join(f"SELECT rn, lang, source, '{name}' AS rate, {rule} AS value FROM counts" for name, rule, _ in rates)
-    slack = " ".join(f"WHEN '{name}' THEN {slack}" for name, _, slack in rates)
+    floor = " ".join(f"WHEN '{name}' THEN {floor}" for name, _, floor in rates)
+    high = f"quantile_disc(bucket, {UPPER / 100})"
+    limit = f"count(*) AS n_rows, {high} + {SPREADS} * ({high} - quantile_disc(bucket, {MIDDLE / 100})) + CASE rate {floor} END AS upper"
+    mean = lambda own, above: f"({own}.n_rows * {own}.upper + {prior_rows} * {above}.upper) // ({own}.n_rows + {prior_rows}) AS upper"
     return rf"""
 WITH {_WORD_LISTS},
 windows AS (
@@ -40,17 +43,16 @@ rated AS ({values}),
 bucketed AS (
   SELECT *, CASE WHEN value < 64 THEN value
                  ELSE (value >> (length(bin(value)) - 6)) << (length(bin(value)) - 6) END AS bucket FROM rated),
-own AS (
-  SELECT lang, source, rate, count(*) AS n_rows,
-         4 * quantile_disc(bucket, 0.75) - 3 * quantile_disc(bucket, 0.25) + CASE rate {slack} END AS upper
-  FROM bucketed GROUP BY lang, source, rate),
-whole AS (
-  SELECT rate, 4 * quantile_disc(bucket, 0.75) - 3 * quantile_disc(bucket, 0.25) + CASE rate {slack} END AS upper
-  FROM bucketed GROUP BY rate),
+whole AS (SELECT rate, {limit} FROM bucketed GROUP BY rate),
+of_lang AS (SELECT lang, rate, {limit} FROM bucketed GROUP BY lang, rate),
+own AS (SELECT lang, source, rate, {limit} FROM bucketed GROUP BY lang, source, rate),
+languages AS (SELECT lang, rate, {mean("of_lang", "whole")} FROM of_lang JOIN whole USING (rate)),
+limits AS (
+  SELECT own.lang, own.source, own.rate, {mean("own", "languages")}
+  FROM own JOIN languages ON own.rate = languages.rate AND own.lang IS NOT DISTINCT FROM languages.lang),
 broken AS (
-  SELECT DISTINCT r.rn FROM rated r JOIN own USING (rate) JOIN whole USING (rate)
-  WHERE r.lang IS NOT DISTINCT FROM own.lang AND r.source IS NOT DISTINCT FROM own.source
-    AND r.value > CASE WHEN own.n_rows >= {min_rows} THEN own.upper ELSE whole.upper END),
+  SELECT DISTINCT r.rn FROM rated r JOIN limits USING (rate)
+  WHERE r.lang IS NOT DISTINCT FROM limits.lang AND r.source IS NOT DISTINCT FROM limits.source AND r.value > limits.upper),
 base AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM counts)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines, n_repeat_words, base_failed,

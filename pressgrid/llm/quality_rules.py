@@ -2,8 +2,11 @@
 
 Every rate of a document is an integer.  A sketch of a rate is a histogram whose buckets keep the six leading
 binary digits of the value, so a bucket is at most 1/32 wide relative to its value.  Sketches of any split of the rows
-merge by adding counts, exactly and in any order.  A group's upper limit for a rate is
-``q75 + 3 * (q75 - q25) + slack``; groups under ``min_rows`` rows take the limit of all rows.
+merge by adding counts, exactly and in any order.  A sketch's upper limit for a rate is
+``q90 + 2 * (q90 - q50) + floor``: slack grows with the spread of the sketch's own upper half, and the small floor only
+keeps a rate that is zero almost everywhere from failing a document by its first symbol or line.  Limits of few rows are
+unsure, so a group's limit is the mean of its own and its language's, weighted by its rows and ``prior_rows``, and a
+language's is blended with that of all rows alike: no group size switches the rule.
 
 Cases: null text has no words; a document without words fails the base rule; null languages and sources are groups of
 their own; repeated rows are judged one by one; an empty table gives no rows; other columns are ignored.
@@ -20,12 +23,15 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 
-# rate -> (expression over the counts, slack above the learned limit)
+MIDDLE, UPPER, SPREADS = 50, 90, 2
+PRIOR_ROWS = 200
+
+# rate -> (expression over the counts, floor of the slack)
 RATES = {
-    "symbol_rate": ("n_symbols * 1000 div greatest(n_words, 1)", 500),
+    "symbol_rate": ("n_symbols * 1000 div greatest(n_words, 1)", 20),
     "repeat_rate": ("n_repeat_words * 1000 div greatest(n_words, 1)", 100),
-    "dup_line_rate": ("n_dup_lines * 1000 div greatest(n_words, 1)", 100),
-    "word_length": ("word_chars * 100 div greatest(n_words, 1)", 300),
+    "dup_line_rate": ("n_dup_lines * 1000 div greatest(n_words, 1)", 20),
+    "word_length": ("word_chars * 100 div greatest(n_words, 1)", 50),
 }
 
 
@@ -122,29 +128,36 @@ def sketch_limits(sketches: DataFrame, keys: list[str]) -> DataFrame:
         )
         return found["value"]
 
-    slack = F.create_map(*(F.lit(x) for name, (_, slack) in RATES.items() for x in (name, slack)))
-    return steps.withColumn("q25", quantile(25)).withColumn("q75", quantile(75)).select(
-        *keys, "rate", (4 * F.col("q75") - 3 * F.col("q25") + slack[F.col("rate")]).alias("upper"), "rows"
+    floor = F.create_map(*(F.lit(x) for name, (_, floor) in RATES.items() for x in (name, floor)))
+    middle, high = F.col("middle"), F.col("high")
+    return steps.withColumn("middle", quantile(MIDDLE)).withColumn("high", quantile(UPPER)).select(
+        *keys, "rate", (high + SPREADS * (high - middle) + floor[F.col("rate")]).alias("upper"), "rows"
     )
 
 
-def quality_rules(documents: DataFrame, min_rows: int = 50) -> DataFrame:
+def blended_limits(sketches: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
+    """lang, source, rate, upper: each group's limit, drawn towards its language's and that one's towards all rows'."""
+
+    def drawn(own: DataFrame, parent: DataFrame, keys: list[str]) -> DataFrame:
+        parent = parent.select(F.col("rate").alias("of_rate"), F.col("upper").alias("above"), *(F.col(k).alias(f"of_{k}") for k in keys))
+        same = F.col("rate") == F.col("of_rate")
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+        mean = F.expr(f"(rows * upper + {int(prior_rows)} * above) div (rows + {int(prior_rows)})")
+        return own.join(parent, same).withColumn("upper", mean).select(*own.columns)
+
+    languages = drawn(sketch_limits(sketches, ["lang"]), sketch_limits(sketches, []), [])
+    return drawn(sketch_limits(sketches, ["lang", "source"]), languages, ["lang"]).drop("rows")
+
+
+def quality_rules(documents: DataFrame, prior_rows: int = PRIOR_ROWS) -> DataFrame:
     """Counts, base rule and the verdict of the learned limits, one row per document."""
     counts = stash(base_counts(documents), "rule-counts")
-    sketches = rate_sketches(counts)
-    own = sketch_limits(sketches, ["lang", "source"])
-    whole = sketch_limits(sketches, []).select("rate", F.col("upper").alias("whole"))
+    # One row per group, rate and bucket: all limits are taken from this small table.
+    limits = blended_limits(stash(rate_sketches(counts), "rule-sketches"), prior_rows)
     limits = (
-        own.join(whole, "rate")
-        .groupBy("lang", "source")
-        .agg(
-            *(
-                F.max(F.when(F.col("rate") == name, F.when(F.col("rows") >= min_rows, F.col("upper")).otherwise(F.col("whole")))).alias(
-                    f"max_{name}"
-                )
-                for name in RATES
-            )
-        )
+        limits.groupBy("lang", "source")
+        .agg(*(F.max(F.when(F.col("rate") == name, F.col("upper"))).alias(f"max_{name}") for name in RATES))
         .select(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"), *(f"max_{name}" for name in RATES))
     )
     within = F.lit(True)
