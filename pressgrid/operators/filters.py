@@ -51,17 +51,30 @@ def outlet_by_slug(outlets: DataFrame, slug: str) -> DataFrame:
     return outlets.where(F.col("slug") == slug)
 
 
+ANALYSIS_FIELDS = ("framing_score", "framing_label", "framing_confidence", "headline_sentiment", "body_sentiment", "entities", "source_distribution", "analyzed_at")
+ANALYSIS_LISTS = ("key_themes", "quoted_sources", "evidence_snippets")
+
+
+def analysis_payload(analysis: DataFrame) -> DataFrame:
+    """What a reader is given of each analysis; a missing list is an empty one."""
+    lists = [F.coalesce(c, F.array().cast(analysis.schema[c].dataType)).alias(c) for c in ANALYSIS_LISTS]
+    return analysis.select("article_id", *ANALYSIS_FIELDS, *lists)
+
+
 def article_detail(articles: DataFrame, outlets: DataFrame, analysis: DataFrame, article_id: int | None = None) -> DataFrame:
-    """Article with outlet and analysis; the body itself is not returned, only whether it exists."""
-    rows = articles if article_id is None else articles.where(F.col("article_id") == article_id)
+    """Article with outlet and its whole analysis (all null without one).
+
+    The body itself is not returned, only whether it exists.  With ``article_id`` both tables are cut before the join.
+    """
+    if article_id is not None:
+        articles, analysis = (rows.where(F.col("article_id") == article_id) for rows in (articles, analysis))
     return (
-        rows.select(
+        articles.select(
             "article_id", "outlet_id", "story_id", "url", "headline", "author", "published_at", "image_url", "processing_state",
             F.coalesce(F.length("full_text") > 0, F.lit(False)).alias("full_text_available"),
         )
         .join(outlets.select("outlet_id", "slug", "name"), "outlet_id")
-        .join(analysis.select("article_id", "framing_score", "framing_label", "framing_confidence",
-                              "headline_sentiment", "body_sentiment"), "article_id", "left")
+        .join(analysis_payload(analysis), "article_id", "left")
     )
 
 

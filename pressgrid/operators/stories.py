@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pressgrid import constants as C
 from pressgrid.functions import labels, numbers, text
 from pressgrid.operators.dashboards import since
-from pressgrid.operators.filters import bounded
+from pressgrid.operators.filters import analysis_payload, bounded
 
 MAX_IMAGES = 3
 
@@ -148,18 +148,21 @@ def home_sections(stories: DataFrame, articles: DataFrame, outlets: DataFrame, a
 
 
 def story_detail(
-    stories: DataFrame, articles: DataFrame, outlets: DataFrame, analysis: DataFrame, comparisons: DataFrame
+    stories: DataFrame, articles: DataFrame, outlets: DataFrame, analysis: DataFrame, comparisons: DataFrame, story_id: int | None = None
 ) -> DataFrame:
-    """Story, article, outlet, analysis and comparison side by side, one row per article.
+    """Story, article, outlet, whole analysis and comparison side by side, one row per article.
 
-    Article order inside a story is (published_at, article_id).
+    Article order inside a story is (published_at, article_id).  What belongs to the story as a whole is in
+    ``story_header``; articles stay rows, since a story may hold any number of them.
     """
+    if story_id is not None:
+        stories, articles, comparisons = (rows.where(F.col("story_id") == story_id) for rows in (stories, articles, comparisons))
     rows = (
         articles.where("story_id is not null")
         .select("story_id", "article_id", "outlet_id", "headline", "url", "author", "published_at", "image_url",
                 "processing_state")
         .join(outlets.select("outlet_id", "slug", "name"), "outlet_id")
-        .join(analysis.select("article_id", "framing_score", "framing_label", "body_sentiment"), "article_id", "left")
+        .join(analysis_payload(analysis), "article_id", "left")
     )
     heads = stories.select("story_id", "title", "topic", "last_seen_at", "article_count").join(
         comparisons.select("story_id", "differences", "framing_spread"), "story_id", "left"
@@ -167,6 +170,39 @@ def story_detail(
     return rows.join(heads, ["story_id"], "inner")
 
 
+def story_header(
+    stories: DataFrame, articles: DataFrame, outlets: DataFrame, comparisons: DataFrame, ratings: DataFrame,
+    story_id: int | None = None, priority: tuple[str, ...] = C.BIAS_SOURCE_PRIORITY,
+) -> DataFrame:
+    """One row per story with all that its page shows beside the articles.
+
+    Comparison (null without one), outlets, images in order, rated coverage and the ratings behind it.  The lists hold
+    at most three images and one entry per outlet.
+    """
+    if story_id is not None:
+        stories, articles, comparisons = (rows.where(F.col("story_id") == story_id) for rows in (stories, articles, comparisons))
+    images = story_images(articles, outlets, stories).groupBy("story_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank_no", "article_id", "slug", "name", "url"))).alias("story_images")
+    )
+    source = F.struct("category_order", F.lower("name").alias("by_name"), "outlet_id", "slug", "name", "original_label",
+                      "category", "source", "rating_url", "rated_at")
+    sources = bias_sources(articles, outlets, ratings, priority).groupBy("story_id").agg(
+        F.array_sort(F.collect_list(source)).alias("bias_sources")
+    )
+    compared = comparisons.select("story_id", "differences", "framing_spread", "coverage_matrix", "not_present_here", "generated_at")
+    wide = (
+        stories.select("story_id", "title", "topic", "first_seen_at", "last_seen_at", "article_count", "summary")
+        .join(story_outlets(articles, outlets), "story_id", "left")
+        .join(compared, "story_id", "left")
+        .join(images, "story_id", "left")
+        .join(bias_distribution(articles, outlets, ratings, priority), "story_id", "left")
+        .join(sources, "story_id", "left")
+    )
+    for name, frame in (("story_images", images), ("bias_sources", sources)):
+        wide = wide.withColumn(name, F.coalesce(name, F.array().cast(frame.schema[name].dataType)))
+    return wide.withColumn("hero_image_url", F.get("story_images", F.lit(0))["url"])
+
+
 # --- positive stories ---------------------------------------------------------
 
 def story_sentiment_agg(

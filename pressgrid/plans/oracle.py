@@ -199,13 +199,20 @@ SQL["active_outlets"] = "SELECT * FROM n_outlets WHERE active"
 SQL["fresh_stories"] = f"""SELECT story_id, title, topic, {ts('first_seen_at')} AS first_seen_at, {ts('last_seen_at')} AS last_seen_at, article_count
 FROM n_stories WHERE last_seen_at >= {AS_OF} - INTERVAL 72 HOUR"""
 SQL["outlet_by_slug"] = "SELECT * FROM n_outlets WHERE slug = 'src7'"
+PAYLOAD = f"""
+(SELECT article_id, framing_score::DOUBLE AS framing_score, framing_label, framing_confidence::DOUBLE AS framing_confidence,
+        headline_sentiment::DOUBLE AS headline_sentiment, body_sentiment::DOUBLE AS body_sentiment, {ts('analyzed_at')} AS analyzed_at,
+        to_json(key_themes)::VARCHAR AS key_themes, to_json(quoted_sources)::VARCHAR AS quoted_sources, to_json(evidence_snippets)::VARCHAR AS evidence_snippets,
+        to_json({{'people': people, 'organizations': organizations, 'locations': locations, 'other': []::VARCHAR[]}})::VARCHAR AS entities,
+        '{{"government":' || (article_id % 3) || '.0,"opposition":' || quality || '.0,"expert":' || (article_id % 4) || '.5,"Civil Society":' || toxic
+        || '.0,"corporate":-1.0,"blogger":' || (article_id % 2) || '.0}}' AS source_distribution
+ FROM n_analysis)"""
+PAYLOAD_COLUMNS = """framing_score, framing_label, framing_confidence, headline_sentiment, body_sentiment, analyzed_at,
+       key_themes, quoted_sources, evidence_snippets, entities, source_distribution"""
 SQL["article_detail"] = f"""
 SELECT article_id, outlet_id, story_id, url, headline, author, {ts('published_at')} AS published_at, image_url, processing_state,
-       coalesce(length(full_text) > 0, false) AS full_text_available, slug, name,
-       framing_score::DOUBLE AS framing_score, framing_label, framing_confidence::DOUBLE AS framing_confidence,
-       headline_sentiment::DOUBLE AS headline_sentiment, body_sentiment::DOUBLE AS body_sentiment
-FROM n_articles JOIN n_outlets USING (outlet_id)
-LEFT JOIN (SELECT article_id, framing_score, framing_label, framing_confidence, headline_sentiment, body_sentiment FROM n_analysis) USING (article_id)"""
+       coalesce(length(full_text) > 0, false) AS full_text_available, slug, name, {PAYLOAD_COLUMNS}
+FROM n_articles JOIN n_outlets USING (outlet_id) LEFT JOIN {PAYLOAD} USING (article_id)"""
 EMBED_TEXT = strip("headline || chr(10) || chr(10) || coalesce(full_text, '')")
 SQL["embed_text"] = f"""SELECT article_id, {strip("headline || chr(10) || chr(10) || substr(coalesce(full_text, ''), 1, 2000)")} AS embed_text FROM n_articles"""
 SQL["enrich_requests"] = """
@@ -464,9 +471,9 @@ SQL["stories_page"] = page_sql("true", 20)
 SQL["stories_page_fresh"] = page_sql(f"last_seen_at >= {AS_OF} - INTERVAL 72 HOUR", 0)
 SQL["story_detail"] = f"""
 SELECT a.outlet_id, a.article_id, a.story_id, a.headline, a.url, a.author, {ts('a.published_at')} AS published_at, a.image_url, a.processing_state, o.slug, o.name,
-       framing_score::DOUBLE AS framing_score, framing_label, body_sentiment::DOUBLE AS body_sentiment, s.title, s.topic, {ts('s.last_seen_at')} AS last_seen_at, s.article_count,
+       {PAYLOAD_COLUMNS}, s.title, s.topic, {ts('s.last_seen_at')} AS last_seen_at, s.article_count,
        CASE WHEN c.story_id IS NOT NULL THEN '- outlets differ' END AS differences, c.framing_spread::DOUBLE AS framing_spread
-FROM n_articles a JOIN n_outlets o USING (outlet_id) LEFT JOIN n_analysis n USING (article_id) JOIN n_stories s ON s.story_id = a.story_id
+FROM n_articles a JOIN n_outlets o USING (outlet_id) LEFT JOIN {PAYLOAD} n USING (article_id) JOIN n_stories s ON s.story_id = a.story_id
 LEFT JOIN n_comparisons c ON c.story_id = a.story_id"""
 
 
@@ -519,6 +526,21 @@ SQL["bias_distribution"] = bias("['MBFC']") + " SELECT * FROM d"
 SQL["bias_distribution_two_sources"] = bias("['AdFontes', 'MBFC']") + " SELECT * FROM d"
 SQL["bias_sources"] = bias("['MBFC']") + f""" SELECT story_id, CAST(list_position(['left', 'center', 'right'], category) AS BIGINT) AS category_order, outlet_id, slug, name,
 original_label, category, source, rating_url, {ts('rated_at')} AS rated_at FROM cov WHERE category IS NOT NULL AND story_id IN (SELECT story_id FROM d WHERE eligible)"""
+SQL["story_header"] = bias("['MBFC']") + f""",
+rated AS (SELECT story_id, string_agg(concat_ws(' ', outlet_id, slug, name, original_label, category, source, rating_url, {ts('rated_at')}), '|'
+                 ORDER BY list_position(['left', 'center', 'right'], category), lower(name), outlet_id) AS bias_sources
+          FROM cov WHERE category IS NOT NULL AND story_id IN (SELECT story_id FROM d WHERE eligible) GROUP BY 1),
+shown AS (SELECT story_id, string_agg(concat_ws(' ', rank_no, article_id, slug, name, url), '|' ORDER BY rank_no) AS story_images FROM n_hero GROUP BY 1),
+facts AS (SELECT story_id, string_agg(slug, '|' ORDER BY slug) AS coverage_matrix, string_agg(cell, ',' ORDER BY cell) AS facts
+          FROM (SELECT DISTINCT story_id, slug, '"' || slug || '":' || CASE story_id % 12 WHEN 3 THEN '" fact about ' || slug || ' "'
+                       WHEN 6 THEN '{{"items":["fact ' || slug || '",7]}}' WHEN 9 THEN '[]' ELSE '["first ' || slug || '","second ' || slug || '"]' END AS cell
+                FROM n_cells) GROUP BY 1)
+SELECT p.story_id, p.title, p.topic, {ts('p.first_seen_at')} AS first_seen_at, {ts('p.last_seen_at')} AS last_seen_at, p.article_count, NULL::VARCHAR AS summary,
+       p.outlet_slugs, p.outlet_count, p.framing_spread, p.hero_image_url, coalesce(shown.story_images, '') AS story_images,
+       CASE WHEN k.story_id IS NOT NULL THEN '- outlets differ' END AS differences, {ts('k.generated_at')} AS generated_at,
+       facts.coverage_matrix, '{{' || facts.facts || '}}' AS not_present_here, coalesce(rated.bias_sources, '') AS bias_sources, d.* EXCLUDE (story_id)
+FROM n_page_list p LEFT JOIN n_comparisons k USING (story_id) LEFT JOIN facts USING (story_id) LEFT JOIN shown USING (story_id)
+LEFT JOIN d USING (story_id) LEFT JOIN rated USING (story_id)"""
 SQL["normalize_label"] = f"SELECT outlet_id, source, original_label, {CATEGORY} AS category FROM n_ratings"
 SQL["story_images"] = "SELECT * FROM n_hero"
 SQL["home_sections"] = f"""

@@ -156,7 +156,15 @@ def _scoped(t: Tables) -> DataFrame:
 add("active_outlets", lambda t: filters.active_outlets(t.outlets).drop("logo_url"))
 add("fresh_stories", lambda t: stories.fresh_stories(t.stories, as_of()).drop("summary"))
 add("outlet_by_slug", lambda t: filters.outlet_by_slug(t.outlets, "src7").drop("logo_url"))
-add("article_detail", lambda t: filters.article_detail(t.articles, t.outlets, t.analysis))
+
+
+def _payload_as_text(rows: DataFrame) -> DataFrame:
+    """The nested columns of an analysis as JSON text, null fields included."""
+    nested = ("key_themes", "entities", "quoted_sources", "source_distribution", "evidence_snippets")
+    return rows.withColumns({c: F.to_json(c, {"ignoreNullFields": "false"}) for c in nested})
+
+
+add("article_detail", lambda t: _payload_as_text(filters.article_detail(t.articles, t.outlets, t.analysis)))
 add("embed_text", lambda t: filters.embed_text(t.articles))
 add("enrich_requests", lambda t: filters.enrich_requests(t.articles, t.outlets, TEMPLATE))
 
@@ -343,7 +351,24 @@ add("outlet_directory", lambda t: dashboards.outlet_directory(t.outlets, t.ratin
 
 add("stories_page", lambda t: stories.stories_page(t.stories, t.articles, t.outlets, t.comparisons, as_of(), page=2))
 add("stories_page_fresh", lambda t: stories.stories_page(t.stories, t.articles, t.outlets, t.comparisons, as_of(), fresh=True))
-add("story_detail", lambda t: stories.story_detail(t.stories, t.articles, t.outlets, t.analysis, t.comparisons))
+add("story_detail", lambda t: _payload_as_text(stories.story_detail(t.stories, t.articles, t.outlets, t.analysis, t.comparisons)))
+
+
+@query("story_header")
+def _story_header(t: Tables) -> DataFrame:
+    # The weights inside the matrix are compared by outlet_emphasis; here its outlets stand for it.
+    shown = {
+        "coverage_matrix": F.array_sort(F.json_object_keys("coverage_matrix")),
+        "story_images": F.transform("story_images", lambda x: F.concat_ws(" ", x["rank_no"], x["article_id"], x["slug"], x["name"], x["url"])),
+        "bias_sources": F.transform(
+            "bias_sources",
+            lambda x: F.concat_ws(" ", x["outlet_id"], x["slug"], x["name"], x["original_label"], x["category"], x["source"], x["rating_url"],
+                                  F.date_format(x["rated_at"], "yyyy-MM-dd HH:mm:ss")),
+        ),
+    }
+    return stories.story_header(t.stories, t.articles, t.outlets, t.comparisons, t.ratings).withColumns(shown)
+
+
 add("story_sentiment_agg", lambda t: stories.story_sentiment_agg(t.stories, t.articles, t.analysis, as_of()))
 add("positive_story_reasons", lambda t: stories.positive_story_reasons(
     stories.story_sentiment_agg(t.stories, t.articles, t.analysis, as_of(), days=30), as_of()))

@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from pressgrid.operators import dashboards, quality, selection, state, stories
+from pressgrid.operators import dashboards, filters, quality, selection, state, stories
 
 NOW = datetime(2026, 9, 27, 12, tzinfo=timezone.utc)
 
@@ -237,3 +237,59 @@ def test_gaps_read_ragged_cells(spark):
     for r in stories.coverage_gaps(comparisons, arts, outlets(spark)).orderBy("pos").collect():
         got.setdefault((r.slug, r.name), []).append(r.item)
     assert got == {("new_key", "New Key"): ["a", '{"k":1}', "2", "null"], ("o1", "Outlet 1"): ["Missing Part: x", "N: 3"], ("o2", "O2"): ["one"]}
+
+
+ANALYSIS = """article_id long, framing_score decimal(3,2), framing_label string, framing_confidence decimal(3,2), headline_sentiment decimal(3,2),
+body_sentiment decimal(3,2), entities struct<people:array<string>>, source_distribution map<string,double>, analyzed_at timestamp,
+key_themes array<string>, quoted_sources array<struct<speaker:string,quote:string>>, evidence_snippets array<string>"""
+
+
+def detail_frames(spark):
+    """Two stories: one with two analysed outlets, an image and a comparison, one with a single bare article."""
+    articles = spark.createDataFrame(
+        [(1, 1, 7, "u1", "first", None, hours(4), "https://i/1.jpg", "complete", "body"),
+         (2, 2, 7, "u2", "second", "ann", hours(3), None, "complete", ""),
+         (3, 2, 8, "u3", "alone", None, hours(2), None, "discovered", None),
+         (4, 1, None, "u4", "no story", None, hours(1), None, "discovered", None)],
+        "article_id long, outlet_id long, story_id long, url string, headline string, author string, published_at timestamp, image_url string, "
+        "processing_state string, full_text string",
+    )
+    analysis = spark.createDataFrame(
+        [(1, Decimal("-0.40"), "critical", Decimal("0.90"), Decimal("0.10"), Decimal("0.20"), (["Ann"],), {"expert": 1.0}, hours(1),
+          ["budget"], [("Ann", "so it is")], ["words"]),
+         (2, None, None, None, None, None, None, None, hours(1), None, None, None)],
+        ANALYSIS,
+    )
+    heads = spark.createDataFrame(
+        [(7, "first", "economy", hours(4), hours(3), 2, None), (8, "alone", None, hours(2), hours(2), 1, None)],
+        "story_id long, title string, topic string, first_seen_at timestamp, last_seen_at timestamp, article_count long, summary string",
+    )
+    compared = spark.createDataFrame(
+        [(7, "- they differ", Decimal("0.35"), '{"s1":{"budget":1.0}}', "{}", hours(1))],
+        "story_id long, differences string, framing_spread decimal(3,2), coverage_matrix string, not_present_here string, generated_at timestamp",
+    )
+    return articles, analysis, heads, compared
+
+
+def test_details_hold_the_whole_analysis(spark):
+    articles, analysis, heads, compared = detail_frames(spark)
+    rows = {r.article_id: r for r in filters.article_detail(articles, outlets(spark), analysis).collect()}
+    assert rows[1].full_text_available and not rows[2].full_text_available and not rows[3].full_text_available
+    assert rows[1].entities.people == ["Ann"] and rows[1].source_distribution == {"expert": 1.0} and rows[1].quoted_sources[0].quote == "so it is"
+    # An analysis without lists has empty ones; an article without analysis has none at all.
+    assert (rows[2].key_themes, rows[2].quoted_sources, rows[2].evidence_snippets) == ([], [], []) and rows[2].analyzed_at is not None
+    assert rows[3].key_themes is None and rows[3].analyzed_at is None
+    assert [r.article_id for r in filters.article_detail(articles, outlets(spark), analysis, article_id=2).collect()] == [2]
+    page = stories.story_detail(heads, articles, outlets(spark), analysis, compared, story_id=7).orderBy("published_at", "article_id").collect()
+    assert [(r.article_id, r.evidence_snippets, r.differences) for r in page] == [(1, ["words"], "- they differ"), (2, [], "- they differ")]
+
+
+def test_story_header(spark):
+    articles, _, heads, compared = detail_frames(spark)
+    ratings = spark.createDataFrame([], "outlet_id long, source string, original_label string, normalized_category string, rating_url string, rated_at timestamp")
+    rows = {r.story_id: r for r in stories.story_header(heads, articles, outlets(spark), compared, ratings).collect()}
+    assert rows[7].hero_image_url == "https://i/1.jpg" and [x.article_id for x in rows[7].story_images] == [1]
+    assert rows[7].coverage_matrix == '{"s1":{"budget":1.0}}' and rows[7].generated_at is not None and rows[7].outlet_count == 2
+    assert (rows[7].eligible, rows[7].reason, rows[7].bias_sources) == (False, "too_few_outlets", [])
+    assert (rows[8].differences, rows[8].story_images, rows[8].hero_image_url, rows[8].outlet_count) == (None, [], None, 1)
+    assert [r.story_id for r in stories.story_header(heads, articles, outlets(spark), compared, ratings, story_id=8).collect()] == [8]
