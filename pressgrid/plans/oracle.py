@@ -449,6 +449,7 @@ def averages(days: int) -> str:
 
 THEME_ROWS = f"SELECT outlet_id, theme, count(*) AS n FROM (SELECT outlet_id, unnest(key_themes) AS theme FROM {recent(30)}) WHERE theme IS NOT NULL GROUP BY 1, 2"
 SQL["outlet_30d_stats"] = f"""SELECT s.*, t.theme, t.n AS theme_count FROM {averages(30)} s LEFT JOIN ({THEME_ROWS}) t USING (outlet_id)"""
+SQL["outlet_30d_stored"] = SQL["outlet_30d_stats"]
 SQL["outlet_theme_counts"] = THEME_ROWS
 SQL["outlet_stats"] = f"""SELECT outlet_id, slug, name, coalesce(article_count, 0) AS article_count, avg_framing, avg_sentiment FROM n_outlets LEFT JOIN {averages(3)} USING (outlet_id)"""
 CATEGORY = """CASE source || '|' || lower(trim(original_label)) WHEN 'MBFC|left' THEN 'left' WHEN 'MBFC|left-center' THEN 'left' WHEN 'MBFC|least biased' THEN 'center'

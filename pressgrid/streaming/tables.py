@@ -7,15 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from pressgrid.session import drop_folder, folder_done, subfolders
+from pressgrid.sources.sinks import overwrite_partitions
 
 BUCKETS = 64
 
 
-def _dynamic(rows: DataFrame, path: str, *parts: str) -> None:
-    """Overwrite the partitions that ``rows`` has, and no other."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
-
-
 class KeyedTable:
     """Target of upserts with one row per key, in buckets by the key's hash; a batch rewrites the buckets it touches.
 
@@ -26,7 +22,7 @@ class KeyedTable:
     def __init__(self, spark: SparkSession, path: str, schema: T.StructType, pk: str, buckets: int = BUCKETS):
         self.path, self.schema, self.pk, self.buckets = path, schema, pk, buckets
         if not folder_done(spark, path):
-            _dynamic(self._bucketed(spark.createDataFrame([], schema)), path, "bucket")
+            overwrite_partitions(self._bucketed(spark.createDataFrame([], schema)), path, "bucket")
 
     def _bucketed(self, rows: DataFrame) -> DataFrame:
         return rows.withColumn("bucket", F.pmod(F.xxhash64(self.pk), F.lit(self.buckets)).cast("int"))
@@ -48,7 +44,7 @@ class KeyedTable:
             merged.write.mode("overwrite").partitionBy("bucket").parquet(staged)
         if subfolders(spark, staged):
             fields = T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])
-            _dynamic(spark.read.schema(fields).parquet(staged), self.path, "bucket")
+            overwrite_partitions(spark.read.schema(fields).parquet(staged), self.path, "bucket")
         drop_folder(spark, f"{self.path}-staged/{batch_id - 1}")
 
 
@@ -59,7 +55,7 @@ class DayTable:
         self.path = path
         self.fields = T.StructType([*schema.fields, T.StructField("day", T.DateType()), T.StructField("batch", T.IntegerType())])
         if not folder_done(spark, path):
-            _dynamic(spark.createDataFrame([], self.fields), path, "day", "batch")
+            overwrite_partitions(spark.createDataFrame([], self.fields), path, "day", "batch")
 
     def since(self, spark: SparkSession, day: Column, batch_id: int) -> DataFrame:
         """Rows of the days from ``day`` on that batches before ``batch_id`` wrote; other folders are not read."""
@@ -67,7 +63,7 @@ class DayTable:
         return rows.where((F.col("day") >= day) & (F.col("batch") < batch_id)).drop("day", "batch")
 
     def append(self, rows: DataFrame, day: Column, batch_id: int) -> None:
-        _dynamic(rows.withColumn("day", day).withColumn("batch", F.lit(batch_id)), self.path, "day", "batch")
+        overwrite_partitions(rows.withColumn("day", day).withColumn("batch", F.lit(batch_id)), self.path, "day", "batch")
 
     def drop_before(self, spark: SparkSession, day: str) -> None:
         """Drop the days before ``day`` (yyyy-MM-dd)."""
@@ -83,10 +79,10 @@ class ResultTable:
         self.path = path
         self.fields = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])
         if not folder_done(spark, path):
-            _dynamic(spark.createDataFrame([], self.fields), path, "batch")
+            overwrite_partitions(spark.createDataFrame([], self.fields), path, "batch")
 
     def read(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(self.fields).parquet(self.path)
 
     def append(self, rows: DataFrame, batch_id: int) -> None:
-        _dynamic(rows.withColumn("batch", F.lit(batch_id)), self.path, "batch")
+        overwrite_partitions(rows.withColumn("batch", F.lit(batch_id)), self.path, "batch")
