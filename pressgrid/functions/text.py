@@ -5,6 +5,9 @@ Everything here is a native column expression, so it stays inside the JVM.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
 from pressgrid import constants as C
@@ -83,8 +86,26 @@ NAMED_ENTITIES = {
 }
 
 
+# The standard's other names ('eacute;' -> 'é'), for a lookup; '&amp;' is decoded last of all.
+OTHER_ENTITIES = json.dumps({name: sign for name, sign in html5.items() if name.endswith(";") and name != "amp;" and f"&{name}" not in NAMED_ENTITIES})
+REFERENCE = "&[A-Za-z][A-Za-z0-9]{1,31};"
+
+
+def _unescape_names(col: Column) -> Column:
+    """Decode each named reference that the standard knows; others stay as they are."""
+    names = F.from_json(F.lit(OTHER_ENTITIES), "map<string,string>")
+
+    def decode(piece: Column) -> Column:
+        name = F.regexp_extract(piece, f"^{REFERENCE}", 0)
+        sign = F.try_element_at(names, F.substr(name, F.lit(2)))
+        rest = F.substr(piece, F.length(name) + 1)
+        return F.when(name == "", piece).otherwise(F.coalesce(F.concat(sign, rest), piece))
+
+    return F.array_join(F.transform(F.split(col, f"(?={REFERENCE})", -1), decode), "")
+
+
 def unescape_html(col: Column) -> Column:
-    """Decode numeric and common named character references; '&amp;' last.
+    """Decode numeric and named character references; '&amp;' last.
 
     ``col`` is read several times: bind it with ``let`` when it is costly.
     """
@@ -101,4 +122,5 @@ def unescape_html(col: Column) -> Column:
     out = F.when(col.contains("&#"), F.array_join(F.transform(pieces, decode), "")).otherwise(col)
     for name, char in NAMED_ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(char))
+    out = let(out, lambda x: F.when(x.rlike(f"(?!&amp;){REFERENCE}"), _unescape_names(x)).otherwise(x))
     return F.when(col.contains("&"), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(col)

@@ -156,7 +156,8 @@ SQL["latest_wins_upsert"] = """
 SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id"""
 SQL["article_main_text"] = page_text("pages", "page_id, url")
 SQL["article_main_text_articles"] = page_text(
-    """(SELECT doc_id AS page_id, '<body><nav>menu</nav><article><p>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
+    """(SELECT doc_id AS page_id, '<body><nav>menu</nav><article>'
+        || CASE WHEN doc_id % 6 = 0 THEN '<p>été → &noname; &amp;eacute;</p>' ELSE '' END || '<p>' || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
         || '</p></article></body>' AS html FROM documents)""", "page_id")
 SQL["image_url_clean"] = f"""
 SELECT doc_id, CASE doc_id % 12 WHEN 0 THEN 'https://img.example/' || doc_id || '.jpg' WHEN 1 THEN 'https://cdn.example/' || doc_id || '.png'

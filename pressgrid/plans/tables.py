@@ -308,7 +308,7 @@ class Tables:
 
     @cached_property
     def web_pages(self) -> DataFrame:
-        """Each article's page, with the meta-tag spellings found in the wild."""
+        """Each article's page, with the meta-tag spellings found in the wild; some have nested menus and tables."""
         return self.documents.selectExpr(
             "doc_id as page_id",
             "concat('https://', source, '.example/news/', doc_id) as url",
@@ -324,7 +324,9 @@ class Tables:
                    when 7 then concat('</head><body><meta property="og:image" content="https://img.example/late', doc_id, '.jpg">')
                    when 8 then concat('<meta name="og:image" content="pic', doc_id, '.jpg">')
                    else '' end,
-                 '</head><body><nav>menu</nav><article><p>',
+                 '</head><body><nav>menu', if(doc_id % 6 = 0, '<nav>inner</nav>rest of the menu', ''), '</nav><article>',
+                 if(doc_id % 6 = 0, '<table><tr><td>a<TABLE><tr><td>b</td></tr></TABLE>c</td></tr></table><p>&eacute;t&eacute; &rarr; &noname; &amp;eacute;</p>', ''),
+                 '<p>',
                  replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
                  '</p></article></body></html>') as html""",
             "case when doc_id % 25 = 24 then 503 else 200 end as http_status",

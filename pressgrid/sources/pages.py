@@ -2,8 +2,9 @@
 
 The text of a page is what its <article> holds, or its <body> when it has none:
 comments, scripts, styles, navigation, asides, headers, footers, forms and
-tables go, block tags end lines, other tags vanish, character references are
-decoded.  The whole page is read.
+tables go with all they hold, elements of their own kind included, block tags
+end lines, other tags vanish, character references are decoded.  An opening or
+closing tag without a partner drops nothing.  The whole page is read.
 """
 
 from __future__ import annotations
@@ -12,14 +13,53 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pressgrid.functions import text
 
-DROPPED = ("script", "style", "noscript", "nav", "table", "aside", "footer", "header", "form")
+RAW = ("script", "style", "noscript")  # end at their first closing tag
+DROPPED = ("nav", "table", "aside", "footer", "header", "form")
 BLOCK = "(?is)</?(?:p|br|h[1-6]|li|ul|ol|div|section|blockquote|article|figure|figcaption)(?:[ \\t\\r\\n/][^>]*)?>"
 
 
+def _flat(html: Column, tag: str) -> Column:
+    return F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "\n")
+
+
+def without_elements(html: Column, tag: str) -> Column:
+    """``html`` with a line end for each outermost element of the tag.
+
+    The page is cut before each such tag.  ``depth`` counts the elements open after a cut; a piece lies inside an
+    element that is closed later if the depth falls below its own further on.
+    """
+    opening, closing = rf"<{tag}\b[^>]*>", rf"</{tag}\s*>"
+
+    def step(depths: Column, piece: Column) -> Column:
+        now = F.coalesce(F.get(depths, F.size(depths) - 1), F.lit(0))
+        now = F.when(piece.rlike(f"^(?i:{opening})"), now + 1).when(piece.rlike(f"^(?i:{closing})"), F.greatest(now - 1, F.lit(0))).otherwise(now)
+        return F.concat(depths, F.array(now))
+
+    def lowest(ends: Column, depth: Column) -> Column:
+        return F.concat(ends, F.array(F.least(F.get(ends, F.size(ends) - 1), depth)))
+
+    def kept(pieces: Column) -> Column:
+        none = F.array().cast("array<int>")
+        depths = F.aggregate(pieces, none, step)
+        return text.let(depths, lambda d: text.let(
+            F.reverse(F.aggregate(F.reverse(d), none, lowest)),
+            lambda low: F.array_join(F.transform(pieces, lambda p, i: F.when(F.get(d, i) > F.get(low, i), "\n").otherwise(p)), ""),
+        ))
+
+    def cleaned(page: Column) -> Column:
+        cut = F.split(page, f"(?i)(?={opening})|(?={closing})", -1)
+        # With a single opening tag the element ends at the first closing one.
+        return F.when(F.regexp_count(page, F.lit(rf"(?i)<{tag}\b")) > 1, text.let(cut, kept)).otherwise(_flat(page, tag))
+
+    return text.let(html, cleaned)
+
+
 def main_text(html: Column) -> Column:
     out = F.regexp_replace(html, "(?s)<!--.*?-->", "")
+    for tag in RAW:
+        out = _flat(out, tag)
     for tag in DROPPED:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "\n")
+        out = without_elements(out, tag)
 
     def region(clean: Column) -> Column:
         inside = F.regexp_extract(clean, r"(?is)<article\b[^>]*>(.*)</article\s*>", 1)

@@ -52,6 +52,35 @@ def test_main_text(spark):
     assert [r.main_text for r in pages.article_main_text(df).orderBy("page_id").collect()] == ["T & T\nOne two é\U0001F600", "plain", None]
 
 
+def test_nested_elements_go_whole(spark):
+    many = "<table>" * 300 + "in" + "</table>" * 300
+    cases = {
+        "<body>a<table>b<table>c</table>d</table>e</body>": "a\ne",
+        "<body>a<nav>b</nav>c<nav>d</nav>e</body>": "a\nc\ne",
+        "<body>a<NAV class='x'>b<nav>c<nav>d</nav></nav>e</Nav >f</body>": "a\nf",
+        "<body>a<table>b<nav>c<table>d</table></nav>e</table>f</body>": "a\nf",
+        "<body>a<aside>b<aside>c</aside>d</body>": "ab\nd",  # the first has no end
+        "<body>a</form>b<form>c<form>d</form></form>e</form>f</body>": "ab\nef",
+        "<body>a<script>'<script>'</script>b</body>": "a\nb",
+        f"<body>a{many}b{many}c</body>": "a\nb\nc",
+    }
+    df = spark.createDataFrame([(k, "u", html) for k, html in enumerate(cases)], "page_id long, url string, html string")
+    assert [r.main_text for r in pages.article_main_text(df).orderBy("page_id").collect()] == list(cases.values())
+
+
+def test_character_references(spark):
+    from html import unescape
+
+    from pressgrid.functions import text
+
+    given = ["caf&eacute; &rarr; &NotEqualTilde; &CounterClockwiseContourIntegral;", "&noname; & &; &a; &&eacute;&eacute;", "&lt;&nbsp;&hellip;&Uuml;&#252;", "none", "", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(given)], "k long, t string")
+    got = [r.x for r in df.select("k", text.unescape_html(F.col("t")).alias("x")).orderBy("k").collect()]
+    assert got == [None if t is None else unescape(t) for t in given]
+    one = spark.createDataFrame([("&amp;eacute;&amp;lt;",)], "t string").select(text.unescape_html(F.col("t")).alias("x")).first()
+    assert one.x == "&eacute;&lt;"
+
+
 def test_other_kinds_of_feeds(spark):
     atom = """<feed xmlns="http://www.w3.org/2005/Atom" xmlns:media="http://search.yahoo.com/mrss/">
       <entry><title type="text">One</title><link rel="self" href="https://a.example/feed"/><link href="https://a.example/1"/>
