@@ -22,8 +22,8 @@ def _flat(html: Column, tag: str) -> Column:
     return F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "\n")
 
 
-def without_elements(html: Column, tag: str) -> Column:
-    """``html`` with a line end for each outermost element of the tag.
+def without_elements(html: Column, tag: str, most: Column) -> Column:
+    """``html`` with a line end for each outermost element of the tag, of which there are at most ``most``.
 
     The page is cut before each such tag.  ``depth`` counts the elements open after a cut; a piece lies inside an
     element that is closed later if the depth falls below its own further on.
@@ -49,7 +49,7 @@ def without_elements(html: Column, tag: str) -> Column:
     def cleaned(page: Column) -> Column:
         cut = F.split(page, f"(?i)(?={opening})|(?={closing})", -1)
         # With a single opening tag the element ends at the first closing one.
-        return F.when(F.regexp_count(page, F.lit(rf"(?i)<{tag}\b")) > 1, text.let(cut, kept)).otherwise(_flat(page, tag))
+        return F.when(most == 0, page).when(most == 1, _flat(page, tag)).otherwise(text.let(cut, kept))
 
     return text.let(html, cleaned)
 
@@ -58,8 +58,18 @@ def main_text(html: Column) -> Column:
     out = F.regexp_replace(html, "(?s)<!--.*?-->", "")
     for tag in RAW:
         out = _flat(out, tag)
-    for tag in DROPPED:
-        out = without_elements(out, tag)
+
+    def without_dropped(page: Column) -> Column:
+        def each(found: Column) -> Column:
+            rest = page
+            for tag in DROPPED:
+                rest = without_elements(rest, tag, F.size(found) - F.size(F.array_remove(found, tag)))
+            return rest
+
+        # One look at the page tells which of the tags it has at all; taking one kind out opens no other.
+        return text.let(F.regexp_extract_all(F.lower(page), F.lit(rf"<({'|'.join(DROPPED)})\b")), each)
+
+    out = text.let(out, without_dropped)
 
     def region(clean: Column) -> Column:
         inside = F.regexp_extract(clean, r"(?is)<article\b[^>]*>(.*)</article\s*>", 1)
