@@ -27,6 +27,7 @@ FAILED_STATE = {
 }
 RUN_TRIGGERS = ("cron", "manual", "backfill")
 RUN_STATUSES = ("running", "success", "failed", "skipped")
+RUN_PURPOSES = ("enrich", "compare")
 
 # --- enrichment and comparison (fixed values) ---
 HEADLINE_CHARS = 1000

@@ -190,53 +190,75 @@ def completeness(articles: DataFrame, embedded_ids: DataFrame) -> DataFrame:
     )
 
 
-def _duplicates(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return groups.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("rule"), "violations")
-
+def _marks(
+    table: DataFrame, unique: dict[str, tuple[str, ...]] | None = None, refers: dict[str, tuple[str, str]] | None = None,
+    broken: dict[str, Column] | None = None,
+) -> DataFrame:
+    """(kind, key, rule) of one pass over a table; a null key says nothing.
 
-def _orphans(df: DataFrame, name: str, key: str, parent: DataFrame) -> DataFrame:
-    rows = df.where(F.col(key).isNotNull()).select(key).join(parent.select(key), key, "left_anti")
-    return rows.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("rule"), "violations")
+    ``unique``: rule -> columns of a key that the table defines (null rule).  ``refers``: rule -> (rule that defines the
+    key, column).  ``broken``: rule -> predicate of a bad row.
+    """
 
+    def mark(kind: str, key: Column, rule: str | None) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), F.lit(rule).cast("string").alias("rule"))
 
-def _broken(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """All predicate rules of one table in one pass, one row per rule."""
-    counts = df.agg(*[F.count_if(bad).alias(name) for name, bad in rules.items()])
-    rows = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("violations")) for name in rules])
-    return counts.select(F.inline(rows))
+    marks = [
+        # A key with a null part is equal to no other.
+        mark(rule, F.when(F.concat(*(F.col(c).cast("string") for c in columns)).isNotNull(), F.to_json(F.array(*(F.col(c).cast("string") for c in columns)))), None)
+        for rule, columns in (unique or {}).items()
+    ]
+    marks += [mark(kind, F.when(F.col(c).isNotNull(), F.to_json(F.array(F.col(c).cast("string")))), rule) for rule, (kind, c) in (refers or {}).items()]
+    marks += [mark("", F.when(bad, ""), rule) for rule, bad in (broken or {}).items()]
+    return table.select(F.explode(F.filter(F.array(*marks), lambda m: m["key"].isNotNull())).alias("m")).select("m.*")
 
 
 def constraint_violations(
     articles: DataFrame, outlets: DataFrame, stories: DataFrame, analysis: DataFrame,
-    comparisons: DataFrame, ratings: DataFrame, runs: DataFrame,
+    comparisons: DataFrame, ratings: DataFrame, runs: DataFrame, analysis_runs: DataFrame,
 ) -> DataFrame:
-    """Violations per rule: unique keys, orphan references, value ranges and allowed values."""
+    """Violations per rule: unique keys, orphan references, value ranges and allowed values.
+
+    Each table is read once.  Its rows give the keys they define, those they refer to and the rules they break; one
+    aggregate per key, summed before the shuffle, then tells keys defined twice and references to none.
+    """
 
     def outside(name: str, low: float) -> Column:
         return ~F.col(name).between(low, 1)
 
-    audits = [
-        _duplicates(articles, "articles_unique_url", "url"),
-        _duplicates(outlets, "outlets_unique_slug", "slug"),
-        _duplicates(ratings, "ratings_unique_outlet_source", "outlet_id", "source"),
-        _orphans(articles, "articles_outlet", "outlet_id", outlets),
-        _orphans(articles, "articles_story", "story_id", stories),
-        _orphans(analysis, "analysis_article", "article_id", articles),
-        _orphans(comparisons, "comparisons_story", "story_id", stories),
-        _orphans(ratings, "ratings_outlet", "outlet_id", outlets),
-        _broken(articles, {"articles_state": ~F.col("processing_state").isin(*C.PROCESSING_STATES)}),
-        _broken(analysis, {
-            "analysis_framing_score": outside("framing_score", -1),
-            "analysis_framing_confidence": outside("framing_confidence", 0),
-            "analysis_headline_sentiment": outside("headline_sentiment", -1),
-            "analysis_body_sentiment": outside("body_sentiment", -1),
-            "analysis_framing_label": ~F.col("framing_label").isin(*C.FRAMING_LABELS),
-        }),
-        _broken(ratings, {"ratings_category": ~F.col("normalized_category").isin(*C.BIAS_CATEGORIES)}),
-        _broken(runs, {
-            "runs_triggered_by": ~F.col("triggered_by").isin(*C.RUN_TRIGGERS),
-            "runs_status": ~F.col("status").isin(*C.RUN_STATUSES),
-        }),
+    tables = [
+        (articles, {"articles_unique_id": ("article_id",), "articles_unique_url": ("url",)},
+         {"articles_outlet": ("outlets_unique_id", "outlet_id"), "articles_story": ("stories_unique_id", "story_id")},
+         {"articles_state": ~F.col("processing_state").isin(*C.PROCESSING_STATES)}),
+        (outlets, {"outlets_unique_id": ("outlet_id",), "outlets_unique_slug": ("slug",)}, {}, {}),
+        (stories, {"stories_unique_id": ("story_id",)}, {}, {}),
+        (analysis, {"analysis_unique_article": ("article_id",)},
+         {"analysis_article": ("articles_unique_id", "article_id"), "analysis_run": ("analysis_runs_unique_id", "analysis_run_id")},
+         {
+             "analysis_framing_score": outside("framing_score", -1),
+             "analysis_framing_confidence": outside("framing_confidence", 0),
+             "analysis_headline_sentiment": outside("headline_sentiment", -1),
+             "analysis_body_sentiment": outside("body_sentiment", -1),
+             "analysis_framing_label": ~F.col("framing_label").isin(*C.FRAMING_LABELS),
+         }),
+        (comparisons, {"comparisons_unique_story": ("story_id",)}, {"comparisons_story": ("stories_unique_id", "story_id")}, {}),
+        (ratings, {"ratings_unique_outlet_source": ("outlet_id", "source")}, {"ratings_outlet": ("outlets_unique_id", "outlet_id")},
+         {"ratings_category": ~F.col("normalized_category").isin(*C.BIAS_CATEGORIES)}),
+        (runs, {"runs_unique_id": ("run_id",)}, {},
+         {"runs_triggered_by": ~F.col("triggered_by").isin(*C.RUN_TRIGGERS), "runs_status": ~F.col("status").isin(*C.RUN_STATUSES)}),
+        (analysis_runs, {"analysis_runs_unique_id": ("analysis_run_id",)}, {},
+         {"analysis_runs_purpose": ~F.col("purpose").isin(*C.RUN_PURPOSES)}),
     ]
-    return reduce(DataFrame.unionByName, audits)
+    marks = reduce(DataFrame.unionByName, (_marks(*table) for table in tables))
+    unique, refers, broken = ([rule for table in tables for rule in table[k]] for k in (1, 2, 3))
+    per_key = marks.groupBy("kind", "key").agg(
+        F.count_if(F.col("rule").isNull()).alias("defined"), *(F.count_if(F.col("rule") == rule).alias(rule) for rule in refers + broken)
+    )
+    zero = F.lit(0).cast("long")
+    counts = per_key.agg(
+        *(F.count_if((F.col("kind") == rule) & (F.col("defined") > 1)).alias(rule) for rule in unique),
+        *(F.coalesce(F.sum(F.when(F.col("defined") == 0, F.col(rule))), zero).alias(rule) for rule in refers),
+        *(F.coalesce(F.sum(rule), zero).alias(rule) for rule in broken),
+    )
+    found = F.array(*(F.struct(F.lit(rule).alias("rule"), F.col(rule).alias("violations")) for rule in unique + refers + broken))
+    return counts.select(F.inline(found))

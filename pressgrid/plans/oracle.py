@@ -703,12 +703,15 @@ SELECT t AS with_terms, e AS with_embedding, n AS total, t * 100 // greatest(n,
            count(*) FILTER (processing_state NOT IN ('discovered', 'extracted', 'failed_extract')) AS e, count(*) AS n FROM n_articles)"""
 ZERO = " UNION ALL ".join(
     f"SELECT '{r}' AS rule, CAST(0 AS BIGINT) AS violations" for r in (
-        "articles_unique_url", "outlets_unique_slug", "ratings_unique_outlet_source", "analysis_article", "ratings_outlet", "articles_state",
+        "articles_unique_id", "outlets_unique_id", "stories_unique_id", "analysis_unique_article", "comparisons_unique_story", "runs_unique_id",
+        "analysis_runs_unique_id", "articles_unique_url", "outlets_unique_slug", "ratings_unique_outlet_source", "analysis_article", "ratings_outlet", "articles_state",
         "analysis_framing_score", "analysis_framing_confidence", "analysis_headline_sentiment", "analysis_body_sentiment", "analysis_framing_label",
         "ratings_category", "runs_triggered_by", "runs_status"))
 SQL["constraint_violations"] = f"""
 {ZERO}
 UNION ALL SELECT 'articles_outlet', count(*) FROM n_articles WHERE outlet_id NOT IN (SELECT outlet_id FROM n_outlets)
+UNION ALL SELECT 'analysis_run', count(*) FROM n_analysis WHERE analysis_run_id = 5
+UNION ALL SELECT 'analysis_runs_purpose', count(*) FROM n_runs WHERE analysis_run_id = 3
 UNION ALL SELECT 'articles_story', count(*) FROM n_articles WHERE story_id % 25 = 24
 UNION ALL SELECT 'comparisons_story', count(*) FROM n_comparisons WHERE story_id % 25 = 24"""
 

@@ -464,7 +464,9 @@ add("failed_articles", lambda t: quality.failed_articles(t.articles, t.outlets))
 add("completeness", lambda t: quality.completeness(
     t.articles, t.articles.where("processing_state not in ('discovered', 'extracted', 'failed_extract')").select("article_id")))
 add("constraint_violations", lambda t: quality.constraint_violations(
-    t.articles, t.outlets, t.stories.withColumn("story_id", F.expr("if(story_id % 25 = 24, -story_id, story_id)")), t.analysis, t.comparisons, t.ratings, t.ingestion_runs))
+    t.articles, t.outlets, t.stories.withColumn("story_id", F.expr("if(story_id % 25 = 24, -story_id, story_id)")), t.analysis, t.comparisons, t.ratings, t.ingestion_runs,
+    # One run is missing and one has a purpose that is not allowed.
+    t.analysis_runs.where("analysis_run_id <> 5").withColumn("purpose", F.expr("if(analysis_run_id = 3, 'audit', purpose)"))))
 
 # --- streaming ------------------------------------------------------------------------------
 
