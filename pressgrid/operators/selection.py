@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from pressgrid import constants as C
+from pressgrid.operators.filters import bounded
 from pressgrid.operators.dashboards import since
 
 
@@ -113,14 +114,18 @@ def story_context(articles: DataFrame, outlets: DataFrame, analysis: DataFrame,
     )
 
 
-def diverse_sample(articles: DataFrame, outlets: DataFrame, target: int = 20) -> DataFrame:
+def diverse_sample(
+    articles: DataFrame, outlets: DataFrame, target: int = 20, top_stories: int = 4, per_story: int = 3, pool: int = 200
+) -> DataFrame:
     """A small sample spread over stories and outlets.
 
-    First the newest article of up to three outlets in each of the four broadest
-    stories, then recent other articles, least-represented outlet first.  The
+    First the newest article of up to ``per_story`` outlets in each of the ``top_stories`` broadest
+    stories, then the ``pool`` most recent other articles, least-represented outlet first.  The
     second step picks one article at a time from the outlet with the fewest
     picks; that equals sorting by (picks so far + turn in outlet - 1, newest id).
     """
+    for name, value, most in (("top_stories", top_stories, 40), ("per_story", per_story, 40), ("pool", pool, 2000)):
+        bounded(name, value, most)
     usable = articles.where(
         (F.col("processing_state") == "clustered") & (F.length(F.coalesce("full_text", F.lit(""))) > 0)
     ).select("article_id", "story_id", "outlet_id", "published_at")
@@ -129,35 +134,35 @@ def diverse_sample(articles: DataFrame, outlets: DataFrame, target: int = 20) ->
         .agg(F.count(F.lit(1)).alias("n_articles"), F.count_distinct("outlet_id").alias("n_outlets"))
         .where("n_outlets >= 2")
         .orderBy(F.desc("n_outlets"), F.desc("n_articles"), F.desc("story_id"))
-        .limit(4)
+        .limit(top_stories)
     )
     newest = (
-        usable.join(F.broadcast(big), "story_id")  # four rows
+        usable.join(F.broadcast(big), "story_id")  # top_stories rows
         .groupBy("story_id", "outlet_id", "n_outlets", "n_articles")
         .agg(F.max(F.struct("published_at", (-F.col("article_id")).alias("neg_id"))).alias("best"))
         .select("story_id", "outlet_id", "n_outlets", "n_articles", (-F.col("best.neg_id")).alias("article_id"))
         .withColumn("outlet_no", F.row_number().over(W.partitionBy("story_id").orderBy("outlet_id")))
-        .where("outlet_no <= 3")
+        .where(F.col("outlet_no") <= per_story)
     )
     first = (
         newest.withColumn("pick_no", F.row_number().over(
-            W.partitionBy(F.lit(0)).orderBy(F.desc("n_outlets"), F.desc("n_articles"), F.desc("story_id"), "outlet_no")))  # 12 rows
+            W.partitionBy(F.lit(0)).orderBy(F.desc("n_outlets"), F.desc("n_articles"), F.desc("story_id"), "outlet_no")))  # top_stories * per_story rows
         .where(F.col("pick_no") <= target)
         .select("article_id", "outlet_id", "pick_no")
     )
     counts = first.groupBy("outlet_id").agg(F.count(F.lit(1)).alias("base"))
     taken = first.agg(F.count(F.lit(1))).scalar()
     recent = (
-        usable.join(F.broadcast(first.select("article_id")), "article_id", "left_anti")  # 12 rows
+        usable.join(F.broadcast(first.select("article_id")), "article_id", "left_anti")  # as few
         .orderBy(F.desc("published_at"), F.desc("article_id"))
-        .limit(200)
+        .limit(pool)
     )
     turn = F.row_number().over(W.partitionBy("outlet_id").orderBy(F.desc("article_id")))
     load = F.coalesce("base", F.lit(0)) + turn - 1
     second = (
         recent.join(F.broadcast(counts), "outlet_id", "left")
         .withColumn("load", load)
-        .withColumn("pick_no", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("load", F.desc("article_id"))) + taken)  # 200 rows
+        .withColumn("pick_no", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("load", F.desc("article_id"))) + taken)  # pool rows
         .where(F.col("pick_no") <= target)
         .select("article_id", "outlet_id", "pick_no")
     )

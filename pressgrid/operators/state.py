@@ -68,10 +68,33 @@ def advance_compared(articles: DataFrame, compared: DataFrame, as_of: Column) ->
     )
 
 
-def run_ledger_row(articles: DataFrame, outcomes: DataFrame, as_of: Column) -> DataFrame:
-    """One row for a run: stage successes, failures, model calls and the run status.
+def _next_run(runs: DataFrame, started_at: Column, triggered_by: str) -> DataFrame:
+    """run_id after the last one of ``runs``, start and trigger; always one row."""
+    if triggered_by not in C.RUN_TRIGGERS:
+        raise ValueError(f"triggered_by is one of {C.RUN_TRIGGERS}")
+    return runs.agg((F.coalesce(F.max("run_id"), F.lit(0)) + 1).cast("long").alias("run_id")).select(
+        "run_id", started_at.alias("started_at"), F.lit(triggered_by).alias("triggered_by")
+    )
+
+
+def open_run(runs: DataFrame, started_at: Column, triggered_by: str = "cron") -> DataFrame:
+    """The ledger's row of a run that begins: running, all counts 0, no end."""
+    zero = F.lit(0).cast("long")
+    return _next_run(runs, started_at, triggered_by).select(
+        "*", F.lit(None).cast("timestamp").alias("completed_at"),
+        *(zero.alias(c) for c in ("articles_discovered", "articles_inserted", "articles_failed", "llm_calls")),
+        F.lit("running").alias("status"), F.lit(None).cast("string").alias("error"),
+    )
+
+
+def run_ledger_row(
+    articles: DataFrame, outcomes: DataFrame, runs: DataFrame, offered: DataFrame, started_at: Column, as_of: Column,
+    triggered_by: str = "cron", error: str | None = None, error_chars: int = C.ERROR_CHARS,
+) -> DataFrame:
+    """One row for a finished run: number, span, trigger, URLs, stage successes, failures, model calls, status, error.
 
-    No outcome at all means skipped, no success at all means failed.
+    ``offered`` has a row per URL the run found, with ``inserted`` true for those that were new.  No outcome at all means
+    skipped, no success at all failed; a run that ended by an ``error`` is failed whatever it did before.
     """
     staged = articles.select("article_id", "processing_state", "attempt_count").join(outcomes, "article_id")
     ok = F.col("ok")
@@ -87,8 +110,14 @@ def run_ledger_row(articles: DataFrame, outcomes: DataFrame, as_of: Column) -> D
         F.count_if(stage == "clustered").alias("llm_calls"),
         F.count_if(ok).alias("succeeded"),
     )
-    status = F.when(F.col("touched") == 0, "skipped").when(F.col("succeeded") == 0, "failed").otherwise("success")
+    found = offered.agg(F.count(F.lit(1)).alias("articles_discovered"), F.count_if("inserted").alias("articles_inserted"))
+    opened = _next_run(runs, started_at, triggered_by)
+    failed = F.lit(error).cast("string")
+    status = F.when(failed.isNotNull(), "failed").when(F.col("touched") == 0, "skipped").when(F.col("succeeded") == 0, "failed").otherwise("success")
     return counts.select(
-        as_of.alias("completed_at"), "articles_extracted", "articles_embedded", "articles_clustered", "articles_enriched",
-        "articles_failed", "llm_calls", status.alias("status"),
+        *(opened.select(c).scalar().alias(c) for c in opened.columns),
+        as_of.alias("completed_at"),
+        *(found.select(c).scalar().alias(c) for c in found.columns),
+        "articles_extracted", "articles_embedded", "articles_clustered", "articles_enriched",
+        "articles_failed", "llm_calls", status.alias("status"), F.substring(failed, 1, error_chars).alias("error"),
     )

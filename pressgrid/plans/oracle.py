@@ -177,8 +177,13 @@ result AS (SELECT article_id, image_url, CASE WHEN lost THEN 'http_failed' WHEN
 SQL["image_backfill"] = BACKFILL + " SELECT * FROM result"
 SQL["image_backfill_stats"] = BACKFILL + """ SELECT count(*) AS scanned, count(*) FILTER (outcome = 'updated') AS updated,
 count(*) FILTER (outcome = 'no_image') AS no_image, count(*) FILTER (outcome = 'http_failed') AS http_failed FROM result"""
+SQL["run_opened"] = f"""
+SELECT coalesce(max(run_id), 0) + 1 AS run_id, {ts(AS_OF)} AS started_at, 'cron' AS triggered_by, NULL::VARCHAR AS completed_at, 0::BIGINT AS articles_discovered,
+       0::BIGINT AS articles_inserted, 0::BIGINT AS articles_failed, 0::BIGINT AS llm_calls, 'running' AS status, NULL::VARCHAR AS error FROM n_ing"""
 SQL["run_ledger_row"] = f"""
-SELECT {ts(AS_OF)} AS completed_at,
+SELECT (SELECT coalesce(max(run_id), 0) + 1 FROM n_ing) AS run_id, {ts(f"{AS_OF} - INTERVAL 1 HOUR")} AS started_at, 'manual' AS triggered_by,
+       (SELECT count(*) FROM n_articles) AS articles_discovered, (SELECT count(*) FROM n_articles WHERE processing_state = 'discovered') AS articles_inserted,
+       NULL::VARCHAR AS error, {ts(AS_OF)} AS completed_at,
        count(*) FILTER (ok AND processing_state = 'discovered') AS articles_extracted,
        count(*) FILTER (ok AND processing_state = 'extracted') AS articles_embedded,
        count(*) FILTER (ok AND processing_state = 'embedded') AS articles_clustered,

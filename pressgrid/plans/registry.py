@@ -140,7 +140,10 @@ def _backfill(t: Tables) -> DataFrame:
 
 add("image_backfill", _backfill)
 add("image_backfill_stats", lambda t: images.image_backfill_stats(_backfill(t)))
-add("run_ledger_row", lambda t: state.run_ledger_row(t.articles, t.outcomes, as_of()))
+add("run_ledger_row", lambda t: state.run_ledger_row(
+    t.articles, t.outcomes, t.ingestion_runs, t.articles.select(F.col("processing_state").eqNullSafe("discovered").alias("inserted")),
+    dashboards.since(as_of(), hours=1), as_of(), "manual"))
+add("run_opened", lambda t: state.open_run(t.ingestion_runs, as_of()))
 
 # --- filters ------------------------------------------------------------------------
 

@@ -293,3 +293,25 @@ def test_story_header(spark):
     assert (rows[7].eligible, rows[7].reason, rows[7].bias_sources) == (False, "too_few_outlets", [])
     assert (rows[8].differences, rows[8].story_images, rows[8].hero_image_url, rows[8].outlet_count) == (None, [], None, 1)
     assert [r.story_id for r in stories.story_header(heads, articles, outlets(spark), compared, ratings, story_id=8).collect()] == [8]
+
+
+def test_ledger_rows(spark):
+    articles = spark.createDataFrame([(1, "discovered", 0), (2, "clustered", 2)], "article_id long, processing_state string, attempt_count long")
+    outcome = "article_id long, ok boolean"
+    runs = spark.createDataFrame([(4,), (7,)], "run_id long")
+    offered = spark.createDataFrame([(True,), (False,), (None,)], "inserted boolean")
+
+    def row(outcomes, runs=runs, **more):
+        return state.run_ledger_row(articles, spark.createDataFrame(outcomes, outcome), runs, offered, F.lit(hours(1)), as_of(), **more).first()
+
+    done = row([(1, True), (2, False)])
+    assert (done.run_id, done.triggered_by, done.articles_discovered, done.articles_inserted) == (8, "cron", 3, 1)
+    assert (done.articles_extracted, done.articles_failed, done.llm_calls, done.status, done.error) == (1, 1, 1, "success", None)
+    assert row([]).status == "skipped" and row([(2, False)]).status == "failed"
+    broken = row([(1, True)], error="x" * 5000, error_chars=10, triggered_by="manual")
+    assert (broken.status, broken.error, broken.triggered_by) == ("failed", "x" * 10, "manual")
+    assert row([], runs=runs.where("run_id > 9")).run_id == 1
+    opened = state.open_run(runs, as_of(), "backfill").first()
+    assert (opened.run_id, opened.status, opened.completed_at, opened.articles_inserted) == (8, "running", None, 0)
+    with pytest.raises(ValueError):
+        state.open_run(runs, as_of(), "hand")
