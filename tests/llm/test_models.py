@@ -1,3 +1,7 @@
+import re
+from bisect import bisect_left
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -73,3 +77,65 @@ def test_awkward(spark):
     model = quality_model.train(documents, labels.limit(0))
     assert quality_model.good_documents(documents, model).count() == len(cases.AWKWARD)
     assert quality_model.good_documents(empty, quality_model.train(empty, labels)).count() == 0
+
+
+def test_quality_scores_against_plain_sums(spark):
+    """Every document's score is the bias plus one cell per feature and pair, from features counted one text at a time."""
+    documents, labels = (spark.read.parquet(f"{DATA}/{name}.parquet") for name in ("documents", "labels"))
+    model = quality_model.train(documents, labels)
+    assert model.pairs
+
+    def features(text):
+        raw = (text or "").encode()
+        found = raw.translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5)).split(b" ")
+        found = [w for w in found if w]
+        n, letters = max(len(found), 1), max(sum(65 <= b <= 90 or 97 <= b <= 122 for b in raw), 1)
+        share = lambda signs: sum(b in signs for b in raw) / n
+        triples = list(zip(found, found[1:], found[2:]))
+        return [
+            np.log2(len(found) + 1), sum(map(len, found)) / n, share(b"#*$%&|<>"), sum(65 <= b <= 90 for b in raw) / letters, share(b"0123456789"),
+            share(b"!"), share(b".,;:?'\"()-"), len(set(found)) / n, sum(x == y for x, y in zip(found, found[1:])) / n,
+            max(Counter(found).values(), default=0) / n, sum(b >= 128 for b in raw) / max(len(raw), 1), share(b"\n"),
+            (len(triples) - len(set(triples))) / max(len(triples), 1),
+        ]
+
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    got = {r.doc_id: r for r in quality_model.quality(documents, model).collect()}
+    assert got.keys() == texts.keys()
+    for doc_id, text in texts.items():
+        x = features(text)
+        z = model.bias + sum(t[bisect_left(list(e), v)] for e, t, v in zip(model.edges, model.tables, x))
+        z += sum(t[bisect_left(list(model.pair_edges[a]), x[a]), bisect_left(list(model.pair_edges[b]), x[b])] for a, b, t in model.pairs)
+        assert abs(got[doc_id].score - 1 / (1 + np.exp(-z))) < 1e-9
+        assert got[doc_id].predicted == (got[doc_id].score >= 0.7)
+
+
+def test_toxicity_scores_against_all_pair_products(spark):
+    """Every document's score is the bias, the weights of its terms and the products of all pairs of their factors."""
+    documents, labels = (spark.read.parquet(f"{DATA}/{name}.parquet") for name in ("documents", "labels"))
+    machine = toxicity.train(documents, labels)
+    weight = {f: k for k, f in enumerate(machine.features.tolist())}
+    signs, places = (W.random_row(size, seed).tolist() for size, seed in ((256, 12), (1 << 16, 11)))
+
+    def numbers(text):
+        words = re.findall(rb"[a-z\x80-\xff]+", (text or "").encode().lower())
+        values, found = {}, set()
+        for word in set(words):
+            total = 0
+            for place, byte in enumerate(word):
+                total = (total + signs[byte] * places[place]) % 2**64
+                if place + 1 in toxicity.PREFIXES and len(word) > place + 1:
+                    values[total + place + 1] = True
+            values[total] = True
+        for v in values:
+            found.add(int(W.mix(np.array([v % 2**64], np.uint64))[0]) >> (64 - toxicity.BITS))
+        return sorted(weight[f] for f in found if f in weight)
+
+    texts = {r.doc_id: r.text for r in documents.collect()}
+    got = {r.doc_id: r.score for r in toxicity.toxicity(documents, machine).collect()}
+    assert got.keys() == texts.keys() and len(weight) > 20
+    for doc_id, text in texts.items():
+        at = numbers(text)
+        v = machine.factors[at]
+        z = machine.bias + machine.weights[at].sum() + np.triu(v @ v.T, 1).sum()
+        assert abs(got[doc_id] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-9
