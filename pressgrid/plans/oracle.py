@@ -171,12 +171,14 @@ SQL["page_image_url"] = f"SELECT doc_id AS page_id, site || '/news/' || doc_id A
 SQL["page_image_url_given"] = "SELECT page_id, url, CAST(NULL AS VARCHAR) AS image_url FROM pages"
 BACKFILL = f"""
 WITH batch AS (SELECT article_id FROM n_articles WHERE image_url IS NULL ORDER BY published_at, article_id LIMIT 100),
-filled AS (SELECT b.article_id, CASE WHEN doc_id % 25 <> 24 THEN {PAGE_IMAGE} END AS image_url, doc_id % 25 = 24 AS lost
+filled AS (SELECT b.article_id, CASE WHEN doc_id % 25 <> 24 AND doc_id % 17 <> 3 THEN {PAGE_IMAGE} END AS image_url, doc_id % 25 = 24 AS lost,
+                  doc_id % 17 = 3 AS unreadable
            FROM batch b JOIN {DOC} d ON d.doc_id = b.article_id),
-result AS (SELECT article_id, image_url, CASE WHEN lost THEN 'http_failed' WHEN image_url IS NULL THEN 'no_image' ELSE 'updated' END AS outcome FROM filled)"""
+result AS (SELECT article_id, image_url, CASE WHEN lost THEN 'http_failed' WHEN unreadable THEN 'parse_failed' WHEN image_url IS NULL THEN 'no_image' ELSE 'updated' END AS outcome FROM filled)"""
 SQL["image_backfill"] = BACKFILL + " SELECT * FROM result"
 SQL["image_backfill_stats"] = BACKFILL + """ SELECT count(*) AS scanned, count(*) FILTER (outcome = 'updated') AS updated,
-count(*) FILTER (outcome = 'no_image') AS no_image, count(*) FILTER (outcome = 'http_failed') AS http_failed FROM result"""
+count(*) FILTER (outcome = 'no_image') AS no_image, count(*) FILTER (outcome = 'http_failed') AS http_failed,
+count(*) FILTER (outcome = 'parse_failed') AS parse_failed FROM result"""
 SQL["run_opened"] = f"""
 SELECT coalesce(max(run_id), 0) + 1 AS run_id, {ts(AS_OF)} AS started_at, 'cron' AS triggered_by, NULL::VARCHAR AS completed_at, 0::BIGINT AS articles_discovered,
        0::BIGINT AS articles_inserted, 0::BIGINT AS articles_failed, 0::BIGINT AS llm_calls, 'running' AS status, NULL::VARCHAR AS error FROM n_ing"""

@@ -151,7 +151,8 @@ def image_backfill(
     """Image links for the oldest articles without one, from their pages.
 
     ``pages`` has (article_id, url, html, http_status).  Result per scanned
-    article: the new link and what happened.  ``limit`` lies in 1..10000.
+    article: the new link and what happened; ``parse_failed`` is a page that
+    arrived without a body to read.  ``limit`` lies in 1..10000.
     """
     bounded("limit", limit, 10_000)
     waiting = articles.where("image_url is null")
@@ -162,10 +163,11 @@ def image_backfill(
     found = page_image_url(
         fetched.where("http_status = 200").select(F.col("article_id").alias("page_id"), "url", "html")
     ).select(F.col("page_id").alias("article_id"), "image_url")
-    status = fetched.select("article_id", "http_status")
+    status = fetched.select("article_id", "http_status", F.col("html").isNull().alias("unreadable"))
     joined = batch.join(status, "article_id", "left").join(found, "article_id", "left")
     outcome = (
         F.when(F.coalesce("http_status", F.lit(0)) != 200, "http_failed")
+        .when(F.col("unreadable"), "parse_failed")
         .when(F.col("image_url").isNull(), "no_image")
         .otherwise("updated")
     )
@@ -175,7 +177,7 @@ def image_backfill(
 def image_backfill_stats(backfill: DataFrame) -> DataFrame:
     return backfill.agg(
         F.count(F.lit(1)).alias("scanned"),
-        *[F.count_if(F.col("outcome") == o).alias(o) for o in ("updated", "no_image", "http_failed")],
+        *[F.count_if(F.col("outcome") == o).alias(o) for o in ("updated", "no_image", "http_failed", "parse_failed")],
     )
 
 

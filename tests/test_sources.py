@@ -137,3 +137,13 @@ def test_answers_with_defaults_and_wrong_types(spark):
     got = {r.article_id: r for r in validation.validate_enrichment(spark.createDataFrame(rows, "article_id long, response string")).collect()}
     assert got[1].is_valid and got[1].key_themes == [] and got[1].source_distribution.expert == 2 and float(got[1].body_sentiment) == 0.1
     assert got[2].is_valid and [got[i].reason for i in (3, 4, 5)] == ["bad_entities", "bad_source_distribution", "not_json"]
+
+
+def test_backfill_outcomes(spark):
+    articles = spark.createDataFrame([(k, 1, None, k) for k in range(1, 6)] + [(6, 1, "https://i/x.jpg", 6)], "article_id long, outlet_id long, image_url string, published_at long")
+    image = '<head><meta property="og:image" content="https://img.example/a.jpg"></head>'
+    fetched = [(1, "https://n.example/1", image, 200), (2, "https://n.example/2", "<p>x</p>", 200), (3, "https://n.example/3", image, 503), (4, "https://n.example/4", None, 200)]
+    done = images.image_backfill(articles, spark.createDataFrame(fetched, "article_id long, url string, html string, http_status long"))
+    got = {r.article_id: (r.image_url, r.outcome) for r in done.collect()}
+    assert got == {1: ("https://img.example/a.jpg", "updated"), 2: (None, "no_image"), 3: (None, "http_failed"), 4: (None, "parse_failed"), 5: (None, "http_failed")}
+    assert images.image_backfill_stats(done).first().asDict() == {"scanned": 5, "updated": 1, "no_image": 1, "http_failed": 2, "parse_failed": 1}
