@@ -1,4 +1,4 @@
-"""Byte-level BPE: a streaming transducer with computed lookahead, and a batch encoder built on it.
+"""Byte-level BPE: a streaming transducer with computed lookahead for long runs, and a batch encoder for short ones.
 
 A merge list turns a byte run into tokens by applying its rules in order of rank.  Two texts that share a prefix can
 only differ in their tokens close to the end of that prefix: a rule ``(u, v)`` that joins across the border moves it
@@ -300,8 +300,10 @@ class StreamDecoder:
 class BatchEncoder:
     """Ids of many texts at once.
 
-    Texts are cut at white space into pieces that encode alike wherever they stand; each distinct piece goes through
-    the transducer once while a cache of bounded size holds it, and the ids of a slice are gathered from the cache.
+    Texts are cut at white space into pieces that encode alike wherever they stand; each distinct piece is
+    encoded once while a cache of bounded size holds it, and the ids of a slice are gathered from the cache.  Runs under
+    two transducer blocks are merged whole, all of a batch together; only longer ones go through the transducer.  The
+    ids of one slice are held at a time.
     The gathered token bytes are compared with the input, so a clash of piece hashes can't go unseen.
     Texts with other white space than ASCII's or with added tokens take the streaming encoder, as do very long ones.
     """

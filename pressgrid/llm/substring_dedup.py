@@ -6,7 +6,7 @@ one, each level looking at survivors alone.  At the first level one window of ev
 one with the smallest hash, which equal passages choose alike, so a quarter of the positions is dealt out.
 
 A word goes if a window over it also starts in a document with a smaller doc_id.  Windows are those of the input, and
-the first document keeps its passage.  Windows are compared by 96 bits of hash.
+the first document keeps its passage.  Windows are compared by 95 bits of hash (64 + 31).
 
 Cases: null text has no words; texts shorter than a window lose nothing; a null doc_id is greater than all others, and
 documents with the same doc_id (or both null) take nothing from each other; repeated rows are treated alike; an empty
