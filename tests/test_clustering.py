@@ -172,3 +172,28 @@ def test_rollup(spark):
     got = {r.story_id: r for r in clustering.story_rollup(
         spark.createDataFrame(rows, "article_id long, published_at timestamp, headline string, story_id long")).collect()}
     assert (got[7].article_count, got[7].title) == (2, "first") and len(got[8].title) == 500
+
+
+@pytest.mark.parametrize("make", [tight, sparse])
+def test_vectors_travel_by_block_not_by_cell(spark, make):
+    rows = make(5, 12, 25)
+    groups = groups_of(spark, rows)
+    candidates, cells = clustering.plan_cells(groups, 0.0, cell_rows=5)
+    blocks = clustering.plan_blocks(cells, block_rows=100)
+    # Nothing is skipped at threshold 0: by cell, each query would travel some 60 times.
+    assert (cells.rows > 0).sum() > 20 and len(blocks.cells) <= 8
+    sent = clustering.deal(clustering._flat(groups.where("asks")), candidates, cells, blocks, 3, 0.0)
+    n = candidates.count()
+    assert sent.where("kind = 0").count() == 3 * n and n < sent.where("kind = 1").count() <= len(blocks.cells) * n
+    held = [set(b.tolist()) for b in blocks.cells]
+    assert set().union(*held) == set(np.flatnonzero(cells.rows).tolist())
+
+
+def test_nearly_equal_partners_are_told_apart(spark):
+    # Similarities differ by less than single precision shows; the earlier of equal ones wins.
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(16)
+    rows = [(i, NOW - timedelta(minutes=900 - i), [float(np.float32(x)) for x in centre + 1e-4 * rng.standard_normal(16)], None) for i in range(400)]
+    expected = one_by_one(rows, 3, 0.75)
+    got = clustering.assign_stories(spark.createDataFrame(rows, SCHEMA), F.lit(NOW), 3, 0.75, block_rows=90, cell_rows=30).collect()
+    assert {r.article_id: (r.story_id, r.is_new_story, r.parent_id) for r in got} == expected
