@@ -78,3 +78,22 @@ def test_only_buckets_and_row_groups_of_the_terms_are_read(spark, tmp_path, caps
 def test_no_articles(spark, tmp_path):
     index = search.build_index(articles(spark).limit(0), f"{tmp_path}/index")
     assert search.search_match(index, "city").collect() == [] and search.search_total(index, "city").first().total == 0
+
+
+def test_postings_are_put_together_before_the_exchange(spark, tmp_path, monkeypatch):
+    """Every posting of every part, with parts and batches far smaller than the articles of a term."""
+    many = {i: ("City vote", "cities vote " * (i % 3)) for i in range(300)} | {65_536 + i: ("city", None) for i in range(20)}
+    nameless = spark.createDataFrame([(None, "lost city", None, "u", None, 0)], SCHEMA)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        index = search.build_index(articles(spark, many).unionByName(nameless).repartition(3), f"{tmp_path}/index")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    stored = spark.read.parquet(f"{index.path}/postings").where("term = 'city' and block is not null").orderBy("block").collect()
+    assert [r.offsets for r in stored] == [list(range(300)), list(range(20))]
+    assert [r.tfs for r in stored] == [[1 + i % 3 for i in range(300)], [1] * 20]
+    ranks = {r.article_id: r.rank for r in search.search_match(index, "city vote").collect()}
+    assert ranks == {i: rank for i, rank in brute("city vote", many | {None: ("lost city", None)}).items()}
+    small = search._part_postings(iter(articles(spark, many).selectExpr("article_id", "split(lower(headline), ' ') as words").toArrow().to_batches()))
+    assert sum(b.num_rows for b in small) == 3  # city in two blocks and vote; an article at a time there were 620
