@@ -71,6 +71,21 @@ def test_attempts_over_batches(spark, folder):
     assert got == {1: ("failed_extract", 3), 2: ("extracted", 1), 3: ("discovered", 2), 4: ("analyzed", 0), 5: ("failed_extract", 3)}
 
 
+def test_many_articles_advance_together(spark, folder, capsys):
+    """All articles of a batch, also rows without an article; no Python call goes article by article."""
+    rows = [[(k % 97 or None, T0 + timedelta(minutes=k), k, k % 97 % 2 == 0) for k in range(b * 200, b * 200 + 200)] for b in range(2)]
+    out = KeyedTable(spark, f"{folder}/out", shape("article_id long, processing_state string, attempts long"), "article_id", buckets=2)
+
+    schema = "article_id long, at timestamp, seq long, ok boolean"
+    batches(spark, folder, rows, schema, lambda s: steps.stream_attempts(s, f"{folder}/cp", out))
+    steps.keyed.advanced(out.read(spark), spark.createDataFrame(rows[0], schema)).explain()
+    plan = capsys.readouterr().out
+    assert "FlatMapGroups" not in plan and "TransformWithState" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    got = {r.article_id: (r.processing_state, r.attempts) for r in out.read(spark).where("article_id is not null").collect()}
+    # 400 rows: four for each article, five for 1 to 11; odd ones fail
+    assert got == {a: ("failed_extract", 3) if a % 2 else ("analyzed", 0) for a in range(1, 97)}
+
+
 def test_clusters_over_batches(spark, folder):
     rows = sorted(((a, at, v, None) for a, at, v, _ in case(11, n=24)), key=lambda r: (r[1], r[0]))
     stored = T.StructType([f for f in spark.createDataFrame([], SCHEMA).schema])
