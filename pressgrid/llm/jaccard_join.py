@@ -9,8 +9,9 @@ in the order used here, so a passage that many documents hold leads few of them
 3. In buckets where several components are left, a signature tree is walked against itself: its nodes hold bitmaps
    combined by OR (shingles some text below has) and by AND (those every text below has) and a range of set sizes.
    A pair of tree nodes is dropped when the largest possible overlap is too small or both lie in one component.
-   The first walk has components as leaves, the second the texts of component pairs that are left.  What remains is
-   verified and joined to the components.
+   The first walk has components as leaves, the second the texts of component pairs that are left, counting the buckets
+   in which a pair meets: linked texts share not one first shingle but many.  What remains is verified and joined to
+   the components.
 
 So no pair inside a known component is ever formed, and a group of copies costs one comparison a copy.  A bucket with
 over ``BLOCK`` leaves is cut into blocks, and pairs of blocks are walked on their own.
@@ -37,7 +38,7 @@ from pressgrid.llm.store import discard, join_grouped, passing_tables, stash
 SHINGLE = 5
 PERCENT = 80
 LONGS = 16  # 64-bit words of a bitmap
-BLOCK = 4096
+BLOCK = 2048
 FANOUT = 8
 #: Shingles in over 1/HEAVY of a block's texts are noted; those in over 1/HEAVY of all texts number at most HEAVY times
 #: the mean set size, whatever the number of texts.
@@ -207,9 +208,9 @@ def tree_pairs(leaves: Level, percent: int) -> tuple[np.ndarray, np.ndarray]:
     for level in reversed(levels[:-1]):
         count = len(level.low)
         found_i, found_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for part in range(0, len(i), 4096):
-            a = (i[part : part + 4096, None, None] * FANOUT + child[None, :, None]).repeat(FANOUT, axis=2).ravel()
-            b = (j[part : part + 4096, None, None] * FANOUT + child[None, None, :]).repeat(FANOUT, axis=1).ravel()
+        for part in range(0, len(i), 1024):
+            a = (i[part : part + 1024, None, None] * FANOUT + child[None, :, None]).repeat(FANOUT, axis=2).ravel()
+            b = (j[part : part + 1024, None, None] * FANOUT + child[None, None, :]).repeat(FANOUT, axis=1).ravel()
             fit = (a < count) & (b < count) & ((a < b) if level is leaves else (a <= b))
             a, b = a[fit], b[fit]
             keep = level.may_link(a, b, percent)
@@ -224,28 +225,38 @@ def tree_pairs(leaves: Level, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _walk_buckets(members: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of distinct members of one bucket that may link.
+    """(a, b, a_n, b_n, shared) of distinct members of one bucket that may link; ``a_n`` and ``b_n`` are their ``low``.
 
-    members: bucket, id.  leaves: id, root, low, high, and the bitmaps ``o*`` (OR) and ``e*`` (AND).
+    members: bucket, id.  leaves: id, root, low, high, and the bitmaps ``o*`` (OR) and ``e*`` (AND).  ``shared`` is the
+    number of buckets that hold both, or more: members of one block meet once for every other block.
     """
+    with passing_tables(members.sparkSession) as keep:
+        return keep(_walked(members, leaves, percent), "walked-pairs")
+
+
+def _walked(members: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
     some, every = [f"o{k}" for k in range(LONGS)], [f"e{k}" for k in range(LONGS)]
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def pairs(frame: pd.DataFrame) -> pd.DataFrame:
-            found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        def pairs(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            found, count = [], 0
             key = frame[["bucket", "part"]].to_numpy()
             cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            ids = frame["id"].to_numpy()
+            ids, times = frame["id"].to_numpy(), frame["times"].to_numpy()
             maps = frame[some].to_numpy(), frame[every].to_numpy()
             low, high = frame["low"].to_numpy(), frame["high"].to_numpy()
             _, root = np.unique(frame["root"].to_numpy(), return_inverse=True)
             for begin, end in zip(np.concatenate(([0], cut)), np.append(cut, len(frame))):
                 if end - begin > 1:
                     at = begin + np.lexsort((ids[begin:end], low[begin:end]))
-                    i, j = tree_pairs(Level(maps[0][at], maps[1][at], low[at], high[at], root[at]), percent)
-                    found_a.append(ids[at[i]])
-                    found_b.append(ids[at[j]])
-            return pd.DataFrame({"a": np.concatenate(found_a), "b": np.concatenate(found_b)}).drop_duplicates()
+                    i, j = (at[x] for x in tree_pairs(Level(maps[0][at], maps[1][at], low[at], high[at], root[at]), percent))
+                    found.append((i, j))
+                    count += len(i)
+                if count and (count >= HELD_PAIRS or end == len(frame)):
+                    i, j = (np.concatenate(x) for x in zip(*found))
+                    rows = pd.DataFrame({"a": ids[i], "b": ids[j], "a_n": low[i], "b_n": low[j], "shared": times[i]})
+                    yield rows.groupby(["a", "b", "a_n", "b_n"], as_index=False, sort=False).sum()
+                    found, count = [], 0
 
         rest = None
         for frame in frames:
@@ -254,21 +265,33 @@ def _walk_buckets(members: DataFrame, leaves: DataFrame, percent: int) -> DataFr
             open_ = (frame["bucket"] == last["bucket"]) & (frame["part"] == last["part"])
             rest = frame[open_]
             if not open_.all():
-                yield pairs(frame[~open_])
+                yield from pairs(frame[~open_])
         if rest is not None and len(rest):
-            yield pairs(rest)
+            yield from pairs(rest)
 
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id") % 1000003).alias("one"), F.bit_xor(F.xxhash64("id")).alias("two"))
-    # Buckets with the same members say the same: one of them is walked.
-    kept = sizes.groupBy("size", "one", "two").agg(F.min("bucket").alias("bucket"))
-    dealt = members.join(kept.select("bucket", "size"), "bucket")
+    # Buckets with the same members say the same: one of them is walked, and counts for all.
+    kept = sizes.groupBy("size", "one", "two").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("times"))
+    dealt = members.join(kept.select("bucket", "size", "times"), "bucket")
     blocks = F.ceil(F.col("size") / BLOCK)
     own = F.pmod(F.xxhash64("id"), blocks)
     part = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.least(k, own) * 1000000 + F.greatest(k, own))
-    dealt = dealt.select("bucket", "id", F.explode(F.when(blocks > 1, part).otherwise(F.array(F.lit(0).cast("long")))).alias("part"))
+    dealt = dealt.select("bucket", "times", "id", F.explode(F.when(blocks > 1, part).otherwise(F.array(F.lit(0).cast("long")))).alias("part"))
     # Bitmaps come last, so they cross one exchange only.
-    rows = stash(dealt, "bucket-parts").join(leaves, "id").select("bucket", "part", "id", "root", "low", "high", *some, *every)
-    return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInPandas(walk, "a long, b long").distinct()
+    rows = stash(dealt, "bucket-parts").join(leaves, "id").select("bucket", "part", "times", "id", "root", "low", "high", *some, *every)
+    met = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInPandas(walk, "a long, b long, a_n long, b_n long, shared long")
+    return met.groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"), F.sum("shared").alias("shared"))
+
+
+def shares_enough(percent: int) -> Column:
+    """Whether a pair meets in as many buckets (``shared``) as linked texts of its sizes must.
+
+    Linked texts have ``o = ceil(percent * (a_n + b_n) / (100 + percent))`` shingles in common or more.  Say the first
+    shingles of a end no later than those of b.  At most ``a_n - o`` of them are not in b, and the others are among b's
+    first ones; a text's first shingles number ``n - ceil(percent * n / 100) + 1``.
+    """
+    common = F.expr(f"({percent} * (a_n + b_n) + {99 + percent}) div {100 + percent}")
+    return F.col("shared") >= common - F.expr(f"({percent} * greatest(a_n, b_n) + 99) div 100") + 1
 
 
 # --- verification -------------------------------------------------------------------
@@ -283,18 +306,26 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     )
 
 
+def with_near_bitmaps(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps and sizes allow a link, with the sizes ``a_n`` and ``b_n``."""
+    sides = pairs
+    for side in ("a", "b"):
+        own = nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), *(F.col(s).alias(f"{side}_{k}") for k, s in enumerate(BITS)))
+        sides = sides.join(own, side)
+    return sides.where(_may_link("a_", "b_", percent)).select(*pairs.columns, "a_n", "b_n")
+
+
 def verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link, by their whole sets; ``group_a`` and ``group_b`` name pairs that share texts."""
+    """The pairs (a, b) of nodes that link, by their whole sets.
+
+    pairs: a, b, their set sizes ``a_n`` and ``b_n``, and ``group_a`` and ``group_b``, which name pairs that share texts.
+    """
     with passing_tables(documents.sparkSession) as keep:
         return keep(_verified(documents, nodes, pairs, size, percent), "links")
 
 
 def _verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    sides = pairs
-    for side in ("a", "b"):
-        own = nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), *(F.col(s).alias(f"{side}_{k}") for k, s in enumerate(BITS)))
-        sides = sides.join(own, side)
-    open_ = stash(sides.where(_may_link("a_", "b_", percent)).select("a", "b", "a_n", "b_n", "group_a", "group_b"), "open-pairs")
+    open_ = stash(pairs.select("a", "b", "a_n", "b_n", "group_a", "group_b"), "open-pairs")
     wanted = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     keys = wanted.join(nodes.select("node", "doc"), "node")
 
@@ -318,36 +349,47 @@ def _verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, size: in
         celled.select("cell", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("small"))
     )
 
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for cell in _whole_groups(frames, ["cell"]):
-            given = cell[cell["kind"] == 0]
-            number = {node: k for k, node in enumerate(given["a"].tolist())}
-            rows, shingles, parts, low = [], [], [], 0
-            for high, packed in enumerate(given["small"], 1):
-                parts.append(unpack(packed))
-                if high == len(given) or len(parts) == 64 or sum(map(len, parts)) >= W.SLICE_BYTES:
-                    row, found = shingle_sets(
-                        np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in parts]))), size
-                    )
-                    rows.append(row + low)
-                    shingles.append(found)
-                    parts, low = [], high
-            rows, shingles = np.concatenate(rows), np.concatenate(shingles)
-            n = np.bincount(rows, minlength=len(given))
-            asked = cell[cell["kind"] == 1]
-            a, b = (np.array([number[x] for x in asked[c].tolist()], np.int64) for c in ("a", "b"))
-            link = linked(rows, shingles, n, a, b, percent)
-            yield asked.loc[link, ["a", "b"]]
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, texts, a, b, held = None, CellTexts(size), [], [], 0
+
+        def links() -> pa.RecordBatch:
+            one, two = np.concatenate(a), np.concatenate(b)
+            link = texts.linked(one, two, percent)
+            return pa.RecordBatch.from_arrays([pa.array(one[link]), pa.array(two[link])], names=["a", "b"])
+
+        for batch in batches:
+            of, kind = batch.column("cell").to_numpy(), batch.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), len(of)]
+            for low, high in zip(cuts, cuts[1:]):
+                if low == high:
+                    continue
+                if of[low] != cell:
+                    if held:
+                        yield links()
+                    cell, texts, a, b, held = of[low], CellTexts(size), [], [], 0
+                part = batch.slice(low, high - low)
+                if kind[low] == 0:
+                    texts.add(part.column("a").to_numpy(), part.column("small"))
+                    continue
+                a.append(part.column("a").to_numpy())
+                b.append(part.column("b").to_numpy())
+                held += high - low
+                if held >= HELD_PAIRS:
+                    yield links()
+                    a, b, held = [], [], 0
+        if held:
+            yield links()
 
     celled_rows = stash(rows, "pair-cells")
     discard(open_, small)
     dealt = celled_rows.repartition("cell").sortWithinPartitions("cell", "kind")
-    return dealt.mapInPandas(compare, "a long, b long")
+    return dealt.mapInArrow(compare, "a long, b long")
 
 
-#: Shingles of a cell's texts on either side, about: 32 MB of hashes.
-CELL_SHINGLES = 1 << 22
+#: Shingles of a cell's texts on either side, about: 16 MB of hashes.
+CELL_SHINGLES = 1 << 21
+#: Pairs that a task holds at a time, however many its cell or bucket has.
+HELD_PAIRS = 1 << 20
 
 
 def _cells(pairs: DataFrame) -> DataFrame:
@@ -362,23 +404,38 @@ def _cells(pairs: DataFrame) -> DataFrame:
     return pairs.join(sizes, groups).select(F.xxhash64(*groups, part("a"), part("b")).alias("cell"), "a", "b")
 
 
-def _whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of frames sorted by keys, each whole."""
-    held: list[pd.DataFrame] = []
-    for frame in frames:
-        key = frame[keys].to_numpy()
-        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(frame)]
-        for low, high in zip(cuts, cuts[1:]):
-            part = frame.iloc[low:high]
-            if held and (held[0][keys].iloc[0] != part[keys].iloc[0]).any():
-                yield pd.concat(held, ignore_index=True)
-                held = []
-            held.append(part)
-    if held:
-        yield pd.concat(held, ignore_index=True)
+class CellTexts:
+    """Shingle sets of a cell's texts, by node."""
 
+    def __init__(self, size: int):
+        self.size, self.nodes, self.counts, self.shingles, self.whole = size, [], [], [], None
 
-def linked(rows: np.ndarray, shingles: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    def add(self, nodes: np.ndarray, packed: pa.Array) -> None:
+        unpack = zstandard.ZstdDecompressor().decompress
+        parts, held = [], 0
+        self.nodes.append(nodes)
+        for k, one in enumerate(packed, 1):
+            parts.append(unpack(one.as_buffer()))
+            held += len(parts[-1])
+            if k == len(packed) or len(parts) == 64 or held >= W.SLICE_BYTES:
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+                rows, found = shingle_sets(np.frombuffer(b"".join(parts), np.uint8), offsets, self.size)
+                self.counts.append(np.bincount(rows, minlength=len(parts)))
+                self.shingles.append(found)
+                parts, held = [], 0
+
+    def linked(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Whether the sets of the nodes a and b link; no text is added after."""
+        if self.whole is None:
+            nodes = np.concatenate(self.nodes)
+            order = np.argsort(nodes)
+            self.whole = nodes[order], order, np.concatenate(self.shingles), np.concatenate(self.counts)
+            self.nodes, self.shingles, self.counts = [], [], []
+        nodes, order, shingles, n = self.whole
+        return linked(shingles, n, order[np.searchsorted(nodes, a)], order[np.searchsorted(nodes, b)], percent)
+
+
+def linked(shingles: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Whether the sets of rows a and b link.  Bitmaps rule most pairs out; the rest are intersected.
 
     Bitmaps are made for the pairs of one size class at a time, about a byte per shingle, so one long text does not widen
@@ -399,7 +456,7 @@ def linked(rows: np.ndarray, shingles: np.ndarray, n: np.ndarray, a: np.ndarray,
         own = W.gather(shingles, begin[nodes], n[nodes])
         at = (own >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
         np.bitwise_or.at(maps, (np.repeat(np.arange(len(nodes)), n[nodes]), at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
-        step = max(1, (1 << 21) // maps.shape[1])
+        step = max(1, (1 << 19) // maps.shape[1])
         for low in range(0, len(asked), step):
             some = asked[low : low + step]
             i, j = place[a[some]], place[b[some]]
@@ -439,15 +496,18 @@ def _components_of(documents: DataFrame, size: int, percent: int) -> DataFrame:
         tokens.groupBy("token").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("token", "lead"), "leads"
     )
     members = stash(tokens.join(leads, "token").distinct(), "members")
+    discard(tokens, leads)
     stars = members.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     stars = stars.withColumn("group_a", F.col("a")).withColumn("group_b", F.lit(0).cast("long"))
-    links = verified(documents, nodes, stars, size, percent)
+    links = verified(documents, nodes, with_near_bitmaps(stars, nodes, percent), size, percent)
     roots = components(links)
 
     # Buckets that still hold several components.
     placed = stash(members.select("token", "node").join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root")), "placed")
+    discard(members)
     mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
     mixed = stash(placed.join(mixed, "token", "left_semi"), "mixed")
+    discard(placed)
     leaf = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     united = leaf.groupBy("root").agg(
         F.min("n").alias("low"),
@@ -457,7 +517,8 @@ def _components_of(documents: DataFrame, size: int, percent: int) -> DataFrame:
     )
     united = united.withColumn("id", F.col("root"))
     of_roots = stash(mixed.select(F.col("token").alias("bucket"), F.col("root").alias("id")).distinct(), "bucket-roots")
-    near = stash(_walk_buckets(of_roots, united, percent), "root-pairs")
+    near = _walk_buckets(of_roots, united, percent)
+    discard(of_roots)
     if not near.isEmpty():
         some = near.select(F.explode(F.array("a", "b")).alias("root")).distinct()
         single = leaf.select(
@@ -465,7 +526,10 @@ def _components_of(documents: DataFrame, size: int, percent: int) -> DataFrame:
             *(F.col(b).alias(f"{c}{k}") for c in "oe" for k, b in enumerate(BITS)),
         )
         of_nodes = stash(mixed.join(some, "root", "left_semi").select(F.col("token").alias("bucket"), F.col("node").alias("id")), "bucket-nodes")
-        pairs = stash(_walk_buckets(of_nodes, single, percent), "node-pairs")
+        discard(mixed, near)
+        met = _walk_buckets(of_nodes, single, percent)
+        pairs = stash(met.where(shares_enough(percent)), "node-pairs")
+        discard(of_nodes, met)
         # Texts that nearly link form clusters of pairs; cells cut each cluster into a grid.
         cluster = components(pairs).select(F.col("node").alias("a"), F.col("root").alias("group_a"))
         pairs = pairs.join(cluster, "a").withColumn("group_b", F.lit(0).cast("long"))

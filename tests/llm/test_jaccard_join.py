@@ -1,3 +1,5 @@
+import os
+import random
 from itertools import combinations
 
 import numpy as np
@@ -86,3 +88,35 @@ def test_components(spark, links):
 def test_first_shingles_are_whole_sets_of_short_texts(spark):
     found = jaccard_join.first_shingles(spark.createDataFrame([("a b c d e f",), ("a",), (None,)], "text string"), np.empty(0, np.uint64), 5, 80)
     assert found.groupBy("node").agg(F.count("*").alias("n")).count() == 2
+
+
+def test_long_texts_that_share_a_passage_are_not_verified_and_tables_end_early(spark, monkeypatch):
+    """Their bitmaps are full and rule nothing out; too few first shingles in common do."""
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(600)]
+    rows = [(k, " ".join([f"{k}w{rng.randrange(10**6)}" for _ in range(2400)] + passage)) for k in range(8)]
+    rows += [(10 + k, text.replace("p7 ", "q7 ")) for k, text in rows[:2]]
+    stash, seen, alive = jaccard_join.stash, {}, {}
+
+    def noted(frame, name):
+        table = stash(frame, name)
+        seen.setdefault(name, []).append((table.stash_folder, table.count()))
+        alive[name] = {n for n, found in seen.items() if any(os.path.exists(folder.removeprefix("file:")) for folder, _ in found)}
+        return table
+
+    monkeypatch.setattr(jaccard_join, "stash", noted)
+    assert result(spark, rows) == brute(rows)
+    assert sum(count for _, count in seen["node-pairs"]) == 0
+    assert not alive["mixed"] & {"first-shingles", "leads", "members"} and not alive["node-pairs"] & {"mixed", "placed", "bucket-roots"}
+
+
+def test_pairs_of_a_cell_are_held_in_parts():
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)) for _ in range(3)]
+    texts += [texts[0] + " end", "short"]
+    pack = jaccard_join.zstandard.ZstdCompressor(level=1).compress
+    held = jaccard_join.CellTexts(5)
+    for low, high in ((0, 2), (2, 5)):
+        held.add(np.array([50, 40, 30, 20, 10])[low:high], jaccard_join.pa.array([pack(t.encode()) for t in texts[low:high]]))
+    assert held.linked(np.array([50, 50, 40]), np.array([20, 30, 10]), 80).tolist() == [True, False, False]
+    assert held.linked(np.array([20]), np.array([50]), 80).tolist() == [True]
