@@ -6,12 +6,14 @@ in the order used here, so a passage that many documents hold leads few of them
 
 1. Texts with equal sets are one node.  Nodes meet in the buckets of their first shingles.
 2. Each bucket's smallest node is compared with the others of the bucket; verified links give first components.
-3. In buckets where several components are left, a signature tree is walked against itself: its nodes hold bitmaps
+3. In buckets where several components are left, ``LEADERS`` other nodes are compared with those of other components.
+   A large group of near copies thus grows together before any of its pairs are listed.
+4. In buckets where several components are still left, a signature tree is walked against itself: its nodes hold bitmaps
    combined by OR (shingles some text below has) and by AND (those every text below has) and a range of set sizes.
    A pair of tree nodes is dropped when the largest possible overlap is too small or both lie in one component.
-   The first walk has components as leaves, the second the texts of component pairs that are left, counting the buckets
-   in which a pair meets: linked texts share not one first shingle but many.  What remains is verified and joined to
-   the components.
+   The first walk has components as leaves, the second the texts of component pairs that are left, with bitmaps of
+   their buckets too: linked texts share not one first shingle but many.  A pair leaves the first of its buckets alone.
+   What remains is verified and joined to the components.
 
 So no pair inside a known component is ever formed, and a group of copies costs one comparison a copy.  A bucket with
 over ``BLOCK`` leaves is cut into blocks, and pairs of blocks are walked on their own.
@@ -29,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pressgrid.llm import words as W
 from pressgrid.llm.graph import components
@@ -46,6 +48,9 @@ HEAVY = 1000
 BLOCK_SHINGLES = 1 << 21
 LAST = (1 << 63) - 1
 BITS = [f"s{k}" for k in range(LONGS)]
+MET = [f"t{k}" for k in range(LONGS)]  # the bitmap of a text's buckets
+LEADERS = 3  # more of a bucket, each the smallest node in another order
+CARRIED = 16  # buckets, the first ones, that a leaf knows of itself in a walk
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -225,10 +230,10 @@ def tree_pairs(leaves: Level, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _walk_buckets(members: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
-    """(a, b, a_n, b_n, shared) of distinct members of one bucket that may link; ``a_n`` and ``b_n`` are their ``low``.
+    """(a, b, a_n, b_n) of distinct members of one bucket that may link; ``a_n`` and ``b_n`` are their ``low``.
 
-    members: bucket, id.  leaves: id, root, low, high, and the bitmaps ``o*`` (OR) and ``e*`` (AND).  ``shared`` is the
-    number of buckets that hold both, or more: members of one block meet once for every other block.
+    members: bucket, id.  leaves: id, root, low, high, and the bitmaps ``o*`` (OR) and ``e*`` (AND); leaves that are texts
+    may have ``m`` and ``t*`` (see ``bucket_bitmaps``) for a bound on the buckets that hold both.
     """
     with passing_tables(members.sparkSession) as keep:
         return keep(_walked(members, leaves, percent), "walked-pairs")
@@ -236,26 +241,34 @@ def _walk_buckets(members: DataFrame, leaves: DataFrame, percent: int) -> DataFr
 
 def _walked(members: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
     some, every = [f"o{k}" for k in range(LONGS)], [f"e{k}" for k in range(LONGS)]
+    texts = ["m", *MET] if "m" in leaves.columns else []
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def pairs(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
             found, count = [], 0
             key = frame[["bucket", "part"]].to_numpy()
             cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            ids, times = frame["id"].to_numpy(), frame["times"].to_numpy()
+            ids, own, carried = frame["id"].to_numpy(), frame["own"].to_numpy(), np.stack(frame["carried"].to_numpy())
             maps = frame[some].to_numpy(), frame[every].to_numpy()
+            met = (frame["m"].to_numpy(), frame[MET].to_numpy()) if texts else None
             low, high = frame["low"].to_numpy(), frame["high"].to_numpy()
             _, root = np.unique(frame["root"].to_numpy(), return_inverse=True)
             for begin, end in zip(np.concatenate(([0], cut)), np.append(cut, len(frame))):
                 if end - begin > 1:
                     at = begin + np.lexsort((ids[begin:end], low[begin:end]))
                     i, j = (at[x] for x in tree_pairs(Level(maps[0][at], maps[1][at], low[at], high[at], root[at]), percent))
-                    found.append((i, j))
-                    count += len(i)
+                    bucket, part = key[begin]
+                    if part // PARTS != part % PARTS:  # members of one block meet in a part of their own
+                        i, j = i[own[i] != own[j]], j[own[i] != own[j]]
+                    if met:
+                        fit = may_share(*met, low, i, j, percent)
+                        i, j = i[fit], j[fit]
+                    first = ~met_before(carried, i, j, bucket)
+                    found.append((i[first], j[first]))
+                    count += len(found[-1][0])
                 if count and (count >= HELD_PAIRS or end == len(frame)):
                     i, j = (np.concatenate(x) for x in zip(*found))
-                    rows = pd.DataFrame({"a": ids[i], "b": ids[j], "a_n": low[i], "b_n": low[j], "shared": times[i]})
-                    yield rows.groupby(["a", "b", "a_n", "b_n"], as_index=False, sort=False).sum()
+                    yield pd.DataFrame({"a": ids[i], "b": ids[j], "a_n": low[i], "b_n": low[j]})
                     found, count = [], 0
 
         rest = None
@@ -270,36 +283,75 @@ def _walked(members: DataFrame, leaves: DataFrame, percent: int) -> DataFrame:
             yield from pairs(rest)
 
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("id") % 1000003).alias("one"), F.bit_xor(F.xxhash64("id")).alias("two"))
-    # Buckets with the same members say the same: one of them is walked, and counts for all.
-    kept = sizes.groupBy("size", "one", "two").agg(F.min("bucket").alias("bucket"), F.count(F.lit(1)).alias("times"))
-    dealt = members.join(kept.select("bucket", "size", "times"), "bucket")
+    # Buckets with the same members say the same: one of them is walked.
+    kept = sizes.groupBy("size", "one", "two").agg(F.min("bucket").alias("bucket"))
+    dealt = members.join(kept.select("bucket", "size"), "bucket")
     blocks = F.ceil(F.col("size") / BLOCK)
     own = F.pmod(F.xxhash64("id"), blocks)
-    part = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.least(k, own) * 1000000 + F.greatest(k, own))
-    dealt = dealt.select("bucket", "times", "id", F.explode(F.when(blocks > 1, part).otherwise(F.array(F.lit(0).cast("long")))).alias("part"))
+    dealt = stash(dealt.select("bucket", "id", blocks.alias("blocks"), own.alias("own")), "bucket-members")
+    by_bucket = Window.partitionBy("id").orderBy("bucket")
+    carried = dealt.select("id", "bucket", F.row_number().over(by_bucket).alias("place")).where(F.col("place") <= CARRIED)
+    carried = carried.groupBy("id").agg(F.collect_list("bucket").alias("carried"))
+    filled = F.concat(F.sort_array("carried"), F.array_repeat(F.lit(LAST), CARRIED - F.size("carried")))
+    leaves = leaves.join(carried.select("id", filled.alias("carried")), "id")
+    part = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.least(k, F.col("own")) * PARTS + F.greatest(k, F.col("own")))
+    parts = dealt.select("bucket", "id", "own", F.explode(F.when(F.col("blocks") > 1, part).otherwise(F.array(F.lit(0).cast("long")))).alias("part"))
     # Bitmaps come last, so they cross one exchange only.
-    rows = stash(dealt, "bucket-parts").join(leaves, "id").select("bucket", "part", "times", "id", "root", "low", "high", *some, *every)
-    met = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInPandas(walk, "a long, b long, a_n long, b_n long, shared long")
-    return met.groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"), F.sum("shared").alias("shared"))
+    rows = parts.join(leaves, "id").select("bucket", "part", "id", "own", "root", "low", "high", "carried", *some, *every, *texts)
+    met = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part").mapInPandas(walk, "a long, b long, a_n long, b_n long")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("a_n")).otherwise(F.col("b_n")).alias("a_n"), F.when(F.col("a") < F.col("b"), F.col("b_n")).otherwise(F.col("a_n")).alias("b_n")).distinct()
 
 
-def shares_enough(percent: int) -> Column:
-    """Whether a pair meets in as many buckets (``shared``) as linked texts of its sizes must.
+#: Parts of a bucket are numbered first block * PARTS + second block.
+PARTS = 1000000
+
+
+def met_before(carried: np.ndarray, i: np.ndarray, j: np.ndarray, bucket: int) -> np.ndarray:
+    """Whether leaves i and j know of an earlier bucket with both.  No pair passes in none: its first bucket has no earlier one."""
+    before = np.zeros(len(i), bool)
+    for low in range(0, len(i), 4096):
+        one, two = carried[i[low : low + 4096]], carried[j[low : low + 4096]]
+        before[low : low + 4096] = ((one[:, :, None] == two[:, None, :]) & (one < bucket)[:, :, None]).any(axis=(1, 2))
+    return before
+
+
+def may_share(m: np.ndarray, met: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether texts i and j may meet in as many buckets as linked texts of their sizes ``n`` must (``must_share``)."""
+    most = np.minimum(m[i] - _ones(met[i] & ~met[j]), m[j] - _ones(met[j] & ~met[i]))
+    common = (percent * (n[i] + n[j]) + 99 + percent) // (100 + percent)
+    return most >= common - (percent * np.maximum(n[i], n[j]) + 99) // 100 + 1
+
+
+def must_share(percent: int) -> Column:
+    """In how many buckets linked texts of the sizes ``a_n`` and ``b_n`` meet at least.
 
     Linked texts have ``o = ceil(percent * (a_n + b_n) / (100 + percent))`` shingles in common or more.  Say the first
     shingles of a end no later than those of b.  At most ``a_n - o`` of them are not in b, and the others are among b's
     first ones; a text's first shingles number ``n - ceil(percent * n / 100) + 1``.
     """
     common = F.expr(f"({percent} * (a_n + b_n) + {99 + percent}) div {100 + percent}")
-    return F.col("shared") >= common - F.expr(f"({percent} * greatest(a_n, b_n) + 99) div 100") + 1
+    return common - F.expr(f"({percent} * greatest(a_n, b_n) + 99) div 100") + 1
+
+
+def bucket_bitmaps(mixed: DataFrame) -> DataFrame:
+    """node, m (its buckets in ``mixed``), and their bitmap ``t*``; texts of different components meet in no others."""
+    place = F.xxhash64("token").bitwiseAND(F.lit(64 * LONGS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))
+    own = [F.bit_or(F.when(F.shiftright("place", 6) == k, bit).otherwise(F.lit(0).cast("long"))).alias(t) for k, t in enumerate(MET)]
+    return mixed.select("node", place.alias("place")).groupBy("node").agg(F.count(F.lit(1)).alias("m"), *own)
 
 
 # --- verification -------------------------------------------------------------------
 
 
+def _ones_of(one: str, two: str) -> Column:
+    """Bits of the bitmap ``one`` that ``two`` lacks."""
+    return sum((F.bit_count(F.col(f"{one}{k}").bitwiseAND(F.bitwise_not(f"{two}{k}"))) for k in range(LONGS)), F.lit(0))
+
+
 def _may_link(a: str, b: str, percent: int) -> Column:
     """The leaf bound as a column: bitmaps and sizes of sides ``a`` and ``b``."""
-    ones = lambda one, two: sum((F.bit_count(F.col(f"{one}{k}").bitwiseAND(F.bitwise_not(f"{two}{k}"))) for k in range(LONGS)), F.lit(0))
+    ones = _ones_of
     most = F.least(F.col(f"{a}n") - ones(a, b), F.col(f"{b}n") - ones(b, a))
     return ((100 + percent) * most >= percent * (F.col(f"{a}n") + F.col(f"{b}n"))) & (
         100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")
@@ -315,6 +367,25 @@ def with_near_bitmaps(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataF
     return sides.where(_may_link("a_", "b_", percent)).select(*pairs.columns, "a_n", "b_n")
 
 
+def led_again(documents: DataFrame, nodes: DataFrame, mixed: DataFrame, size: int, percent: int) -> DataFrame:
+    """The links of each bucket's other leaders with the bucket's nodes of other components.
+
+    nodes: node, root, n, m and both bitmaps.  mixed: token, node, root.
+    """
+    masks = W.mix(np.arange(1, LEADERS + 1, dtype=np.uint64)).view(np.int64).tolist()
+    least = mixed.groupBy("token").agg(*(F.min(F.col("node").bitwiseXOR(F.lit(x))).alias(f"least{k}") for k, x in enumerate(masks)))
+    back = [F.col(f"least{k}").bitwiseXOR(F.lit(x)) for k, x in enumerate(masks)]
+    leads = least.select("token", F.array_distinct(F.array(*back)).alias("leads"))
+    pairs = mixed.join(leads, "token").select(F.explode("leads").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+    for side in ("a", "b"):
+        maps = [F.col(c).alias(f"{side}_{k}") for k, c in enumerate(BITS)] + [F.col(c).alias(f"{side}_{c}") for c in MET]
+        pairs = pairs.join(nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("root", "n", "m")), *maps), side)
+    meet = F.least(F.col("a_m") - _ones_of("a_t", "b_t"), F.col("b_m") - _ones_of("b_t", "a_t"))
+    near = pairs.where("a_root <> b_root").where(_may_link("a_", "b_", percent) & (meet >= must_share(percent)))
+    near = near.select("a", "b", "a_n", "b_n", F.col("a").alias("group_a"), F.lit(0).cast("long").alias("group_b"))
+    return verified(documents, nodes, near, size, percent)
+
+
 def verified(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes that link, by their whole sets.
 
@@ -473,6 +544,20 @@ def linked(shingles: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, pe
 # --- the join -----------------------------------------------------------------------
 
 
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(token, node, root) of the buckets that hold several components; the written table ``members`` ends here."""
+    placed = stash(_rooted(members.select("token", "node"), roots).select("token", "node", "root"), "placed")
+    discard(members)
+    mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
+    mixed = stash(placed.join(mixed, "token", "left_semi"), "mixed")
+    discard(placed)
+    return mixed
+
+
 def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; links are exact."""
     with passing_tables(documents.sparkSession) as keep:
@@ -503,12 +588,14 @@ def _components_of(documents: DataFrame, size: int, percent: int) -> DataFrame:
     roots = components(links)
 
     # Buckets that still hold several components.
-    placed = stash(members.select("token", "node").join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root")), "placed")
-    discard(members)
-    mixed = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
-    mixed = stash(placed.join(mixed, "token", "left_semi"), "mixed")
-    discard(placed)
-    leaf = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = _mixed(members, roots)
+    met = stash(nodes.join(bucket_bitmaps(mixed), "node").select("node", "doc", "n", "m", *BITS, *MET), "met-nodes")
+    more = led_again(documents, _rooted(met, roots), mixed, size, percent)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = components(links)
+        mixed = _mixed(mixed, roots)
+    leaf = _rooted(nodes, roots)
     united = leaf.groupBy("root").agg(
         F.min("n").alias("low"),
         F.max("n").alias("high"),
@@ -521,15 +608,15 @@ def _components_of(documents: DataFrame, size: int, percent: int) -> DataFrame:
     discard(of_roots)
     if not near.isEmpty():
         some = near.select(F.explode(F.array("a", "b")).alias("root")).distinct()
-        single = leaf.select(
-            F.col("node").alias("id"), "root", F.col("n").alias("low"), F.col("n").alias("high"),
+        single = _rooted(met, roots).select(
+            F.col("node").alias("id"), "root", F.col("n").alias("low"), F.col("n").alias("high"), "m", *MET,
             *(F.col(b).alias(f"{c}{k}") for c in "oe" for k, b in enumerate(BITS)),
         )
         of_nodes = stash(mixed.join(some, "root", "left_semi").select(F.col("token").alias("bucket"), F.col("node").alias("id")), "bucket-nodes")
         discard(mixed, near)
-        met = _walk_buckets(of_nodes, single, percent)
-        pairs = stash(met.where(shares_enough(percent)), "node-pairs")
-        discard(of_nodes, met)
+        walked = _walk_buckets(of_nodes, single, percent)
+        pairs = stash(walked, "node-pairs")
+        discard(of_nodes, walked)
         # Texts that nearly link form clusters of pairs; cells cut each cluster into a grid.
         cluster = components(pairs).select(F.col("node").alias("a"), F.col("root").alias("group_a"))
         pairs = pairs.join(cluster, "a").withColumn("group_b", F.lit(0).cast("long"))

@@ -121,3 +121,54 @@ def test_pairs_of_a_cell_are_held_in_parts():
         held.add(np.array([50, 40, 30, 20, 10])[low:high], jaccard_join.pa.array([pack(t.encode()) for t in texts[low:high]]))
     assert held.linked(np.array([50, 50, 40]), np.array([20, 30, 10]), 80).tolist() == [True, False, False]
     assert held.linked(np.array([20]), np.array([50]), 80).tolist() == [True]
+
+
+def test_a_pair_leaves_one_bucket_and_only_with_enough_in_common():
+    """Leaves know their first buckets only; whatever they have in common, a pair passes, in one bucket if they know it."""
+    rng = np.random.default_rng(2)
+    for buckets in (30, 200):
+        own = [np.sort(rng.choice(buckets, rng.integers(1, 30), replace=False)) for _ in range(40)]
+        carried = np.array([np.append(x[: jaccard_join.CARRIED], [jaccard_join.LAST] * (jaccard_join.CARRIED - len(x))) for x in own])
+        left = {}
+        for bucket in range(buckets):
+            i, j = (np.array(x, np.int64) for x in zip(*combinations(range(40), 2)))
+            fit = np.array([bucket in own[a] and bucket in own[b] for a, b in zip(i, j)])
+            i, j = i[fit], j[fit]
+            for pair in zip(*(x[~jaccard_join.met_before(carried, i, j, bucket)].tolist() for x in (i, j))):
+                left[pair] = left.get(pair, 0) + 1
+        common = {(a, b): len(np.intersect1d(own[a], own[b])) for a, b in combinations(range(40), 2)}
+        assert set(left) == {pair for pair, n in common.items() if n}
+        assert all(n == 1 for (a, b), n in left.items() if len(own[a]) <= jaccard_join.CARRIED and len(own[b]) <= jaccard_join.CARRIED)
+        assert sum(left.values()) < sum(common.values())
+
+        m, n = np.array([len(x) for x in own]), rng.integers(60, 100, 40)
+        maps = jaccard_join.bitmaps(np.repeat(np.arange(40), m), jaccard_join.W.mix(np.concatenate(own).astype(np.uint64)), 40)
+        i, j = (np.array(x) for x in zip(*common))
+        needed = (80 * (n[i] + n[j]) + 179) // 180 - (80 * np.maximum(n[i], n[j]) + 99) // 100 + 1
+        allowed = jaccard_join.may_share(m, maps, n, i, j, 80)
+        assert allowed[np.array(list(common.values())) >= needed].all() and not allowed.all()
+
+
+def test_other_leaders_join_a_group_of_near_copies_before_pairs_are_listed(spark, monkeypatch):
+    """Each of 60 copies of a text has a run of edits of its own: those link whose runs lie near, so no copy links with all."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for k in range(60):
+        own = list(base)
+        begin = rng.randrange(40, 72)
+        own[begin : begin + 5] = [f"x{rng.randrange(10**6)}" for _ in range(5)]
+        rows.append((k, " ".join(own)))
+    sets = sets_of(rows)
+    links = sum(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in combinations(sets, 2))
+    stash, counts = jaccard_join.stash, {}
+
+    def noted(frame, name):
+        table = stash(frame, name)
+        counts[name] = table.count()
+        return table
+
+    monkeypatch.setattr(jaccard_join, "HEAVY", 0)
+    monkeypatch.setattr(jaccard_join, "stash", noted)
+    assert result(spark, rows) == brute(rows)
+    assert links > 200 and counts.get("node-pairs", 0) < links / 2
