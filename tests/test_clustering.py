@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,3 +198,53 @@ def test_nearly_equal_partners_are_told_apart(spark):
     expected = one_by_one(rows, 3, 0.75)
     got = clustering.assign_stories(spark.createDataFrame(rows, SCHEMA), F.lit(NOW), 3, 0.75, block_rows=90, cell_rows=30).collect()
     assert {r.article_id: (r.story_id, r.is_new_story, r.parent_id) for r in got} == expected
+
+
+def test_few_whole_vectors_are_compared_and_no_partner_is_lost(monkeypatch):
+    # Topics of unequal spread, so that tiles differ in what the axes leave out; some vectors are multiples of others.
+    rng = np.random.default_rng(11)
+    n, dim, threshold = 3000, 64, 0.75
+    topics = rng.standard_normal((6, dim))
+    cell = rng.integers(0, 6, n).astype(np.int32)
+    vectors = topics[cell] + rng.uniform(0.5, 4, (n, 1)) * rng.standard_normal((n, dim)) * 0.85 ** np.arange(dim)
+    vectors[n // 2 :: 7] = 2 * vectors[: len(vectors[n // 2 :: 7])]
+    vectors = vectors.astype(np.float32)
+    in_batch, at = (rng.random(n) < 0.7).astype(np.int32), rng.integers(0, 500, n)
+
+    def rows(some, kind, wants):
+        return pa.RecordBatch.from_pydict({
+            "pair": np.zeros(len(some), np.int32), "kind": np.full(len(some), kind, np.int32), "cell": cell[some], "met": [b"\xfc"] * len(some),
+            "h1": some, "h2": some, "embedding": pa.FixedSizeListArray.from_arrays(pa.array(vectors[some].ravel()), dim).cast(pa.list_(pa.float32())),
+            "wants": wants, "in_batch": in_batch[some], "at": at[some], "article_id": some, "story_id": some,
+        })
+
+    compared, meet = [], clustering._Best.compare
+    monkeypatch.setattr(clustering._Best, "compare", lambda self, asked, tile: compared.append(len(asked)) or meet(self, asked, tile))
+    every, asks = np.arange(n), np.flatnonzero(in_batch)
+    wants = np.where(asks % 5 == 0, 3, 1).astype(np.int32)
+    blocks = clustering.Blocks(np.zeros(6, int), np.ones(6, int), [np.arange(6)])
+    got = pa.Table.from_batches(clustering._block_best(blocks, 1, threshold)(iter([rows(every, 0, np.zeros(n, np.int32)), rows(asks, 1, wants)])))
+
+    unit = vectors.astype(np.float64)
+    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    order = np.lexsort((every, at, in_batch))
+    place = np.argsort(order)
+    sims = np.round(unit @ unit[order].T, 6)
+    expected = set()
+    for q, w in zip(asks.tolist(), wants.tolist()):
+        for kind, limit in ((clustering.EARLIER, place[q]), (clustering.EXISTING, int((in_batch == 0).sum()))):
+            if w >> kind & 1 and limit and sims[q, :limit].max() >= threshold:
+                expected.add((q, kind, int(order[sims[q, :limit].argmax()])))
+    assert set(zip(*(got.column(c).to_pylist() for c in ("h1", "kind", "article_id")))) == expected and len(expected) > 1000
+    assert sum(compared) * clustering.TILE_ROWS < 0.6 * len(asks) * n  # the order alone leaves nearly all tiles here
+
+
+def test_only_articles_that_are_no_candidates_ask_for_clustered_ones_alone(spark):
+    old = NOW - timedelta(days=5)
+    rows = [
+        (1, NOW, [1.0, 0.0], None), (2, old, [0.0, 1.0], None), (3, NOW, [1.0, 1.0], None), (4, old, [1.0, 1.0], None), (5, None, [2.0, 1.0], None),
+        (6, NOW, [3.0, 1.0], 7),
+    ]
+    wants = {tuple(r.embedding): r.wants for r in groups_of(spark, rows).collect()}
+    earlier, existing = 1 << clustering.EARLIER, 1 << clustering.EXISTING
+    assert wants == {(1.0, 0.0): earlier, (0.0, 1.0): existing, (1.0, 1.0): earlier + existing, (2.0, 1.0): earlier, (3.0, 1.0): 0}
